@@ -58,3 +58,9 @@ def metric_text(c: Column, compat: bool = False) -> Column:
 def coerce_count(c: Column) -> Column:
     """Numeric value of a column, 0 for null or unreadable values."""
     return F.coalesce(to_number(c), F.lit(0.0))
+
+
+def round_half_even(c: Column, places: int) -> Column:
+    """Scale, round half to even, scale back, all in double precision."""
+    factor = float(10 ** places)
+    return F.rint(c * factor) / factor

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postlens.functions.counts import round_half_even
 from postlens.operators.filters import confident
 from postlens.schema import CONFIDENT_ABOVE, ENGAGEMENT_QUANTILE, require_columns
 
@@ -51,10 +52,10 @@ def label_stats(posts: DataFrame, label: str, confidence: str, places: int = 3)
     require_columns(posts, label, confidence, "comments")
     return (
         posts.where(F.col(label).isNotNull()).groupBy(label).agg(
-            F.bround(F.avg(confidence), places).alias("confidence_mean"),
-            F.bround(F.stddev_samp(confidence), places).alias("confidence_std"),
-            F.bround(F.avg("comments"), places).alias("comments_mean"),
-            F.bround(F.stddev_samp("comments"), places).alias("comments_std"),
+            round_half_even(F.avg(confidence), places).alias("confidence_mean"),
+            round_half_even(F.stddev_samp(confidence), places).alias("confidence_std"),
+            round_half_even(F.avg("comments"), places).alias("comments_mean"),
+            round_half_even(F.stddev_samp("comments"), places).alias("comments_std"),
         )
     )
 
@@ -65,7 +66,7 @@ def confident_emotions(posts: DataFrame, above: float = CONFIDENT_ABOVE,
     return (
         confident(posts, above).where(F.col("caption_emotion").isNotNull())
         .groupBy("caption_emotion").agg(
-            F.bround(F.avg("caption_emotion_confidence"), places).alias("avg_confidence"),
+            round_half_even(F.avg("caption_emotion_confidence"), places).alias("avg_confidence"),
             F.count("caption").alias("n_captions"),
         )
         .orderBy(F.desc("avg_confidence"), "caption_emotion")

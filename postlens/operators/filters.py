@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postlens.functions.counts import round_half_even
 from postlens.functions.text import as_text, contains_any
 from postlens.schema import CONFIDENT_ABOVE, RELEVANCE_KEYWORDS
 
@@ -67,6 +68,6 @@ def project_rounded(df: DataFrame, columns: Sequence[str], places: int = 3) -> D
     types = {f.name: f.dataType for f in df.schema}
     fractional = (T.DoubleType, T.FloatType)
     return df.select(*[
-        F.bround(c, places).alias(c) if isinstance(types[c], fractional) else F.col(c)
+        round_half_even(F.col(c), places).alias(c) if isinstance(types[c], fractional) else F.col(c)
         for c in columns
     ])

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.functions.counts import coerce_count, metric_text, parse_count
+from postlens.functions.counts import coerce_count, metric_text, parse_count, round_half_even
 from postlens.functions.labels import best_class
 from postlens.functions.links import absolute_url, post_id
 from postlens.functions.records import comment_records, records_from_json, records_to_json
@@ -419,7 +419,7 @@ def best_label(spark, folder):
     width = vectors.select(F.max(F.size("embedding"))).first()[0] or 1
     best = vectors.withColumn("_best", best_class(F.col("embedding"), [f"class_{i}" for i in range(width)]))
     return best.select("vec_id", F.col("_best.label").alias("label"),
-                       F.bround("_best.confidence", 6).alias("confidence"))
+                       round_half_even(F.col("_best.confidence"), 6).alias("confidence"))
 
 
 # --- Scoring and comments --------------------------------------------------------------
@@ -486,7 +486,7 @@ def comment_emotions(spark, folder):
         "video_id", "chunk", "total_comments",
         F.md5(F.array_join("comments", "~")).alias("comments_md5"),
         F.array_join("emotions", ",").alias("emotions"),
-        F.bround(F.reduce("confidences", F.lit(0.0), lambda a, b: a + b), 6).alias("confidence_sum"),
+        round_half_even(F.reduce("confidences", F.lit(0.0), lambda a, b: a + b), 6).alias("confidence_sum"),
     )
 
 
