@@ -42,17 +42,13 @@ def metric_text(c: Column, compat: bool = False) -> Column:
 
     ``compat`` keeps every digit, dot and K/M/B letter, so letters of words
     survive (``12 likes`` gives ``12k``). The strict form reads the first
-    number and a suffix that stands alone.
+    number, and a suffix only if it stands alone.
     """
     s = as_text(c)
     if compat:
         return F.regexp_replace(s, r"[^\d.KMBkmb]", "")
-    found = r"(\d[\d.,]*)\s*([KMBkmb]?)(?![\p{L}\p{N}_])"
-    number = F.regexp_extract(s, found, 1)
-    plain = F.regexp_extract(s, r"(\d[\d.,]*)", 1)
-    suffix = F.when(number == "", F.lit("")).otherwise(F.regexp_extract(s, found, 2))
-    chosen = F.when(number == "", plain).otherwise(number)
-    return F.concat(F.replace(chosen, F.lit(","), F.lit("")), suffix)
+    count = r"\d[\d.,]*(?:\s*[KMBkmb](?![\p{L}\p{N}_]))?"
+    return F.regexp_replace(F.regexp_extract(s, count, 0), r"[,\s]", "")
 
 
 def coerce_count(c: Column) -> Column:

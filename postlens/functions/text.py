@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -14,13 +14,20 @@ from postlens.schema import COMMENT_JOINER, COMMENT_SEPARATOR
 SPACE = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 WORD = r"\p{L}\p{N}_"
 
+_SPACES = [range(0x09, 0x0E), range(0x1C, 0x21), [0x85, 0xA0, 0x1680], range(0x2000, 0x200B),
+           [0x2028, 0x2029, 0x202F, 0x205F, 0x3000]]
+SPACE_CHARS = "".join(chr(code) for codes in _SPACES for code in codes)
+
+# Patterns that scan whole texts use at most one range and one character per class, or one
+# named class: larger unions are several times slower when many threads share a JVM.
+
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.trim(c, F.lit(SPACE_CHARS))
 
 
 def is_blank(c: Column) -> Column:
-    return c.isNull() | ~c.rlike(f"[^{SPACE}]")
+    return c.isNull() | (strip(c) == "")
 
 
 def as_text(c: Column) -> Column:
@@ -29,10 +36,12 @@ def as_text(c: Column) -> Column:
 
 def clean_text(c: Column) -> Column:
     """Lower-cased ASCII words with single spaces; links, handles and tags are dropped."""
-    no_links = F.regexp_replace(F.lower(as_text(c)), f"(?:http|www)[^{SPACE}]+", "")
+    spaced = F.regexp_replace(F.lower(as_text(c)), r"[\x1c-\x1f]", " ")
+    spaced = F.regexp_replace(spaced, r"(?U)\s+", " ")
+    no_links = F.regexp_replace(spaced, "(?:http|www)[^ ]+", "")
     no_marks = F.regexp_replace(no_links, f"[@#][{WORD}]+", "")
-    letters = F.regexp_replace(no_marks, f"[^a-zA-Z{SPACE}]+", "")
-    return F.trim(F.regexp_replace(letters, f"[{SPACE}]+", " "))
+    letters = F.regexp_replace(no_marks, "[^a-z ]+", "")
+    return F.trim(F.regexp_replace(letters, " {2,}", " "))
 
 
 def tokens(c: Column) -> Column:
@@ -76,10 +85,21 @@ def contains_any(c: Column, keywords: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, (lowered.contains(k) for k in keywords), F.lit(False))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often ``use`` names it.
+
+    For costly expressions inside a branch, where Spark does not share them.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def first_non_blank(candidates: Sequence[Column]) -> Column:
-    """First candidate that is not blank, trimmed; empty text if there is none."""
-    trimmed = [F.nullif(strip(c), F.lit("")) for c in candidates]
-    return F.coalesce(*trimmed, F.lit(""))
+    """First candidate that is not blank, trimmed; empty text if there is none.
+
+    Later candidates are evaluated only where the earlier ones are blank.
+    """
+    found = [once(strip(c), lambda x: F.when(x != "", x)) for c in candidates]
+    return F.coalesce(*found, F.lit(""))
 
 
 def comment_body(c: Column) -> Column:

@@ -24,8 +24,9 @@ from postlens.operators.crosstab import row_shares
 from postlens.schema import STOP_WORDS
 from postlens.session import materialized
 
-# Above this many candidate words, bigrams are counted without the pre-filter.
+# Above this many candidate words, longer terms are counted without the pre-filter.
 MAX_CANDIDATE_WORDS = 50_000
+DOCS_PER_TASK = 500
 
 
 @dataclass(frozen=True)
@@ -49,9 +50,15 @@ class Vocabulary:
 
 
 def with_words(docs: DataFrame, text: str, rules: TermRules = TermRules()) -> DataFrame:
-    """Adds ``clean`` text and its ``words`` without stop words."""
-    cleaned = docs.withColumn("clean", clean_text(F.col(text)))
-    return cleaned.withColumn("words", without(tokens(F.col("clean")), rules.stop_words))
+    """Non-blank documents with the ``words`` of their cleaned text, stop words left out.
+
+    Blank documents are dropped by an exploded one-element list: a filter on
+    the cleaned text would be pushed below it and clean every text twice.
+    """
+    cleaned = docs.withColumn("_clean", clean_text(F.col(text)))
+    found = cleaned.withColumn("_words", without(tokens(F.col("_clean")), rules.stop_words))
+    kept = F.when(F.col("_clean") != "", F.array("_words"))
+    return found.select(*docs.columns, F.explode_outer(kept).alias("words")).where(F.col("words").isNotNull())
 
 
 def with_terms(docs: DataFrame, text: str, rules: TermRules = TermRules()) -> DataFrame:
@@ -60,26 +67,19 @@ def with_terms(docs: DataFrame, text: str, rules: TermRules = TermRules()) -> Da
 
 
 def _term_totals(docs: DataFrame, terms: str) -> DataFrame:
-    """(term, tf, df) over all rows, from a term list and ``clean``.
+    """(term, tf, df) over all rows, from a term list.
 
-    Terms are sorted inside the row, so a term's first occurrence can be
-    flagged there and document frequency needs no distinct over (term, document).
-    Each non-blank document also emits one null term, whose df is their number.
+    Terms are sorted inside the row and paired with the term before them, so a
+    term's first occurrence is known there and document frequency needs no
+    distinct over (term, document). The list of earlier terms is one longer:
+    the odd pair at its end has no term and counts the document.
     """
-    marked = F.transform(
-        F.col("_sorted"),
-        lambda t, i: F.struct(
-            t.alias("term"),
-            F.when((i == 0) | (F.get("_sorted", i - 1) != t), 1).otherwise(0).alias("first"),
-        ),
-    )
-    document = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).alias("first")))
-    sorted_terms = docs.select("clean", F.sort_array(terms).alias("_sorted"))
-    items = sorted_terms.select(
-        F.explode_outer(F.when(F.col("clean") != "", F.concat(marked, document))).alias("t")
-    ).where(F.col("t").isNotNull())
-    return items.groupBy(F.col("t.term").alias("term")).agg(
-        F.count("*").alias("tf"), F.sum("t.first").alias("df")
+    sorted_terms = docs.select(F.sort_array(terms).alias("term"))
+    earlier = F.concat(F.array(F.lit(None).cast("string")), F.col("term")).alias("earlier")
+    pairs = sorted_terms.select("term", earlier).select(F.explode_outer(F.arrays_zip("term", "earlier")).alias("p"))
+    first = F.when(F.col("p.term") == F.col("p.earlier"), 0).otherwise(1)
+    return pairs.groupBy(F.col("p.term").alias("term")).agg(
+        F.count("*").alias("tf"), F.sum(first).alias("df")
     )
 
 
@@ -99,13 +99,11 @@ def document_frequency(docs: DataFrame, text: str, rules: TermRules = TermRules(
 
 
 def _fetch_top(totals: DataFrame, documents: int, n: int, rules: TermRules) -> list:
-    order = [F.desc("tf"), F.col("term")]
     kept = totals.where(_eligible(totals, F.lit(documents), rules))
-    return kept.orderBy(*order).limit(n).collect()
+    return kept.orderBy(F.desc("tf"), "term").limit(n).collect()
 
 
-def vocabulary(docs: DataFrame, text: str, max_features: int = 100,
-               rules: TermRules = TermRules()) -> Vocabulary:
+def vocabulary(words: DataFrame, max_features: int = 100, rules: TermRules = TermRules()) -> Vocabulary:
     """The ``max_features`` most frequent terms; equal counts in term order.
 
     Single words are counted first. A longer term is never more frequent than
@@ -114,11 +112,9 @@ def vocabulary(docs: DataFrame, text: str, max_features: int = 100,
     out before anything is shuffled. Fetches at most ``max_features`` rows per
     pass, plus the candidate words.
     """
-    words = with_words(docs, text, rules)
     # One table serves the document count, the best words and the candidates.
     singles = materialized(_term_totals(words, "words"), "word-totals")
-    counted = singles.where(F.col("term").isNull()).agg(F.max("df")).first()[0]
-    documents = int(counted or 0)
+    documents = int(singles.where(F.col("term").isNull()).agg(F.max("df")).first()[0] or 0)
     if rules.max_share * documents < rules.min_docs:
         return Vocabulary((), (), documents)
     best = _fetch_top(singles, documents, max_features, rules) if rules.low == 1 else []
@@ -126,44 +122,61 @@ def vocabulary(docs: DataFrame, text: str, max_features: int = 100,
         floor = best[-1]["tf"] if len(best) == max_features else rules.min_docs
         able = singles.where(F.col("term").isNotNull() & (F.col("tf") >= floor))
         names = [r["term"] for r in able.select("term").limit(MAX_CANDIDATE_WORDS + 1).collect()]
-        grams = words.select("clean", ngrams(F.col("words"), max(2, rules.low), rules.high).alias("grams"))
+        masked = words
         if names and len(names) <= MAX_CANDIDATE_WORDS:
-            possible = F.filter("grams", lambda g: F.forall(F.split(g, " "), lambda w: w.isin(*names)))
-            grams = grams.select("clean", possible.alias("grams"))
+            # A term with a null word is null.
+            masked = words.select(F.transform("words", lambda w: F.when(w.isin(*names), w)).alias("words"))
+        grams = masked.select(ngrams(F.col("words"), max(2, rules.low), rules.high).alias("grams"))
+        grams = grams.select(F.filter("grams", lambda g: g.isNotNull()).alias("grams"))
         longer = _fetch_top(_term_totals(grams, "grams"), documents, max_features, rules)
         best = sorted([*best, *longer], key=lambda r: (-r["tf"], r["term"]))[:max_features]
     return Vocabulary(tuple(r["term"] for r in best), tuple(r["df"] for r in best), documents)
 
 
-def count_vectors(docs: DataFrame, text: str, vocab: Vocabulary, out: str = "counts",
-                  rules: TermRules = TermRules()) -> DataFrame:
-    """Non-blank documents with a sparse vector of term counts."""
-    counter = CountVectorizerModel.from_vocabulary(list(vocab.terms), inputCol="terms", outputCol=out)
-    counted = counter.transform(with_terms(docs, text, rules))
-    # The blank test comes after the vector, so that cleaning is not repeated for it.
-    return counted.where(F.length("clean") > 0).select(*docs.columns, out)
+@dataclass(frozen=True)
+class Corpus:
+    """Words of the documents (with the key columns), and the vocabulary."""
+
+    words: DataFrame
+    vocab: Vocabulary
+    rules: TermRules
+
+    def counts(self, out: str = "counts") -> DataFrame:
+        """Key columns and a sparse vector of term counts per document."""
+        terms = self.words.withColumn("_terms", ngrams(F.col("words"), self.rules.low, self.rules.high))
+        counter = CountVectorizerModel.from_vocabulary(
+            list(self.vocab.terms), inputCol="_terms", outputCol=out)
+        return counter.transform(terms).drop("_terms", "words")
+
+
+def build_corpus(docs: DataFrame, text: str, max_features: int = 100,
+                 rules: TermRules = TermRules()) -> Corpus:
+    """Clean the texts once, write their words to the shared folder, pick the vocabulary.
+
+    Cleaning is by far the costliest step; the word table is read by every
+    later pass (vocabulary, TF-IDF, topics). Key columns of ``docs`` are kept.
+    """
+    words = materialized(with_words(docs, text, rules).drop(text), "words")
+    return Corpus(words, vocabulary(words, max_features, rules), rules)
 
 
 _TERM_SCORES = "term string, tfidf_score double"
 
 
-def tfidf_terms(docs: DataFrame, text: str, max_features: int = 100,
-                rules: TermRules = TermRules(), vocab: Vocabulary | None = None) -> DataFrame:
+def tfidf_terms(corpus: Corpus) -> DataFrame:
     """Mean TF-IDF weight of each vocabulary term over all non-blank documents.
 
     Weight: count * (ln((1 + n) / (1 + df)) + 1), each document scaled to
     length 1. Documents without a vocabulary term count in the mean. No terms,
-    no rows. After the vocabulary is known this is one pass without a shuffle
-    of documents: the mean of vectors is a tree of partial sums.
+    no rows. One pass without a shuffle of documents: the mean of vectors is a
+    tree of partial sums.
     """
-    spark = docs.sparkSession
-    vocab = vocab or vocabulary(docs, text, max_features, rules)
+    spark, vocab = corpus.words.sparkSession, corpus.vocab
     if not vocab.terms:
         return spark.createDataFrame([], _TERM_SCORES)
     idf = [math.log((1 + vocab.documents) / (1 + df)) + 1 for df in vocab.doc_counts]
-    counted = count_vectors(docs.select(text), text, vocab, "counts", rules)
     weighted = ElementwiseProduct(
-        scalingVec=Vectors.dense(idf), inputCol="counts", outputCol="weighted").transform(counted)
+        scalingVec=Vectors.dense(idf), inputCol="counts", outputCol="weighted").transform(corpus.counts())
     scaled = Normalizer(p=2.0, inputCol="weighted", outputCol="scaled").transform(weighted)
     mean = scaled.agg(vector_to_array(Summarizer.mean(F.col("scaled"))).alias("mean"))
     names = F.array(*[F.lit(t) for t in vocab.terms])
@@ -182,29 +195,31 @@ class TopicModel:
     k: int
 
 
-def fit_topics(docs: DataFrame, text: str, k: int = 5, max_features: int = 100, passes: int = 20,
-               seed: int = 42, batch: int = 128, max_batches: int = 8,
-               rules: TermRules = TermRules(), vocab: Vocabulary | None = None) -> TopicModel | None:
+def fit_topics(corpus: Corpus, k: int = 5, passes: int = 20, seed: int = 42,
+               batch: int = 128, max_batches: int = 4) -> TopicModel | None:
     """Online variational LDA; None when there are fewer documents than topics or no terms.
 
     A pass is split into batches of ``batch`` documents, but into no more than
     ``max_batches``: on a large table the batches grow instead, as every batch is
-    a job over the cluster. The count vectors are written once and read by every
-    step; they are small (bounded by ``max_features`` per document).
+    a job over the cluster (and ``passes`` can be lowered). The count vectors are
+    written once and read by every step; they hold at most one entry per
+    vocabulary term.
     """
-    vocab = vocab or vocabulary(docs, text, max_features, rules)
-    if vocab.documents < k or not vocab.terms:
+    documents = corpus.vocab.documents
+    if documents < k or not corpus.vocab.terms:
         return None
-    counts = materialized(count_vectors(docs, text, vocab, "counts", rules), "topic-input")
-    batches = max(1, min(max_batches, math.ceil(vocab.documents / batch)))
+    counts = materialized(corpus.counts(), "topic-input")
+    batches = max(1, min(max_batches, math.ceil(documents / batch)))
     lda = LDA(
         featuresCol="counts", topicDistributionCol="_mixture", k=k, seed=seed, optimizer="online",
         maxIter=passes * batches, subsamplingRate=1.0 / batches, learningOffset=10.0,
         learningDecay=0.7, optimizeDocConcentration=False,
     )
-    training = counts.select("counts").cache()
+    # A step over few documents is not worth more than a few tasks.
+    tasks = max(1, min(counts.rdd.getNumPartitions(), math.ceil(documents / DOCS_PER_TASK)))
+    training = counts.select("counts").coalesce(tasks).cache()
     try:
-        return TopicModel(lda.fit(training), vocab, counts, k)
+        return TopicModel(lda.fit(training), corpus.vocab, counts, k)
     finally:
         training.unpersist()
 

@@ -406,7 +406,7 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, md5(array_to_string(list_conc
     range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]), [])), '~')) AS terms_md5 FROM words""")
 def document_terms(spark, folder):
     terms = M.with_terms(T.texts(spark, folder, "documents"), "text")
-    return terms.where(F.col("clean") != "").select(
+    return terms.select(
         "doc_id", F.size("words").cast("bigint").alias("n_words"),
         F.md5(F.array_join("terms", "~")).alias("terms_md5"))
 
@@ -547,20 +547,25 @@ def document_frequency(spark, folder):
     return M.document_frequency(T.texts(spark, folder, "documents"), "text")
 
 
+def _corpus(spark: SparkSession, folder: str, max_features: int = 100) -> M.Corpus:
+    docs = T.texts(spark, folder, "documents").select("doc_id", "text")
+    return M.build_corpus(docs, "text", max_features)
+
+
 @query(f"WITH {S.tfidf(100)} SELECT term, round_even(tfidf_score, 6) AS tfidf_score FROM scores")
 def tfidf_terms(spark, folder):
-    return rounded(M.tfidf_terms(T.texts(spark, folder, "documents"), "text"))
+    return rounded(M.tfidf_terms(_corpus(spark, folder)))
 
 
 @query(f"WITH {S.tfidf(500)} SELECT term, round_even(tfidf_score, 6) AS tfidf_score FROM scores")
 def tfidf_terms_wide(spark, folder):
-    return rounded(M.tfidf_terms(T.texts(spark, folder, "documents"), "text", 500))
+    return rounded(M.tfidf_terms(_corpus(spark, folder, 500)))
 
 
 @query(f"""WITH {S.tfidf(100)} SELECT term, round_even(tfidf_score, 6) AS tfidf_score
 FROM scores ORDER BY scores.tfidf_score DESC, term LIMIT 20""")
 def top_terms(spark, folder):
-    return rounded(M.top_terms(M.tfidf_terms(T.texts(spark, folder, "documents"), "text"), 20))
+    return rounded(M.top_terms(M.tfidf_terms(_corpus(spark, folder)), 20))
 
 
 TOPICS = 5
@@ -571,14 +576,12 @@ def fitted_topics(spark: SparkSession, folder: str) -> M.TopicModel | None:
     """One topic model per session and folder, shared by the topic reports."""
     key = (spark.sparkContext.applicationId, folder)
     if key not in _FITTED:
-        docs = T.texts(spark, folder, "documents").select("doc_id", "text")
-        fitted = M.fit_topics(docs, "text", TOPICS)
-        _FITTED[key] = fitted
+        _FITTED[key] = M.fit_topics(_corpus(spark, folder), TOPICS)
     return _FITTED[key]
 
 
 def _document_topics(spark: SparkSession, folder: str) -> DataFrame:
-    return M.document_topics(fitted_topics(spark, folder)).drop("text")
+    return M.document_topics(fitted_topics(spark, folder))
 
 
 @query()

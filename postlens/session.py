@@ -13,11 +13,13 @@ class ConfigError(RuntimeError):
 
 
 def build_session(app_name: str = "postlens", master: str | None = None,
-                  shuffle_partitions: int | None = None) -> SparkSession:
+                  shuffle_partitions: int | None = None,
+                  driver_memory: str = "12g") -> SparkSession:
     """Session with the settings this package is tuned for.
 
     On a cluster, leave ``master`` and ``shuffle_partitions`` unset: the
     submit command names the master and AQE sizes the partitions.
+    ``driver_memory`` counts in local mode only, where one JVM does all the work.
     """
     builder = (
         SparkSession.builder.appName(app_name)
@@ -34,6 +36,7 @@ def build_session(app_name: str = "postlens", master: str | None = None,
                 builder.config("spark.driver.host", "127.0.0.1")
                 .config("spark.driver.bindAddress", "127.0.0.1")
                 .config("spark.ui.enabled", "false")
+                .config("spark.driver.memory", driver_memory)
             )
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
