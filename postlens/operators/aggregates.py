@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from postlens.functions.counts import round_half_even
 from postlens.operators.filters import confident
 from postlens.schema import CONFIDENT_ABOVE, ENGAGEMENT_QUANTILE, require_columns
+from postlens.session import materialized
 
 
 def headline_metrics(posts: DataFrame) -> DataFrame:
@@ -132,7 +133,8 @@ def histogram_quantile(histogram: DataFrame, value: str, n: str, q: float) -> Da
 
 
 def exact_quantile(df: DataFrame, column: str, q: float = ENGAGEMENT_QUANTILE) -> DataFrame:
-    histogram = df.groupBy(column).agg(F.count("*").alias("n"))
+    """Exact quantile of a column; its histogram is written once, so ``df`` is read once."""
+    histogram = materialized(df.groupBy(column).agg(F.count("*").alias("n")), "histogram")
     return histogram_quantile(histogram, column, "n", q)
 
 
@@ -145,11 +147,11 @@ def high_engagement_label(posts: DataFrame, label: str = "sentiment_label",
                           q: float = ENGAGEMENT_QUANTILE) -> DataFrame:
     """Most common label among posts with more comments than the quantile.
 
-    The posts are read once: quantile, filter and count all work on the
-    (label, comments) histogram.
+    The posts are read once, when this is called: quantile, filter and count all
+    work on the (label, comments) histogram, which is written to the shared folder.
     """
     require_columns(posts, label, "comments")
-    hist = posts.groupBy(label, "comments").agg(F.count("*").alias("n"))
+    hist = materialized(posts.groupBy(label, "comments").agg(F.count("*").alias("n")), "histogram")
     limit = histogram_quantile(hist.groupBy("comments").agg(F.sum("n").alias("n")), "comments", "n", q)
     above = hist.where(F.col("comments") > limit.scalar())
     return _most_common(above.groupBy(label).agg(F.sum("n").alias("n")), label)

@@ -14,10 +14,11 @@ def new_posts_only(incoming: DataFrame, seen: DataFrame, *order: str | Column,
     """Incoming posts whose id is not stored, each id once (the first in ``order``).
 
     Copies are dropped first: that step reduces a hot id inside each input
-    partition, and its output is already partitioned for the anti join.
+    partition, and its output is already partitioned for the anti join. The
+    same holds for the stored ids.
     """
     unique = first_per_key(incoming, key, *(order or (key,)))
-    return unique.join(seen.select(key), key, "left_anti")
+    return unique.join(seen.select(key).distinct(), key, "left_anti")
 
 
 def seen_after_batch(seen: DataFrame, taken: DataFrame, key: str = "video_id") -> DataFrame:

@@ -92,8 +92,11 @@ def _eligible(totals: DataFrame, documents: Column, rules: TermRules) -> Column:
 
 
 def document_frequency(docs: DataFrame, text: str, rules: TermRules = TermRules()) -> DataFrame:
-    """(term, tf, df) of every term within the document bounds."""
-    totals = _term_totals(with_terms(docs, text, rules), "terms")
+    """(term, tf, df) of every term within the document bounds.
+
+    The totals are written once, as the bound depends on a figure among them.
+    """
+    totals = materialized(_term_totals(with_terms(docs, text, rules), "terms"), "term-totals")
     documents = totals.where(F.col("term").isNull()).agg(F.max("df")).scalar()
     return totals.where(_eligible(totals, documents, rules))
 

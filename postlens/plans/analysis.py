@@ -31,7 +31,8 @@ def full_analysis(posts: DataFrame, sentiment: Scorer, emotion: ColumnScorer,
 
 def reports(scored: DataFrame, sentiments: Sequence[str] | None = None,
             emotions: Sequence[str] | None = None) -> dict[str, DataFrame]:
-    """All report tables of a scored table, by name, as lazy frames.
+    """All report tables of a scored table, by name. Lazy, but for the label
+    look-ups and the engagement histogram.
 
     ``sentiments`` and ``emotions`` name the possible labels, if known.
     """

@@ -162,7 +162,7 @@ def crosstab_emotion_sentiment_share(spark, folder):
 SELECT coalesce(row_label, 'All') AS row_label, coalesce(col_label, 'All') AS col_label, CAST(sum(n) AS BIGINT) AS n
 FROM cells GROUP BY CUBE (row_label, col_label)""")
 def crosstab_with_margins(spark, folder):
-    return X.with_margins(T.posts(spark, folder), "sentiment_label", "caption_emotion")
+    return X.with_margins(T.posts(spark, folder), "sentiment_label", "caption_emotion", EMOTIONS_ALL)
 
 
 @query(f"""WITH {S.POSTS} SELECT count(*) AS total_rows, CAST(8 AS BIGINT) AS total_columns,

@@ -80,10 +80,10 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a CPU-bound chain one partition per core when the scan has fewer.
+    """Give a CPU-bound chain one partition per core when the scan keeps most cores idle.
 
-    Meant for a plain scan: a few unsplittable files would otherwise leave
-    cores idle. A scan that already has enough splits is returned as it is.
+    Meant for a plain scan of a few unsplittable files. A scan with splits for
+    half of the cores or more is returned as it is, without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() * 2 > cores else df.repartition(cores)
