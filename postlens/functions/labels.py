@@ -43,22 +43,21 @@ def best_class(scores: Column, labels: Sequence[str], softmax: bool = True) -> C
     return F.when(top.isNull(), unknown()).otherwise(labelled(label_at(labels, index), confidence))
 
 
-def count_labels(labels: Column) -> Column:
-    """``array<struct<n, first, label>>`` of a label list; ``first`` is minus the rank of
-    first sight, so that ``array_max`` gives the most frequent and, among equals, the
-    one seen first. ``labels`` should be a plain column."""
-    return F.transform(
-        F.array_distinct(labels),
-        lambda x, i: F.struct(
-            F.size(F.filter(labels, lambda y: y == x)).cast("bigint").alias("n"),
-            (-i).alias("first"),
-            x.alias("label"),
-        ),
+def count_labels(labels: str) -> Column:
+    """``array<struct<n, first, label>>`` of a named label list column.
+
+    ``first`` is minus the rank of first sight, so that ``array_max`` gives the
+    most frequent label and, among equals, the one seen first.
+    """
+    return F.expr(
+        f"transform(array_distinct({labels}), (x, i) -> named_struct("
+        f"'n', bigint(size(filter({labels}, y -> y = x))), 'first', -i, 'label', x))"
     )
 
 
-def shares(counts: Column, total: Column) -> Column:
-    """Percent per label as a map, from :func:`count_labels`."""
-    return F.map_from_entries(
-        F.transform(counts, lambda c: F.struct(c["label"], (c["n"] * 100.0 / total).alias("share")))
+def label_shares(counts: str, total: str) -> Column:
+    """Percent per label as a map, from a :func:`count_labels` column and the named total."""
+    return F.expr(
+        f"map_from_entries(transform({counts}, c -> named_struct("
+        f"'label', c.label, 'share', c.n * 100D / {total})))"
     )

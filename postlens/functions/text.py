@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -13,6 +13,8 @@ from postlens.schema import COMMENT_JOINER, COMMENT_SEPARATOR
 # Inside a character class: every Unicode space, and the letters and digits of any script.
 SPACE = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 WORD = r"\p{L}\p{N}_"
+# Two or more word characters of any script.
+TOKEN = r"(?U)\w{2,}"
 
 _SPACES = [range(0x09, 0x0E), range(0x1C, 0x21), [0x85, 0xA0, 0x1680], range(0x2000, 0x200B),
            [0x2028, 0x2029, 0x202F, 0x205F, 0x3000]]
@@ -22,6 +24,17 @@ SPACE_CHARS = "".join(chr(code) for codes in _SPACES for code in codes)
 # named class: larger unions are several times slower when many threads share a JVM.
 
 
+def sql_text(value: str) -> str:
+    """A string literal of Spark SQL. Expressions over constant tables are written as SQL
+    text: one call builds them, where the function API needs one call per constant."""
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
+def sql_list(values: Iterable[str]) -> str:
+    return ", ".join(sql_text(v) for v in values)
+
+
 def strip(c: Column) -> Column:
     return F.trim(c, F.lit(SPACE_CHARS))
 
@@ -30,6 +43,11 @@ def is_blank(c: Column) -> Column:
     return c.isNull() | (strip(c) == "")
 
 
+def sql_is_blank(expression: str) -> str:
+    """:func:`is_blank` as SQL text, for use inside lambdas."""
+    return f"({expression} IS NULL OR trim(BOTH {sql_text(SPACE_CHARS)} FROM {expression}) = '')"
+
+
 def as_text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
@@ -45,12 +63,20 @@ def clean_text(c: Column) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    """Runs of two or more word characters, in text order."""
-    return F.regexp_extract_all(c, F.lit(f"[{WORD}]{{2,}}"), F.lit(0))
+    """Runs of two or more word characters (of any script), in text order."""
+    return F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0))
+
+
+def ascii_tokens(c: Column) -> Column:
+    """The same for cleaned text, which has lower-case ASCII letters and spaces only."""
+    return F.regexp_extract_all(c, F.lit("[a-z]{2,}"), F.lit(0))
 
 
-def without(words: Column, stop_words: Sequence[str]) -> Column:
-    return F.filter(words, lambda w: ~w.isin(*stop_words)) if stop_words else words
+def without(words: str, stop_words: Sequence[str]) -> Column:
+    """The word list column ``words`` without the stop words."""
+    if not stop_words:
+        return F.col(words)
+    return F.expr(f"filter(`{words}`, w -> w NOT IN ({sql_list(stop_words)}))")
 
 
 def ngrams(words: Column, low: int = 1, high: int = 2) -> Column:
@@ -72,7 +98,7 @@ def ngrams(words: Column, low: int = 1, high: int = 2) -> Column:
 def split_comments(c: Column, separator: str = COMMENT_SEPARATOR) -> Column:
     """Packed text to a list of trimmed, non-blank comments; null gives an empty list."""
     pieces = F.transform(F.split(as_text(c), rf"\Q{separator}\E"), strip)
-    return F.filter(pieces, lambda x: x != "")
+    return F.array_remove(pieces, "")
 
 
 def pack_comments(comments: Column, joiner: str = COMMENT_JOINER) -> Column:

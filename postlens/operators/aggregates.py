@@ -28,6 +28,16 @@ def headline_metrics(posts: DataFrame) -> DataFrame:
     )
 
 
+def headline_text(metrics: DataFrame) -> DataFrame:
+    """Headline metrics as text: thousands separators, percent with one decimal."""
+    def shown(name: str) -> Column:
+        if name.endswith("_confidence"):
+            return F.concat(F.format_number(F.col(name) * 100, 1), F.lit("%"))
+        return F.format_number(name, 0)
+
+    return metrics.select(*[shown(c).alias(c) for c in metrics.columns])
+
+
 def label_counts(posts: DataFrame, label: str) -> DataFrame:
     return posts.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
 

@@ -13,8 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlens.functions.labels import count_labels, shares
-from postlens.functions.text import comment_body, pack_comments, split_comments
+from postlens.functions.labels import count_labels, label_shares
+from postlens.functions.text import comment_body, pack_comments, split_comments, sql_text
 from postlens.operators.ranking import first_per_key
 from postlens.operators.scoring import ColumnScorer, Scorer
 from postlens.schema import MAX_COMMENTS_PER_POST, UNKNOWN
@@ -134,23 +134,17 @@ def summarize_list(df: DataFrame, column: str, scorer: ColumnScorer) -> DataFram
 
     Fields: comments, emotions, confidences, total, dominant, confidence, percent.
     """
-    texts = df.withColumn("_texts", split_comments(F.col(column)))
-    scored = texts.withColumn("_scores", scorer.score_list(F.col("_texts")))
-    staged = scored.withColumns({
-        "_emotions": F.col("_scores.label"), "_confidences": F.col("_scores.confidence"),
-    }).withColumn("_counts", count_labels(F.col("_emotions")))
-    total = F.size("_texts").cast("bigint")
-    mean = F.reduce("_confidences", F.lit(0.0), lambda a, b: a + b) / total
+    staged = df.withColumn("_texts", split_comments(F.col(column)))
+    staged = staged.withColumn("_scores", scorer.score_list("_texts"))
+    staged = staged.withColumns({"_counts": count_labels("_scores.label"), "_total": F.expr("bigint(size(_texts))")})
     summary = F.struct(
-        F.col("_texts").alias("comments"), F.col("_emotions").alias("emotions"),
-        F.col("_confidences").alias("confidences"), total.alias("total"),
-        F.coalesce(F.array_max("_counts")["label"], F.lit(UNKNOWN)).alias("dominant"),
-        F.when(total > 0, mean).otherwise(0.0).alias("confidence"),
-        shares(F.col("_counts"), total).alias("percent"),
-    )
-    return staged.withColumn("_summary", summary).drop(
-        "_texts", "_scores", "_emotions", "_confidences", "_counts"
+        F.expr("_texts AS comments"), F.expr("_scores.label AS emotions"),
+        F.expr("_scores.confidence AS confidences"), F.expr("_total AS total"),
+        F.expr(f"coalesce(array_max(_counts).label, '{UNKNOWN}') AS dominant"),
+        F.expr("IF(_total > 0, reduce(_scores.confidence, 0D, (a, b) -> a + b) / _total, 0D) AS confidence"),
+        label_shares("_counts", "_total").alias("percent"),
     )
+    return staged.withColumn("_summary", summary).drop("_texts", "_scores", "_counts", "_total")
 
 
 def caption_emotions(posts: DataFrame, scorer: ColumnScorer, column: str = "caption") -> DataFrame:
@@ -168,18 +162,18 @@ def packed_comment_emotions(posts: DataFrame, scorer: ColumnScorer,
     Adds individual_comment_emotions, dominant_emotion, avg_emotion_confidence,
     total_analyzed_comments and, for each label, ``<label>_percentage``.
     """
-    s = F.col("_summary")
-    labels = sorted({*scorer.labels, UNKNOWN})
-    detail = F.struct(
-        s["comments"].alias("comments"), s["emotions"].alias("emotions"),
-        s["confidences"].alias("confidences"), s["total"].alias("total_comments"),
-    )
+    detail = "named_struct('comments', _summary.comments, 'emotions', _summary.emotions, " \
+             "'confidences', _summary.confidences, 'total_comments', _summary.total)"
+    percents = {
+        f"{x}_percentage": F.expr(f"coalesce(_summary.percent[{sql_text(x)}], 0D)")
+        for x in sorted({*scorer.labels, UNKNOWN})
+    }
     return summarize_list(posts, column, scorer).withColumns({
-        "individual_comment_emotions": detail,
-        "dominant_emotion": s["dominant"],
-        "avg_emotion_confidence": s["confidence"],
-        "total_analyzed_comments": s["total"],
-        **{f"{x}_percentage": F.coalesce(s["percent"][x], F.lit(0.0)) for x in labels},
+        "individual_comment_emotions": F.expr(detail),
+        "dominant_emotion": F.col("_summary.dominant"),
+        "avg_emotion_confidence": F.col("_summary.confidence"),
+        "total_analyzed_comments": F.col("_summary.total"),
+        **percents,
     }).drop("_summary")
 
 

@@ -10,7 +10,7 @@ Blank text always gives ``Unknown`` with confidence 0.
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlens.functions.labels import best_class, labelled, unknown
-from postlens.functions.text import as_text, is_blank, tokens
+from postlens.functions.text import TOKEN, as_text, is_blank, sql_is_blank, sql_list, sql_text, tokens
 from postlens.schema import MODEL_BATCH, MODEL_TEXT_CHARS, UNKNOWN
 from postlens.session import materialized
 
@@ -41,15 +41,15 @@ class Scorer(ABC):
 
 class ColumnScorer(Scorer):
     @abstractmethod
-    def score(self, text: Column) -> Column:
-        """Score of a text column."""
+    def score(self, text: str) -> Column:
+        """Score of a named text column."""
 
     @abstractmethod
-    def score_list(self, texts: Column) -> Column:
-        """Scores of a list column, element by element."""
+    def score_list(self, texts: str) -> Column:
+        """Scores of a named list column, element by element."""
 
     def add_score(self, df: DataFrame, text: str, out: str) -> DataFrame:
-        return df.withColumn(out, self.score(F.col(text)))
+        return df.withColumn(out, self.score(text))
 
 
 class LexiconScorer(ColumnScorer):
@@ -75,30 +75,32 @@ class LexiconScorer(ColumnScorer):
         self._default = default
         self.labels = tuple(dict.fromkeys([*labels, default]))
 
-    def score(self, text: Column) -> Column:
-        names = F.array(*[F.lit(x) for x in self._order])
-        zeros = F.array(*[F.lit(0.0) for _ in self._order])
-        table = F.create_map(*[
-            part for term, row in self._weights.items()
-            for part in (F.lit(term), F.array(*[F.lit(w) for w in row]))
-        ])
-        known = F.filter(tokens(F.lower(text)), lambda t: t.isin(*self._weights))
+    def _sql(self, text: str) -> str:
+        """The score of a text expression as SQL: known words, their weights summed per
+        label, then the best label and its share of the sum."""
+        def array(values: Iterable[str]) -> str:
+            return f"array({', '.join(values)})"
 
-        def add(sums: Column, term: Column) -> Column:
-            return F.zip_with(sums, table[term], lambda a, b: a + b)
+        def score(label: str, confidence: str) -> str:
+            return f"named_struct('label', {label}, 'confidence', {confidence})"
 
-        def pick(sums: Column) -> Column:
-            top = F.array_max(sums)
-            total = F.reduce(sums, F.lit(0.0), lambda a, b: a + b)
-            best = F.get(names, (F.array_position(sums, top) - 1).cast("int"))
-            return F.when(top > 0, labelled(best, top / total)).otherwise(
-                labelled(F.lit(self._default), F.lit(0.0))
-            )
+        zeros = array("0D" for _ in self._order)
+        table = ", ".join(
+            f"{sql_text(term)}, {array(f'{w!r}D' for w in row)}" for term, row in self._weights.items())
+        known = f"filter(regexp_extract_all(lower({text}), {sql_text(TOKEN)}, 0), " \
+                f"t -> t IN ({sql_list(self._weights)}))"
+        add = f"(sums, t) -> zip_with(sums, element_at(map({table}), t), (a, b) -> a + b)"
+        best = f"{array(map(sql_text, self._order))}[int(array_position(sums, array_max(sums)) - 1)]"
+        share = "array_max(sums) / reduce(sums, 0D, (a, b) -> a + b)"
+        pick = f"sums -> IF(array_max(sums) > 0D, {score(best, share)}, {score(sql_text(self._default), '0D')})"
+        return f"IF({sql_is_blank(text)}, {score(sql_text(UNKNOWN), '0D')}, " \
+               f"reduce({known}, {zeros}, {add}, {pick}))"
 
-        return F.when(is_blank(text), unknown()).otherwise(F.reduce(known, zeros, add, pick))
+    def score(self, text: str) -> Column:
+        return F.expr(self._sql(f"`{text}`"))
 
-    def score_list(self, texts: Column) -> Column:
-        return F.transform(texts, self.score)
+    def score_list(self, texts: str) -> Column:
+        return F.expr(f"transform(`{texts}`, x -> {self._sql('x')})")
 
 
 class LexiconTableScorer(Scorer):
@@ -164,7 +166,7 @@ class BatchScorer(ColumnScorer):
 
         return best
 
-    def score(self, text: Column) -> Column:
+    def score(self, text: str) -> Column:
         load, best = self._load, self._best()
 
         @F.pandas_udf(SCORE_TYPE)
@@ -173,9 +175,9 @@ class BatchScorer(ColumnScorer):
             for texts in batches:
                 yield pd.DataFrame(best(model, texts.tolist()), columns=["label", "confidence"])
 
-        return run(text)
+        return run(F.col(text))
 
-    def score_list(self, texts: Column) -> Column:
+    def score_list(self, texts: str) -> Column:
         load, best = self._load, self._best()
 
         @F.pandas_udf(f"array<{SCORE_TYPE}>")
@@ -189,7 +191,7 @@ class BatchScorer(ColumnScorer):
                     for row in rows
                 ])
 
-        return run(texts)
+        return run(F.col(texts))
 
 
 class ClassifierScorer(Scorer):

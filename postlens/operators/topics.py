@@ -19,13 +19,15 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlens.functions.text import clean_text, ngrams, tokens, without
+from postlens.functions.text import ascii_tokens, clean_text, ngrams, sql_list, without
 from postlens.operators.crosstab import row_shares
 from postlens.schema import STOP_WORDS
 from postlens.session import materialized
 
 # Above this many candidate words, longer terms are counted without the pre-filter.
 MAX_CANDIDATE_WORDS = 50_000
+# The vocabulary is fetched and sent to every task.
+MAX_FEATURES = 10_000
 DOCS_PER_TASK = 500
 
 
@@ -56,7 +58,8 @@ def with_words(docs: DataFrame, text: str, rules: TermRules = TermRules()) -> Da
     the cleaned text would be pushed below it and clean every text twice.
     """
     cleaned = docs.withColumn("_clean", clean_text(F.col(text)))
-    found = cleaned.withColumn("_words", without(tokens(F.col("_clean")), rules.stop_words))
+    found = cleaned.withColumn("_words", ascii_tokens(F.col("_clean")))
+    found = found.withColumn("_words", without("_words", rules.stop_words))
     kept = F.when(F.col("_clean") != "", F.array("_words"))
     return found.select(*docs.columns, F.explode_outer(kept).alias("words")).where(F.col("words").isNotNull())
 
@@ -115,6 +118,8 @@ def vocabulary(words: DataFrame, max_features: int = 100, rules: TermRules = Ter
     out before anything is shuffled. Fetches at most ``max_features`` rows per
     pass, plus the candidate words.
     """
+    if not 0 < max_features <= MAX_FEATURES:
+        raise ValueError(f"max_features must lie between 1 and {MAX_FEATURES}")
     # One table serves the document count, the best words and the candidates.
     singles = materialized(_term_totals(words, "words"), "word-totals")
     documents = int(singles.where(F.col("term").isNull()).agg(F.max("df")).first()[0] or 0)
@@ -128,7 +133,7 @@ def vocabulary(words: DataFrame, max_features: int = 100, rules: TermRules = Ter
         masked = words
         if names and len(names) <= MAX_CANDIDATE_WORDS:
             # A term with a null word is null.
-            masked = words.select(F.transform("words", lambda w: F.when(w.isin(*names), w)).alias("words"))
+            masked = words.select(F.expr(f"transform(words, w -> IF(w IN ({sql_list(names)}), w, NULL)) AS words"))
         grams = masked.select(ngrams(F.col("words"), max(2, rules.low), rules.high).alias("grams"))
         grams = grams.select(F.filter("grams", lambda g: g.isNotNull()).alias("grams"))
         longer = _fetch_top(_term_totals(grams, "grams"), documents, max_features, rules)
@@ -182,7 +187,7 @@ def tfidf_terms(corpus: Corpus) -> DataFrame:
         scalingVec=Vectors.dense(idf), inputCol="counts", outputCol="weighted").transform(corpus.counts())
     scaled = Normalizer(p=2.0, inputCol="weighted", outputCol="scaled").transform(weighted)
     mean = scaled.agg(vector_to_array(Summarizer.mean(F.col("scaled"))).alias("mean"))
-    names = F.array(*[F.lit(t) for t in vocab.terms])
+    names = F.expr(f"array({sql_list(vocab.terms)})")
     return mean.select(F.inline(F.arrays_zip(names.alias("term"), F.col("mean").alias("tfidf_score"))))
 
 
@@ -199,7 +204,7 @@ class TopicModel:
 
 
 def fit_topics(corpus: Corpus, k: int = 5, passes: int = 20, seed: int = 42,
-               batch: int = 128, max_batches: int = 4) -> TopicModel | None:
+               batch: int = 128, max_batches: int = 2) -> TopicModel | None:
     """Online variational LDA; None when there are fewer documents than topics or no terms.
 
     A pass is split into batches of ``batch`` documents, but into no more than

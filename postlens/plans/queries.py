@@ -33,7 +33,7 @@ from postlens.schema import POST_COLUMNS
 from postlens.session import work_path
 from postlens.sources import posts as src
 from postlens.sources.pages import with_metrics, extract_caption, inner_text
-from postlens.streaming.ingest import read_store, start_ingest
+from postlens.streaming.ingest import read_store, run_counters, start_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -47,10 +47,13 @@ FRAGMENT = r"<a\b[^>]*>([^<]*)</a>"
 
 
 def query(check: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function name; a trailing underscore, which tells it
+    from the operator of the same name, is left out."""
     def register(fn: Query) -> Query:
-        QUERIES[fn.__name__] = fn
+        name = fn.__name__.rstrip("_")
+        QUERIES[name] = fn
         if check is not None:
-            ORACLE[fn.__name__] = check.strip()
+            ORACLE[name] = check.strip()
         return fn
 
     return register
@@ -230,7 +233,7 @@ def project_rounded(spark, folder):
 
 @query(f"""WITH {S.POSTS} SELECT video_id, "timestamp", comments FROM posts
 ORDER BY "timestamp" NULLS LAST, video_id LIMIT 100""")
-def head_rows_by_time(spark, folder):
+def head_rows_(spark, folder):
     posts = T.posts(spark, folder, timed=True).select("video_id", "timestamp", "comments")
     return head_rows(posts, F.asc_nulls_last("timestamp"), "video_id", n=100)
 
@@ -268,7 +271,7 @@ def parse_counts(spark, folder):
 
 @query("""WITH r AS (SELECT event_id, CAST(user_id AS VARCHAR) || ' ' || event_type AS s FROM events)
 SELECT event_id, regexp_extract(s, '[0-9]+') AS strict, regexp_replace(s, '[^0-9.KMBkmb]', '', 'g') AS compat FROM r""")
-def metric_texts(spark, folder):
+def metric_text_(spark, folder):
     raw = F.concat(F.col("user_id").cast("string"), F.lit(" "), "event_type")
     return T.table(spark, folder, "events").select(
         "event_id", metric_text(raw).alias("strict"), metric_text(raw, compat=True).alias("compat")
@@ -298,7 +301,7 @@ def extract_post_id(spark, folder):
 @query(f"""WITH r AS (SELECT page_id, url, regexp_replace(url, '^https?://[^/]*', '') AS path FROM pages)
 SELECT page_id, '{LINK_HOST}' || path AS from_path,
   '{LINK_HOST}/' || substr(path, 2) AS from_relative, url AS from_full FROM r""")
-def absolute_urls(spark, folder):
+def absolute_url_(spark, folder):
     path = F.regexp_replace("url", "^https?://[^/]*", "")
     return T.table(spark, folder, "pages").select(
         "page_id", absolute_url(path, LINK_HOST).alias("from_path"),
@@ -342,7 +345,7 @@ best AS (SELECT page_id, first(fragment ORDER BY length(fragment) DESC, pos) AS
 SELECT p.page_id, md5(CASE WHEN length(coalesce(b.fragment, '')) > 0 THEN b.fragment
   ELSE {S.inner_text("p.html")} END) AS fragment_md5
 FROM pages p LEFT JOIN best b ON b.page_id = p.page_id""")
-def longest_fragments(spark, folder):
+def longest_fragment_(spark, folder):
     pages = T.texts(spark, folder, "pages").withColumn(
         "_fragments", F.regexp_extract_all("html", F.lit(FRAGMENT), F.lit(1)))
     return pages.select(
@@ -353,14 +356,14 @@ def longest_fragments(spark, folder):
 
 
 @query(f"SELECT doc_id, md5({S.clean('text')}) AS clean_md5 FROM documents")
-def clean_texts(spark, folder):
+def clean_text_(spark, folder):
     return T.texts(spark, folder, "documents").select("doc_id", F.md5(clean_text(F.col("text"))).alias("clean_md5"))
 
 
 @query(f"""WITH s AS (SELECT conv_id, turn, list_filter(list_transform(
     string_split(replace(text, '.', '|||'), '|||'), lambda x: {S.strip('x')}), lambda x: x <> '') AS c FROM conversations)
 SELECT conv_id, turn, CAST(len(c) AS BIGINT) AS n_comments, md5(array_to_string(c, '~')) AS comments_md5 FROM s""")
-def split_comment_lists(spark, folder):
+def split_comments_(spark, folder):
     packed = F.replace("text", F.lit("."), F.lit("|||"))
     lists = T.texts(spark, folder, "conversations").withColumn("_c", split_comments(packed))
     return lists.select(
@@ -370,7 +373,7 @@ def split_comment_lists(spark, folder):
 
 @query(f"""WITH {S.PACKED} SELECT p.video_id, md5(comment_text) AS packed_md5, least(n, 20) AS comment_count
 FROM packed p JOIN (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) c ON c.conv_id = p.video_id""")
-def pack_comment_lists(spark, folder):
+def pack_comments_(spark, folder):
     return C.pack_by_post(T.comments(spark, folder)).select(
         "video_id", F.md5("comment_text").alias("packed_md5"),
         F.col("comment_count_extracted").cast("bigint").alias("comment_count"))
@@ -404,7 +407,7 @@ def comments_json(spark, folder):
 @query(f"""WITH {S.TERMS}
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, md5(array_to_string(list_concat(ws, coalesce(list_transform(
     range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]), [])), '~')) AS terms_md5 FROM words""")
-def document_terms(spark, folder):
+def ngrams(spark, folder):
     terms = M.with_terms(T.texts(spark, folder, "documents"), "text")
     return terms.select(
         "doc_id", F.size("words").cast("bigint").alias("n_words"),
@@ -439,7 +442,7 @@ _SENTIMENT_CHECK = f"""WITH {_SENTIMENT} SELECT video_id, label AS sentiment_lab
 
 
 @query(_SENTIMENT_CHECK)
-def score_sentiment_lexicon(spark, folder):
+def score_sentiment_(spark, folder):
     scored = score_sentiment(_captions(spark, folder), T.sentiment_scorer())
     return rounded(scored.drop("caption"))
 
@@ -533,7 +536,7 @@ SELECT s.video_id, s.label AS sentiment_label, round_even(s.confidence, 6) AS se
   coalesce(m.total_comments, 0) AS total_analyzed_comments, {_FULL_PERCENT}
 FROM sentiment s JOIN emotion e USING (video_id) LEFT JOIN dominant x USING (video_id)
 LEFT JOIN means m USING (video_id) LEFT JOIN percents p USING (video_id)""")
-def full_analysis_table(spark, folder):
+def full_analysis_(spark, folder):
     posts = T.posts(spark, folder, packed=True).select("video_id", "caption", "comment_text")
     scored = full_analysis(posts, T.sentiment_scorer(), T.emotion_scorer())
     return rounded(scored.drop("caption", "comment_text", "individual_comment_emotions"))
@@ -647,23 +650,23 @@ def seen_ids(spark, folder):
 
 @query(f"""WITH {_PAGE_IDS}, {_STORED} SELECT video_id, page_id FROM unique_pages
 WHERE video_id NOT IN (SELECT video_id FROM stored)""")
-def new_posts(spark, folder):
+def new_posts_only_(spark, folder):
     return new_posts_only(_page_ids(spark, folder), _stored_ids(spark, folder), "page_id")
 
 
 @query(f"WITH {_PAGE_IDS}, {_STORED} SELECT video_id FROM found UNION SELECT video_id FROM stored")
-def seen_after(spark, folder):
+def seen_after_batch_(spark, folder):
     return seen_after_batch(_stored_ids(spark, folder), _page_ids(spark, folder))
 
 
 @query(f"""WITH {_PAGE_IDS}, {_STORED} SELECT video_id, page_id FROM unique_pages
 WHERE video_id NOT IN (SELECT video_id FROM stored) ORDER BY md5('42:' || video_id), video_id LIMIT 200""")
-def sample_posts(spark, folder):
+def sample_new_posts_(spark, folder):
     return sample_new_posts(_page_ids(spark, folder), _stored_ids(spark, folder), order=("page_id",))
 
 
 @query(f"""WITH {_PAGE_IDS} SELECT count(*) AS total_rows, count(DISTINCT video_id) AS distinct_posts FROM found""")
-def ingest_totals(spark, folder):
+def ingest_summary_(spark, folder):
     return ingest_summary(_page_ids(spark, folder))
 
 
@@ -721,18 +724,29 @@ SELECT video_id, caption, coalesce(TRY_CAST(raw_likes AS BIGINT), 0) AS likes,
   coalesce(TRY_CAST(raw_saves AS BIGINT), 0) AS saves FROM kept WHERE rn = 1"""
 
 
-@query(_INGEST_CHECK)
-def stream_ingest(spark, folder):
-    """Pages streamed into a store, run twice; the second run adds nothing."""
+def _streamed_store(spark: SparkSession, folder: str) -> str:
     store = work_path(spark, "stream-store")
     schema = T.table(spark, folder, "pages").schema
     for run in ("first", "second"):
         pages = spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(folder)
         start_ingest(pages, T.page_posts, store, work_path(spark, "stream-checkpoint"), run,
                      T.PAGE_KEYWORDS, ("page_id",)).awaitTermination()
+    return store
+
+
+@query(_INGEST_CHECK)
+def stream_ingest(spark, folder):
+    """Pages streamed into a store, run twice; the second run adds nothing."""
+    store = _streamed_store(spark, folder)
     return read_store(spark, store).select("video_id", "caption", "likes", "saves")
 
 
+@query(f"""WITH i AS ({_INGEST_CHECK}) SELECT count(*) AS taken_in_run, count(*) AS total_rows,
+  count(DISTINCT video_id) AS distinct_posts FROM i""")
+def run_counters_(spark, folder):
+    return run_counters(spark, _streamed_store(spark, folder), "first")
+
+
 @query(_INGEST_CHECK)
 def batch_ingest(spark, folder):
     """The same ingest as one batch job."""

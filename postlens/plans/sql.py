@@ -6,6 +6,7 @@ from postlens.functions.text import SPACE, WORD
 from postlens.plans import testbed as T
 from postlens.schema import STOP_WORDS
 
+TOKEN = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]{2,}"
 MARKUP = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&"))
 
 
@@ -72,7 +73,7 @@ def scored(name: str, source: str, keys: str, text: str, lex: str, default: str)
     return f"""
 {name}_hits AS (
   SELECT {keys}, label, label_pos, sum(weight) AS w
-  FROM (SELECT {keys}, unnest(regexp_extract_all(lower({text}), '[{WORD}]{{2,}}')) AS term FROM {source})
+  FROM (SELECT {keys}, unnest(regexp_extract_all(lower({text}), '{TOKEN}')) AS term FROM {source})
   JOIN {lex} USING (term) GROUP BY {keys}, label, label_pos
 ),
 {name}_best AS (

@@ -63,9 +63,19 @@ def shared_root(spark: SparkSession) -> str:
     return _local_root
 
 
+def _session_folder(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/postlens/{spark.sparkContext.applicationId}"
+
+
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_root(spark)}/postlens/{name}-{uuid.uuid4().hex}"
+    """A fresh path for this session below the shared folder."""
+    return f"{_session_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def discard_work(spark: SparkSession) -> None:
+    """Delete what this session has written to its part of the shared folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_session_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialized(df: DataFrame, name: str) -> DataFrame:

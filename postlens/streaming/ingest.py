@@ -78,6 +78,18 @@ def start_ingest(source: DataFrame, to_posts: Callable[[DataFrame], DataFrame],
     return writer.trigger(**trigger).start()
 
 
+def run_counters(spark: SparkSession, store: str, run: str) -> DataFrame:
+    """Posts taken by one run, and rows and distinct ids of the whole store."""
+    stored = read_store(spark, store)
+    taken = F.count_if(F.col("ingest_run") == run).alias("taken")
+    ids = stored.groupBy("video_id").agg(F.count("*").alias("n"), taken)
+    return ids.agg(
+        F.coalesce(F.sum("taken"), F.lit(0)).alias("taken_in_run"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"),
+        F.count("video_id").alias("distinct_posts"),
+    )
+
+
 def drop_repeats_within(stream: DataFrame, time: str, delay: str, key: str = "video_id") -> DataFrame:
     """First sight of each id within ``delay`` of event time, with bounded state."""
     timed = stream.withColumn(time, F.col(time).cast("timestamp"))

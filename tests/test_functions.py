@@ -83,8 +83,10 @@ def test_longest_fragment(column):
 
 
 def test_tokens_and_ngrams(column):
-    words = text.without(text.tokens(X), STOP_WORDS)
-    assert column(["alpha the beta a gamma", "solo", ""], words) == [["alpha", "beta", "gamma"], ["solo"], []]
+    assert column(["alpha béta! a x_1", "solo", ""], text.tokens(X)) == [["alpha", "béta", "x_1"], ["solo"], []]
+    kept = text.without("x", ["the", "don't", "back\\slash"])
+    assert column([["alpha", "the", "don't"], ["back\\slash", "beta"], []], kept, "array<string>") == [["alpha"], ["beta"], []]
+    assert column([["the", "red"]], text.without("x", STOP_WORDS), "array<string>") == [["red"]]
     grams = text.ngrams(X, 1, 2)
     assert column([["alpha", "beta", "gamma"], ["solo"], []], grams, "array<string>") == [
         ["alpha", "beta", "gamma", "alpha beta", "beta gamma"], ["solo"], []]

@@ -162,6 +162,12 @@ def test_summary(posts):
     assert A.result_summary(posts, 0).first()["displayed_rows"] == 5
 
 
+def test_headline_text(spark):
+    row = A.headline_text(spark.createDataFrame(
+        [(1234567, 0.4567, 2345.6)], "total_posts bigint, avg_sentiment_confidence double, avg_comments double")).first()
+    assert tuple(row) == ("1,234,567", "45.7%", "2,346")
+
+
 def test_label_choices(posts):
     got = {(r["column_name"], r["label"]) for r in P.label_choices(posts, "sentiment_label", "caption_emotion").collect()}
     assert got == {("sentiment_label", x) for x in ("Positive", "Negative", "Neutral")} | {

@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from postlens.operators import comments as C
 from postlens.operators.scoring import (
@@ -31,7 +30,7 @@ def fake_model():
 
 def test_lexicon(column):
     texts = ["Good, fine", "dark", "nothing here", "  ", None, "fine dark"]
-    out = column(texts, lexicon().score(F.col("x")))
+    out = column(texts, lexicon().score("x"))
     assert [r["label"] for r in out] == ["joy", "fear", "neutral", "Unknown", "Unknown", "fear"]
     assert out[0]["confidence"] == pytest.approx(3 / 3.5)
     assert [r["confidence"] for r in out[2:5]] == [0.0, 0.0, 0.0]

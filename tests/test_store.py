@@ -198,6 +198,15 @@ class _Session:
         self.conf = _Conf(value)
 
 
+def test_work_is_discarded(spark, tmp_path, monkeypatch):
+    from postlens import session
+    monkeypatch.setattr(session, "shared_root", lambda _: str(tmp_path))
+    kept = session.materialized(spark.range(3), "numbers")
+    assert kept.count() == 3 and glob.glob(f"{tmp_path}/postlens/*/numbers-*")
+    session.discard_work(spark)
+    assert not glob.glob(f"{tmp_path}/postlens/*")
+
+
 def test_shared_folder_comes_from_the_session():
     assert shared_root(_Session("hdfs://x/shared/")) == "hdfs://x/shared"
     with pytest.raises(ConfigError):

@@ -83,6 +83,12 @@ def test_nothing_to_count(spark):
         assert M.fit_topics(corpus) is None
 
 
+def test_vocabulary_size_is_checked(spark):
+    docs = spark.createDataFrame(corpus_rows(), "id int, text string")
+    with pytest.raises(ValueError):
+        M.build_corpus(docs, "text", M.MAX_FEATURES + 1)
+
+
 def test_topics(spark):
     a, b = "apple pear plum fig", "bolt screw nail gear"
     rows = [(i, " ".join(random.Random(i).choices((a if i % 2 else b).split(), k=8))) for i in range(40)]
