@@ -726,7 +726,7 @@ SELECT video_id, caption, coalesce(TRY_CAST(raw_likes AS BIGINT), 0) AS likes,
 
 def _streamed_store(spark: SparkSession, folder: str) -> str:
     store = work_path(spark, "stream-store")
-    schema = T.table(spark, folder, "pages").schema
+    schema = T.SCHEMAS["pages"]
     for run in ("first", "second"):
         pages = spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(folder)
         start_ingest(pages, T.page_posts, store, work_path(spark, "stream-checkpoint"), run,

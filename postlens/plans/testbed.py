@@ -52,8 +52,19 @@ def sentiment_scorer() -> LexiconScorer:
     return LexiconScorer(SENTIMENT_LEXICON, SENTIMENTS, SENTIMENT_DEFAULT)
 
 
+# Named here, so that no query starts with a job that reads file footers.
+SCHEMAS = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "pages": "page_id bigint, url string, html string",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
