@@ -145,8 +145,8 @@ def is_comment_line(line: Column) -> Column:
 
 def longest_fragment(fragments: Column, whole: Column) -> Column:
     """Longest fragment, the first among equals; the whole text if all are empty."""
-    best = F.reduce(
+    return F.reduce(
         fragments, F.lit(""),
         lambda kept, x: F.when(F.length(x) > F.length(kept), x).otherwise(kept),
+        lambda kept: F.when(F.length(kept) > 0, kept).otherwise(whole),
     )
-    return F.when(F.length(best) > 0, best).otherwise(whole)

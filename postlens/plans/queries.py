@@ -32,7 +32,7 @@ from postlens.plans.analysis import full_analysis
 from postlens.schema import POST_COLUMNS
 from postlens.session import work_path
 from postlens.sources import posts as src
-from postlens.sources.pages import with_metrics, extract_caption, inner_text
+from postlens.sources.pages import extract_caption, extract_comments, inner_text, with_metrics
 from postlens.streaming.ingest import read_store, run_counters, start_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -352,6 +352,24 @@ def longest_fragment_(spark, folder):
         "page_id", F.md5(longest_fragment(F.col("_fragments"), inner_text(F.col("html")))).alias("fragment_md5"))
 
 
+_VALID_LINE = rf"length(x) > 10 AND NOT regexp_matches(x, '^(\d+[KMkm]?|@[{WORD}]+|\d+[hdwmy])$')"
+_BLOCK_TEXT = S.inner_text(r"regexp_replace(a[i], '(?i)<br\s*/?>|</(p|div|li)>', chr(10), 'g')")
+
+
+@query(rf"""WITH b AS (SELECT page_id, regexp_extract_all(html, '(?is)<p\b[^>]*>(.*?)</p>', 1) AS a FROM pages),
+u AS (SELECT page_id, unnest(list_transform(range(1, len(a) + 1), lambda i: {{'pos': i, 'text': list_filter(
+    list_transform(string_split({_BLOCK_TEXT}, chr(10)), lambda x: {S.strip('x')}), lambda x: {_VALID_LINE})[1]}})) AS c
+  FROM b),
+k AS (SELECT page_id, c.text AS text, min(c.pos) AS pos FROM u WHERE c.text IS NOT NULL GROUP BY page_id, c.text),
+r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rn FROM k)
+SELECT p.page_id, count(r.text) AS n_comments, md5(coalesce(string_agg(r.text, ' ||| ' ORDER BY r.pos), '')) AS packed_md5
+FROM pages p LEFT JOIN r ON r.page_id = p.page_id AND r.rn <= 20 GROUP BY p.page_id""")
+def page_comments(spark, folder):
+    found = T.texts(spark, folder, "pages").withColumn("_comments", extract_comments(T.PAGE_COMMENTS))
+    return found.select("page_id", F.size("_comments").cast("bigint").alias("n_comments"),
+                        F.md5(pack_comments(F.col("_comments"))).alias("packed_md5"))
+
+
 # --- Text functions --------------------------------------------------------------------
 
 
@@ -379,9 +397,6 @@ def pack_comments_(spark, folder):
         F.col("comment_count_extracted").cast("bigint").alias("comment_count"))
 
 
-_VALID_LINE = rf"length(x) > 10 AND NOT regexp_matches(x, '^(\d+[KMkm]?|@[{WORD}]+|\d+[hdwmy])$')"
-
-
 @query(f"""WITH b AS (SELECT conv_id AS video_id, turn AS pos, list_filter(list_transform(string_split(text, chr(10)),
     lambda x: {S.strip('x')}), lambda x: {_VALID_LINE})[1] AS text FROM conversations),
 u AS (SELECT video_id, text, min(pos) AS pos FROM b WHERE text IS NOT NULL GROUP BY video_id, text),

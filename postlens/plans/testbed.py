@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from postlens.operators.comments import pack_by_post
 from postlens.operators.scoring import LexiconScorer
 from postlens.session import spread
-from postlens.sources.pages import METRICS, ExtractionRule, pages_to_posts
+from postlens.sources.pages import METRICS, CommentRule, ExtractionRule, pages_to_posts
 
 EMOTIONS = ("joy", "anger", "fear", "sadness", "surprise", "disgust")
 EMOTION_LEXICON = (
@@ -41,6 +41,7 @@ METRIC_RULES = (
     ExtractionRule("comments", 0, r"page=(\d+)", source="url"),
     ExtractionRule("saves", 0, r"<!-- ad (\d+) -->"),
 )
+PAGE_COMMENTS = CommentRule(r"(?is)<p\b[^>]*>(.*?)</p>")
 PAGE_KEYWORDS = ("the", "der", "que", "les")
 
 
@@ -124,7 +125,7 @@ def posts(spark: SparkSession, folder: str, packed: bool = False, timed: bool =
 
 
 def page_posts(pages: DataFrame) -> DataFrame:
-    return pages_to_posts(pages, CAPTION_RULES, METRIC_RULES, PAGE_ID, keep=("page_id",))
+    return pages_to_posts(pages, CAPTION_RULES, METRIC_RULES, PAGE_COMMENTS, PAGE_ID, keep=("page_id",))
 
 
 PAGE_METRICS = METRICS

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from postlens.functions.counts import metric_text, parse_count
 from postlens.functions.links import post_id
-from postlens.functions.text import first_non_blank
-from postlens.schema import POST_COLUMNS, POST_ID_PATTERN, POST_SCHEMA
+from postlens.functions.records import comment_records
+from postlens.functions.text import comment_body, first_non_blank, longest_fragment, pack_comments
+from postlens.schema import MAX_COMMENTS_PER_POST, POST_COLUMNS, POST_ID_PATTERN
 
 METRICS = ("likes", "comments", "saves")
 
@@ -77,6 +78,21 @@ CAPTION_MARKERS = (
 )
 
 
+@dataclass(frozen=True)
+class CommentRule:
+    """Where a page has its comments: ``block`` captures one comment block, ``fragment``
+    the inner pieces of a block, of which the longest is the comment text."""
+
+    block: str
+    group: int = 1
+    fragment: str = r"(?is)<span\b[^>]*>(.*?)</span>"
+    limit: int = MAX_COMMENTS_PER_POST
+
+
+# Fixed value: the marker of a top-level comment.
+DEFAULT_COMMENTS = CommentRule(rf"(?is){_tag('data-e2e', 'comment-level-1')}(.*?)</\1>", 2)
+
+
 def default_metric_rules() -> list[ExtractionRule]:
     rules = []
     for field, markers in METRIC_MARKERS.items():
@@ -100,6 +116,23 @@ def inner_text(c: Column) -> Column:
     return text
 
 
+def block_text(c: Column) -> Column:
+    """Markup text with a line break where a line or a block ends."""
+    return inner_text(F.regexp_replace(c, r"(?i)<br\s*/?>|</(?:p|div|li)>", "\n"))
+
+
+def extract_comments(rule: CommentRule) -> Column:
+    """Comment texts of a page, in page order: the real line of each block, each text
+    once, at most ``rule.limit``. Row-local, as a page holds its own comments."""
+    def comment(block: Column) -> Column:
+        pieces = F.transform(F.regexp_extract_all(block, F.lit(rule.fragment), F.lit(1)), block_text)
+        return comment_body(longest_fragment(pieces, block_text(block)))
+
+    blocks = F.regexp_extract_all(F.col("html"), F.lit(rule.block), F.lit(rule.group))
+    found = F.filter(F.transform(blocks, comment), lambda x: x.isNotNull())
+    return F.slice(F.array_distinct(found), 1, rule.limit)
+
+
 def _candidates(rules: Sequence[ExtractionRule], field: str) -> list[Column]:
     chosen = sorted((r for r in rules if r.field == field), key=lambda r: r.priority)
     return [inner_text(r.column()) for r in chosen]
@@ -143,22 +176,24 @@ def with_metrics(pages: DataFrame, rules: Sequence[ExtractionRule],
 
 def pages_to_posts(pages: DataFrame, caption_rules: Sequence[ExtractionRule] | None = None,
                    metric_rules: Sequence[ExtractionRule] | None = None,
+                   comment_rule: CommentRule | None = DEFAULT_COMMENTS,
                    id_pattern: str = POST_ID_PATTERN, compat: bool = False,
                    keep: Sequence[str] = ()) -> DataFrame:
     """Post rows from ``pages(url, html)``; pages whose url has no id are skipped.
 
     Works on batch and streaming input. ``keep`` names page columns to carry
-    along, such as an arrival order.
+    along, such as an arrival order. Without a ``comment_rule`` no comments are taken.
     """
     posts = pages.withColumns({
         "video_id": post_id(F.col("url"), id_pattern),
         "caption": extract_caption(caption_rules or default_caption_rules()),
     }).where(F.col("video_id").isNotNull())
-    posts = with_metrics(posts, metric_rules or default_metric_rules(), compat).withColumns({
+    texts = extract_comments(comment_rule) if comment_rule else F.array().cast("array<string>")
+    posts = with_metrics(posts, metric_rules if metric_rules is not None else default_metric_rules(), compat)
+    posts = posts.withColumns({"_comments": texts, "timestamp": F.current_timestamp()}).withColumns({
         "video_url": F.col("url"),
-        "comment_text": F.lit(""),
-        "comment_count_extracted": F.lit(0),
-        "comments_data": F.array().cast(POST_SCHEMA["comments_data"].dataType),
-        "timestamp": F.current_timestamp(),
+        "comment_text": pack_comments(F.col("_comments")),
+        "comment_count_extracted": F.size("_comments"),
+        "comments_data": comment_records(F.col("_comments"), F.col("timestamp")),
     })
     return posts.select(*POST_COLUMNS, "metrics_source", *keep)

@@ -98,6 +98,24 @@ def test_default_page_rules(spark):
     assert row["saves"] == 9 and row["metrics_source"] == "position"
 
 
+def test_page_comments(spark):
+    def block(inner):
+        return f'<div data-e2e="comment-level-1">{inner}</div>'
+
+    html = "".join([
+        block("<span>@user</span><span>a long enough comment</span><span>3d</span>"),
+        block("<p>@user</p><br>12K<br>whole text as a fallback"),
+        block("<span>a long enough comment</span>"), block("<span>too short</span>"),
+        *[block(f"<span>comment with number {i}</span>") for i in range(25)],
+    ])
+    pages = spark.createDataFrame([("https://h/video/1", html), ("https://h/video/2", "")], "url string, html string")
+    one, two = pages_to_posts(pages).orderBy("video_id").collect()
+    texts = ["a long enough comment", "whole text as a fallback", *[f"comment with number {i}" for i in range(18)]]
+    assert one["comment_text"] == " ||| ".join(texts) and one["comment_count_extracted"] == 20
+    assert [c["text"] for c in one["comments_data"]] == texts
+    assert two["comment_text"] == "" and two["comments_data"] == []
+
+
 def test_positional_fallback(spark):
     pages = spark.createDataFrame([
         ("<strong>1</strong><strong>2K</strong><strong>3</strong>", ""),
@@ -134,7 +152,7 @@ def page_rows(spark, rows):
 
 
 def to_posts(pages):
-    return pages_to_posts(pages, RULES, [], r"/(\d+)$", keep=("page_id",))
+    return pages_to_posts(pages, RULES, [], None, r"/(\d+)$", keep=("page_id",))
 
 
 def ingest(spark, pages_dir, store, checkpoint, run):
