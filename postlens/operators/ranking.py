@@ -26,16 +26,19 @@ def first_per_key(df: DataFrame, key: str, *order: str | Column, n: int = 1) ->
     return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
 
-def with_row_index(df: DataFrame, *order: str | Column, name: str = "row_index") -> DataFrame:
+def with_row_index(df: DataFrame, *order: str | Column, name: str = "row_index",
+                   partitions: int | None = None) -> DataFrame:
     """0-based position in a stated order, computed without a one-task window.
 
     Rows are range-partitioned, sorted and written once to the shared folder;
     the index is the position inside the partition plus the size of the
     partitions before it (one row per partition). ``order`` should be unique.
+    ``partitions`` defaults to ``spark.sql.shuffle.partitions``; set it so that a
+    partition is some hundred megabytes.
     """
     if not order:
         raise ValueError("with_row_index needs an order")
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = materialized(
         df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
         .withColumns({"_part": F.spark_partition_id(), "_id": F.monotonically_increasing_id()}),

@@ -69,9 +69,11 @@ def read_posts(spark: SparkSession, path: str, fmt: str = "csv",
 
 
 def read_drifted(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Union of CSV files whose headers differ; each is read under its own header.
+    """Union of CSV sources whose headers differ; each is read under its own header.
 
-    One reader over several paths would take the first header for all of them.
+    A path is a file, a folder or a pattern of files that share one header, so
+    name one path per header. One reader over all of them would take the first
+    header for every file.
     """
     frames = [read_posts(spark, p) for p in paths]
     union = frames[0]

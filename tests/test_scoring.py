@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from postlens.operators import comments as C
 from postlens.operators.scoring import (
@@ -137,6 +138,21 @@ def test_packed_form_agrees_with_long_form(spark):
     assert left == right
 
 
+def test_one_post_with_most_comments(spark):
+    """A hot post is reduced before the shuffle, and nothing of it is lost."""
+    rows = spark.range(30_000).select(
+        F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.concat(F.lit("p"), "id")).alias("video_id"),
+        F.col("id").alias("pos"), F.when(F.col("id") % 2 == 0, "joy").otherwise("fear").alias("emotion"),
+        F.lit(0.5).alias("confidence"), F.lit("t").alias("text"))
+    summary = C.summarize_comments(rows, ["joy", "fear"])
+    hot = summary.where("video_id = 'hot'").first()
+    assert (hot["total_comments"], hot["dominant_emotion"]) == (20_000, "fear")
+    assert "partial_count" in summary._jdf.queryExecution().executedPlan().toString()
+    nested = C.nest_comments(rows, rows.select("video_id").distinct(), rows=1_000).where("video_id = 'hot'").collect()
+    assert max(r["total_comments"] for r in nested) <= 1_000
+    assert sum(r["total_comments"] for r in nested) == 20_000
+
+
 def test_clean_comments(spark):
     rows = [("p", i, f"comment number {i % 25}") for i in range(40)]
     rows += [("q", 0, "@user\n12K\nshort\na long enough line"), ("q", 1, "exactly 10"), ("q", 2, "a long enough line")]
