@@ -1,22 +1,59 @@
-"""Training-data pipeline over ``documents``: language, lines, near copies, repeated passages, packing."""
+"""Training-data pipeline over ``documents``: language, lines, near copies, repeated passages, packing.
+
+Each stage takes what its predecessor kept; all but the last return the columns of ``documents``, with ``n_chars`` of the
+text that they return.
+"""
 
 from __future__ import annotations
 
-from postlens.llm.packing import pack_documents
+from pyspark.sql import functions as F
+
+from postlens.llm import langid, lines, packing, simhash, suffixes
 from postlens.llm.queries import _vocabulary
+from postlens.llm.store import keep
+
+
+def _measured(rows):
+    return rows.select("row.*").withColumn("n_chars", F.length("text").cast("long"))
+
+
+def language_id(spark, docs, sf_dir):
+    """Documents whose language is not known go."""
+    model = langid.fit_text_model(docs)
+    judged = langid.identify(docs, model, declared_col="lang", host_col="source")
+    return judged.where("accepted").select("row.*")
+
+
+def line_dedup(spark, docs, sf_dir):
+    """Repeated lines go, all documents stay."""
+    return _measured(lines.dedup_lines(docs))
+
+
+def near_dedup(spark, docs, sf_dir):
+    """Of documents with a five-word similarity of 0.8 or more, the one with the smallest id stays; a document without an id stays."""
+    found = keep(simhash.simhash_components(docs, shingle=5, bits=256, differences=simhash.differences_at(0.8, 256),
+                                            masks=simhash.random_masks(256, 18, 48)), "near_copies")
+    gone = found.where("component_id <> doc_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti")
+
+
+def passage_dedup(spark, docs, sf_dir):
+    """Passages of 50 words or more that an earlier document has go, all documents stay."""
+    return _measured(suffixes.dedup_passages(docs))
 
 
-def packing(spark, docs, sf_dir):
-    return pack_documents(docs, _vocabulary("word_bpe_49k.json"), end_id=1, size=2048)
+def pack(spark, docs, sf_dir):
+    """Token sequences of at most 2048 ids."""
+    return packing.pack_documents(docs, _vocabulary("word_bpe_49k.json"), end_id=1, size=2048)
 
 
-STAGES = [("packing", packing)]
+STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("passage_dedup", passage_dedup), ("packing", pack)]
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """The stages in a row over ``documents``."""
+    """The stages in a row over ``documents``, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = keep(stage(spark, docs, sf_dir), f"stage_{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from postlens.llm import bpe, licenses, packing, simhash, tokenfile, vectors
+from postlens.llm import bpe, fingerprints, langid, licenses, lines, packing, simhash, suffixes, tokenfile, vectors
 from postlens.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,11 +29,22 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_imatch(spark, sf_dir):
+    return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_near_vectors(spark, sf_dir):
     return vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op3_line_dedup(spark, sf_dir):
+    out = lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("row.doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_kept").cast("long").alias("n_kept"), "row.text")
+
+
 @query
 def op4_bpe(spark, sf_dir):
     return bpe.bpe_digest(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
@@ -50,6 +62,11 @@ def op6_license_scan(spark, sf_dir):
     return licenses.license_scan(_table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_repeated_passages(spark, sf_dir):
+    return suffixes.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_simhash(spark, sf_dir):
     return simhash.simhash_components(_table(spark, sf_dir, "documents"), shingle=3, bits=64, differences=3)
@@ -58,3 +75,17 @@ def op8_simhash(spark, sf_dir):
 @query
 def op9_packing(spark, sf_dir):
     return packing.pack_documents(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=1, size=2048)
+
+
+@query
+def op10_language_id(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.fit_text_model(docs)
+    return langid.identify(docs, model, declared_col="lang", host_col="source", id_col="doc_id").withColumnRenamed("row", "doc_id")
+
+
+@query
+def language_id_pages(spark, sf_dir):
+    pages = langid.page_evidence(_table(spark, sf_dir, "pages"))
+    model = langid.fit_text_model(_table(spark, sf_dir, "documents"))
+    return langid.identify(pages, model, declared_col="declared", host_col="host", suffix_col="suffix", id_col="page_id").withColumnRenamed("row", "page_id")

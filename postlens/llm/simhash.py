@@ -10,6 +10,7 @@ block with those of other tasks, by the same bound.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,6 +79,11 @@ def random_masks(bits: int, width: int, count: int, seed: int = 7) -> list[list[
     return [sorted(rng.choice(bits, width, replace=False).tolist()) for _ in range(count)]
 
 
+def differences_at(similarity: float, bits: int) -> int:
+    """Differing bits to expect of two sets of equal size with this Jaccard similarity."""
+    return int(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
 def gray_rank(rows: np.ndarray) -> np.ndarray:
     """Place of each row of bits in the order of the reflected Gray code, as bits."""
     return np.bitwise_xor.accumulate(rows, axis=1)
