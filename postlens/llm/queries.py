@@ -89,3 +89,38 @@ def language_id_pages(spark, sf_dir):
     pages = langid.page_evidence(_table(spark, sf_dir, "pages"))
     model = langid.fit_text_model(_table(spark, sf_dir, "documents"))
     return langid.identify(pages, model, declared_col="declared", host_col="host", suffix_col="suffix", id_col="page_id").withColumnRenamed("row", "page_id")
+
+
+ORACLE["op2_near_vectors"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND list_count(embedding) = len(embedding) AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (
+  SELECT vec_id AS node, vec_id AS seen FROM embeddings
+  UNION
+  SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.seen),
+heads AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
+SELECT m.vec_id, (SELECT count(*) FROM links WHERE a = m.vec_id) AS n_links, h.component_id, h.component_id = m.vec_id AS kept
+FROM embeddings m JOIN heads h ON h.node = m.vec_id
+"""
+
+ORACLE["op3_line_dedup"] = """
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i, ls[i] AS raw, trim(ls[i], ' ') AS x, doc_id * 10000000 + i AS pos
+      FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+f AS (SELECT x, min(pos) AS pos FROM l WHERE x <> '' GROUP BY x),
+s AS (SELECT pos, p, hash(left(x, p - 1) || substring(x, p + 1)) AS v, length(x) AS n
+      FROM (SELECT pos, x, unnest(range(1, length(x) + 1)) AS p FROM f WHERE length(x) >= 16)),
+lost_same_place AS (SELECT pos FROM (SELECT pos, min(pos) OVER (PARTITION BY p, v) AS least FROM s) WHERE pos > least),
+lost_shorter AS (SELECT greatest(s.pos, f.pos) AS pos FROM s JOIN f ON hash(f.x) = s.v AND length(f.x) = s.n - 1 AND length(f.x) >= 16),
+gone AS (SELECT pos FROM lost_same_place UNION SELECT pos FROM lost_shorter),
+kept AS (SELECT pos FROM f WHERE pos NOT IN (SELECT pos FROM gone))
+SELECT d.doc_id, max(len(d.ls))::BIGINT AS n_lines, count(l.i)::BIGINT AS n_kept, coalesce(string_agg(l.raw, chr(10) ORDER BY l.i), '') AS text
+FROM d LEFT JOIN l ON l.doc_id = d.doc_id AND (l.x = '' OR l.pos IN (SELECT pos FROM kept))
+GROUP BY d.doc_id
+"""

@@ -161,7 +161,8 @@ def _neighbours(contexts: DataFrame) -> DataFrame:
             for row in rows:
                 first = (row["first_id"], row["first_of"], row["first_at"])
                 if (row["id"], row["of"]) != first[:2]:  # its 34 words stand in an earlier document for certain
-                    spans.append({"id": row["id"], "of": row["of"], "start": row["at"], "stop": row["at"] + REACH, "extra": True, "other": first[0]})
+                    head = dict(zip(("id", "of", "at"), first, strict=True)) | {"key": row["key"], "before": row["first_before"], "after": row["first_after"]}
+                    spans += _match(head, row)[1:] or [{"id": row["id"], "of": row["of"], "start": row["at"], "stop": row["at"] + REACH, "extra": True, "other": first[0]}]
                 if last is None:
                     edges.append(row | {"edge": part - 1, "side": 1})
                 else:
@@ -229,7 +230,10 @@ def _passages(docs: DataFrame) -> DataFrame:
     some = keep(suffixes.join(shared, "key", "left_semi"), "suffixes")
     first = keep(some.groupBy("key").agg(F.min(F.struct("id", "of", "at")).alias("first")), "first_suffixes")
     wanted = some.join(first, "key")
-    return keep(_per_document(_neighbours(_contexts(docs, wanted))), "passages")
+    contexts = keep(_contexts(docs, wanted), "contexts")
+    is_first = same(F.col("id"), F.col("first_id")) & (F.col("of") == F.col("first_of")) & (F.col("at") == F.col("first_at"))
+    heads = keep(contexts.where(is_first).select("key", F.col("before").alias("first_before"), F.col("after").alias("first_after")).dropDuplicates(["key"]), "first_contexts")
+    return keep(_per_document(_neighbours(contexts.join(heads, "key"))), "passages")
 
 
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
