@@ -24,9 +24,11 @@ def label_at(labels: Sequence[str], index: Column) -> Column:
     return F.coalesce(F.get(names, index), F.lit(UNKNOWN))
 
 
-def best_class(scores: Column, labels: Sequence[str], softmax: bool = True) -> Column:
+def best_class(scores: Column, labels: Sequence[str] | str, softmax: bool = True) -> Column:
     """Best label of a score array and its probability; the first wins a tie.
 
+    ``labels`` are the classes' names, or a prefix to the class number.
+
     ``scores`` should be a plain column. With ``softmax`` the scores are
     logits; the largest one's probability is 1 / sum(exp(x - max)).
     """
@@ -40,7 +42,8 @@ def best_class(scores: Column, labels: Sequence[str], softmax: bool = True) -> C
         confidence = 1.0 / F.reduce(gaps, F.lit(0.0), lambda total, g: total + g)
     else:
         confidence = top
-    return F.when(top.isNull(), unknown()).otherwise(labelled(label_at(labels, index), confidence))
+    name = F.concat(F.lit(labels), index.cast("string")) if isinstance(labels, str) else label_at(labels, index)
+    return F.when(top.isNull(), unknown()).otherwise(labelled(name, confidence))
 
 
 def count_labels(labels: str) -> Column:

@@ -6,12 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postlens.schema import COMMENT_RECORD, COMMENT_RECORD_CHARS
+from postlens.schema import COMMENT_RECORD
 
 
 def comment_records(texts: Column, extracted_at: Column,
-                    max_chars: int | None = COMMENT_RECORD_CHARS) -> Column:
-    """Record list of a text list; a stored record keeps ``max_chars`` characters."""
+                    max_chars: int | None = None) -> Column:
+    """Record list of a text list; with ``max_chars`` a record keeps so many characters."""
     def record(text: Column) -> Column:
         kept = F.substring(text, 1, max_chars) if max_chars else text
         return F.struct(kept.alias("text"), extracted_at.cast("timestamp").alias("extracted_at"))

@@ -6,6 +6,8 @@ aggregation; whatever follows works on one row per label (or per distinct count)
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,44 +108,63 @@ def top_label(posts: DataFrame, label: str) -> DataFrame:
     return _most_common(posts.groupBy(label).agg(F.count("*").alias("n")), label)
 
 
-def _magnitude(v: Column) -> Column:
-    """Order-preserving bucket of a number: 64 buckets per power of two."""
-    return F.floor(F.signum(v) * F.log2(F.abs(v) + 1.0) * 64).cast("bigint")
+RANGES = 1024
+
+
+def _within(hist: DataFrame, low: float, high: float) -> DataFrame:
+    """(slot, n, least, most) over ``RANGES`` equal slots of the values from ``low`` to ``high``."""
+    inside = hist.where((F.col("v") >= F.lit(low)) & (F.col("v") <= F.lit(high)))
+    scale = 1.0 if math.isfinite(high - low) else 0.5
+    share = (F.col("v") * scale - F.lit(low * scale)) / F.lit(high * scale - low * scale)
+    slot = F.least(F.floor(share * RANGES), F.lit(RANGES - 1)) if high > low else F.lit(0)
+    return inside.groupBy(slot.cast("int").alias("slot")).agg(F.sum("n").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
 
 
 def histogram_quantile(histogram: DataFrame, value: str, n: str, q: float) -> DataFrame:
     """Exact quantile with linear interpolation, from (value, n) rows.
 
-    The rank is first located in a bounded list of magnitude buckets, and only
-    the values of the one or two buckets that hold it are put in order, so no
-    task sees all values. Returns one row ``quantile``, null if there are no rows.
+    The range that holds the two ranks is cut into slots, whose counts and least and
+    largest values come from a plain aggregate, and narrowed to the slots that hold
+    them, until each rank lies in a slot of one value. So no task puts values in order: a
+    round fetches at most ``RANGES`` rows, however the values are spread, and
+    narrows the range by that factor or to the values there are. Runs when it is
+    called. Returns one row ``quantile``, null if there are no rows. NaN counts as the
+    largest value.
     """
+    spark = histogram.sparkSession
     hist = histogram.where(F.col(value).isNotNull()).select(
-        F.col(value).cast("double").alias("v"), F.col(n).cast("bigint").alias("n")
-    ).withColumn("bucket", _magnitude(F.col("v")))
-    total = F.sum("bn").over(Window.partitionBy())
-    upto = F.sum("bn").over(Window.orderBy("bucket"))
-    position = (F.col("total") - 1) * F.lit(q)
-    buckets = (
-        hist.groupBy("bucket").agg(F.sum("n").alias("bn"))
-        .withColumns({"total": total, "upto": upto})
-        .withColumns({"low": F.floor(position), "high": F.ceil(position), "part": position - F.floor(position)})
-        .where((F.col("upto") > F.col("low")) & (F.col("upto") - F.col("bn") <= F.col("high")))
-        .select("bucket", (F.col("upto") - F.col("bn")).alias("before"), "low", "high", "part")
-    )
-    # At most two rows by construction: the buckets of two neighbouring ranks.
-    ranked = hist.join(F.broadcast(buckets), "bucket").withColumn(
-        "rank_end", F.col("before") + F.sum("n").over(Window.partitionBy("bucket").orderBy("v"))
-    )
-    low = F.min(F.when(F.col("rank_end") > F.col("low"), F.col("v")))
-    high = F.min(F.when(F.col("rank_end") > F.col("high"), F.col("v")))
-    return ranked.agg(low.alias("a"), high.alias("b"), F.first("part").alias("part")).select(
-        (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("quantile")
-    )
+        F.col(value).cast("double").alias("v"), F.col(n).cast("bigint").alias("n"))
+    finite = hist.where(~F.isnan("v") & (F.abs("v") < F.lit(math.inf)))
+    ends = hist.agg(F.sum("n"), F.sum(F.when(F.col("v") == F.lit(-math.inf), F.col("n")))).head()
+    if not ends[0]:
+        return spark.createDataFrame([(None,)], "quantile double")
+    position = (ends[0] - 1) * q
+    ranks = {math.floor(position), math.ceil(position)}
+    found: dict[int, float] = {r: -math.inf for r in ranks if r < (ends[1] or 0)}
+    span = finite.agg(F.min("v"), F.max("v"), F.sum("n")).head()
+    last = (ends[1] or 0) + (span[2] or 0)
+    if beyond := [r for r in ranks if r >= last]:
+        infinite = hist.agg(F.sum(F.when(F.col("v") == F.lit(math.inf), F.col("n")))).head()[0] or 0
+        found |= {r: math.inf if r < last + infinite else math.nan for r in beyond}
+    ranges = [(span[0], span[1], ends[1] or 0, [r for r in ranks if r not in found])]
+    while ranges:
+        low, high, before, wanted = ranges.pop()
+        if not wanted:
+            continue
+        for slot in _within(finite, low, high).orderBy("slot").collect():
+            held = [r for r in wanted if before <= r < before + slot["n"]]
+            if held and slot["least"] == slot["most"]:
+                found |= dict.fromkeys(held, slot["least"])
+            elif held:
+                ranges.append((slot["least"], slot["most"], before, held))
+            before += slot["n"]
+    a, b = found[math.floor(position)], found[math.ceil(position)]
+    part = position - math.floor(position)
+    return spark.createDataFrame([(a if part == 0 else a + (b - a) * part,)], "quantile double")
 
 
 def exact_quantile(df: DataFrame, column: str, q: float = ENGAGEMENT_QUANTILE) -> DataFrame:
-    """Exact quantile of a column; its histogram is written once, so ``df`` is read once."""
+    """Exact quantile of a column, found when this is called; its histogram is written once, so ``df`` is read once."""
     histogram = materialized(df.groupBy(column).agg(F.count("*").alias("n")), "histogram")
     return histogram_quantile(histogram, column, "n", q)
 
@@ -163,7 +184,7 @@ def high_engagement_label(posts: DataFrame, label: str = "sentiment_label",
     require_columns(posts, label, "comments")
     hist = materialized(posts.groupBy(label, "comments").agg(F.count("*").alias("n")), "histogram")
     limit = histogram_quantile(hist.groupBy("comments").agg(F.sum("n").alias("n")), "comments", "n", q)
-    above = hist.where(F.col("comments") > limit.scalar())
+    above = hist.where(F.col("comments") > F.lit(limit.head()[0]))
     return _most_common(above.groupBy(label).agg(F.sum("n").alias("n")), label)
 
 

@@ -17,28 +17,31 @@ from postlens.functions.labels import count_labels, label_shares
 from postlens.functions.text import comment_body, pack_comments, split_comments, sql_text
 from postlens.operators.ranking import first_per_key
 from postlens.operators.scoring import ColumnScorer, Scorer
-from postlens.schema import MAX_COMMENTS_PER_POST, UNKNOWN
+from postlens.schema import UNKNOWN
 
 NEST_ROWS = 10_000
 
 
-def clean_comments(comments: DataFrame, limit: int = MAX_COMMENTS_PER_POST) -> DataFrame:
+def clean_comments(comments: DataFrame, limit: int | None = None) -> DataFrame:
     """Valid comment texts per post as (video_id, pos, text).
 
     From (video_id, pos, text): the first real line of each block, equal texts
-    of a post once (first position), at most ``limit`` per post by position.
+    of a post once (first position). A ``limit`` keeps so many per post, by position.
     """
     bodies = comments.select("video_id", "pos", comment_body(F.col("text")).alias("text"))
     unique = bodies.where(F.col("text").isNotNull()).groupBy("video_id", "text").agg(F.min("pos").alias("pos"))
-    return first_per_key(unique, "video_id", "pos", n=limit).select("video_id", "pos", "text")
+    kept = first_per_key(unique, "video_id", "pos", n=limit) if limit else unique
+    return kept.select("video_id", "pos", "text")
 
 
-def pack_by_post(comments: DataFrame, limit: int = MAX_COMMENTS_PER_POST) -> DataFrame:
+def pack_by_post(comments: DataFrame, limit: int | None = None) -> DataFrame:
     """(video_id, comment_text, comment_count_extracted) from (video_id, pos, text).
 
-    A packed field holds at most ``limit`` comments, so no list grows with the data.
+    A packed field holds all comments of its post, or the first ``limit``. Where one
+    post has more than a row can hold, keep the comments long: ``full_analysis``
+    takes them as a table.
     """
-    kept = first_per_key(comments, "video_id", "pos", n=limit)
+    kept = first_per_key(comments, "video_id", "pos", n=limit) if limit else comments
     ordered = F.transform(
         F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]
     )
@@ -69,24 +72,25 @@ def score_comments(comments: DataFrame, scorer: Scorer) -> DataFrame:
 def nest_comments(scored: DataFrame, posts: DataFrame, rows: int = NEST_ROWS) -> DataFrame:
     """Comment, emotion and confidence lists per post, in comment order.
 
-    Posts without comments get empty lists. A list holds at most ``rows``
-    comments: a longer post continues in further rows, numbered by ``chunk``,
-    and nothing is left out. Comments are taken to belong to a listed post.
-    Both inputs go through one shuffle; there is no join.
+    Posts without comments get empty lists; comments of posts that are not listed
+    are left out, as in a left outer join from the posts. A list covers ``rows``
+    positions: a longer post continues in further rows, numbered by ``chunk``, each
+    with the post's ``total_comments``, and nothing is left out.
     """
     item = F.struct("pos", "text", "emotion", "confidence")
-    items = scored.select("video_id", F.floor(F.col("pos") / rows).cast("bigint").alias("chunk"), item.alias("item"))
-    empty = posts.select("video_id", F.lit(0).cast("bigint").alias("chunk"))
-    nested = (
-        items.unionByName(empty, allowMissingColumns=True)
-        .groupBy("video_id", "chunk").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    )
-    return nested.select(
+    chunk = F.floor(F.col("pos") / rows).cast("bigint")
+    nested = scored.groupBy("video_id", chunk.alias("chunk")).agg(F.sort_array(F.collect_list(item)).alias("items"))
+    totals = comment_counts(scored)
+    joined = posts.select("video_id").distinct().join(totals, "video_id", "left").join(nested, "video_id", "left")
+    none = F.array().cast(nested.schema["items"].dataType)
+    filled = joined.select("video_id", F.coalesce("chunk", F.lit(0)).alias("chunk"), F.coalesce("items", none).alias("items"),
+                           F.coalesce("total_comments", F.lit(0)).alias("total_comments"))
+    return filled.select(
         "video_id", "chunk",
         F.col("items.text").alias("comments"),
         F.col("items.emotion").alias("emotions"),
         F.col("items.confidence").alias("confidences"),
-        F.size("items").cast("bigint").alias("total_comments"),
+        "total_comments",
     )
 
 

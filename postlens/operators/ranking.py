@@ -33,14 +33,16 @@ def with_row_index(df: DataFrame, *order: str | Column, name: str = "row_index",
     Rows are range-partitioned, sorted and written once to the shared folder;
     the index is the position inside the partition plus the size of the
     partitions before it (one row per partition). ``order`` should be unique.
-    ``partitions`` defaults to ``spark.sql.shuffle.partitions``; set it so that a
-    partition is some hundred megabytes.
+    Without ``partitions`` Spark sizes them by the rows' bytes at run time
+    (``spark.sql.adaptive.advisoryPartitionSizeInBytes``): it merges ranges that lie side by side,
+    so for a very large table ``spark.sql.shuffle.partitions`` has to be as large as
+    its size asks for.
     """
     if not order:
         raise ValueError("with_row_index needs an order")
-    parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
     ranged = materialized(
-        df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+        dealt.sortWithinPartitions(*order)
         .withColumns({"_part": F.spark_partition_id(), "_id": F.monotonically_increasing_id()}),
         "row-index",
     )

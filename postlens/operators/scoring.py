@@ -9,6 +9,7 @@ Blank text always gives ``Unknown`` with confidence 0.
 
 from __future__ import annotations
 
+import uuid
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from postlens.functions.labels import best_class, labelled, unknown
 from postlens.functions.text import TOKEN, as_text, is_blank, sql_is_blank, sql_list, sql_text, tokens
-from postlens.schema import MODEL_BATCH, MODEL_TEXT_CHARS, UNKNOWN
+from postlens.schema import MODEL_BATCH, UNKNOWN
 from postlens.session import materialized
 
 SCORE_TYPE = "struct<label:string,confidence:double>"
@@ -106,48 +107,62 @@ class LexiconScorer(ColumnScorer):
 class LexiconTableScorer(Scorer):
     """The same scores from a lexicon table (label, label_pos, term, weight) of any length.
 
-    Words are joined with the table and summed per text; the join strategy is
-    left to Spark. ``key`` identifies a text.
+    Each text's words are looked up in the lexicon before anything is shuffled, if it has
+    at most ``MOST_BROADCAST`` entries and so can be sent to every task; Spark chooses how to
+    join a longer one. Weights are then summed once per text. ``labels`` are all labels
+    of the table; ``key`` identifies a text.
     """
 
+    MOST_BROADCAST = 200_000
+
     def __init__(self, lexicon: DataFrame, labels: Sequence[str], default: str, key: str):
         self._lexicon = lexicon.select("label", "label_pos", "term", F.col("weight").cast("double"))
-        self._default, self._key = default, key
+        self._order, self._default, self._key = tuple(labels), default, key
         self.labels = tuple(dict.fromkeys([*labels, default]))
 
     def add_score(self, df: DataFrame, text: str, out: str) -> DataFrame:
+        entries = self._lexicon.limit(self.MOST_BROADCAST + 1).count()
+        lexicon = F.broadcast(self._lexicon) if entries <= self.MOST_BROADCAST else self._lexicon
         words = df.select(self._key, F.explode(tokens(F.lower(F.col(text)))).alias("term"))
-        # Equal words of a text are merged before the join.
-        words = words.groupBy(self._key, "term").agg(F.count("*").alias("times"))
-        sums = (
-            words.join(self._lexicon, "term").groupBy(self._key, "label", "label_pos")
-            .agg(F.sum(F.col("weight") * F.col("times")).alias("w"))
-        )
-        best = sums.groupBy(self._key).agg(
-            F.max(F.struct("w", (-F.col("label_pos")).alias("p"), "label")).alias("best"),
-            F.sum("w").alias("total"),
-        ).where(F.col("total") > 0).select(
-            self._key, labelled(F.col("best.label"), F.col("best.w") / F.col("total")).alias("_hit")
-        )
+        hit = [F.col("label") == x for x in self._order]
+        sums = words.join(lexicon, "term").groupBy(self._key).agg(
+            F.sum("weight").alias("total"), *[F.sum(F.when(h, F.col("weight"))).alias(f"w{i}") for i, h in enumerate(hit)],
+            *[F.min(F.when(h, F.col("label_pos"))).alias(f"p{i}") for i, h in enumerate(hit)])
+        # A label without a hit has no weight, and null sorts below every weight.
+        ranked = [F.struct(F.col(f"w{i}").alias("w"), (-F.col(f"p{i}")).alias("p"), F.lit(x).alias("label")) for i, x in enumerate(self._order)]
+        best = F.array_max(F.array(*ranked))
+        scores = sums.where(F.col("total") > 0).select(self._key, labelled(best["label"], best["w"] / F.col("total")).alias("_hit"))
         missed = labelled(F.lit(self._default), F.lit(0.0))
         score = F.when(is_blank(F.col(text)), unknown()).otherwise(F.coalesce("_hit", missed))
-        return df.join(best, self._key, "left").withColumn(out, score).drop("_hit")
+        return df.join(scores, self._key, "left").withColumn(out, score).drop("_hit")
+
+
+def _loaded(name: str, load: Callable[[], Any]) -> Any:
+    """A scorer's model in this process. The cache hangs on a module of the worker
+    itself, as a function that was sent to it brings globals of its own."""
+    cache = vars(uuid).setdefault("_postlens_models", {})
+    if name not in cache:
+        cache.clear()
+        cache[name] = load()
+    return cache[name]
 
 
 class BatchScorer(ColumnScorer):
     """A user's model, such as a pretrained network, run in Arrow batches.
 
-    ``load()`` is called once per Python worker task; ``predict(model, texts)``
+    ``load()`` is called once per Python worker process; ``predict(model, texts)``
     gets at most ``batch_size`` texts and returns, for each, the class scores
-    by label. Only the text column is sent to Python. ``max_chars`` is the
-    length the model can take, None for whole texts.
+    by label. Only the text column is sent to Python. Texts are whole, or cut at
+    ``max_chars`` where the model cannot take more. A loaded model stays with its
+    worker process: all columns and tasks that use one scorer there share it.
     """
 
     def __init__(self, load: Callable[[], Any],
                  predict: Callable[[Any, list[str]], list[dict[str, float]]],
                  labels: Sequence[str], batch_size: int = MODEL_BATCH,
-                 max_chars: int | None = MODEL_TEXT_CHARS):
+                 max_chars: int | None = None):
         self.labels = tuple(labels)
+        self._name = uuid.uuid4().hex
         self._load, self._predict = load, predict
         self._batch, self._chars = batch_size, max_chars
 
@@ -167,22 +182,22 @@ class BatchScorer(ColumnScorer):
         return best
 
     def score(self, text: str) -> Column:
-        load, best = self._load, self._best()
+        load, best, name = self._load, self._best(), self._name
 
         @F.pandas_udf(SCORE_TYPE)
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            model = load()
+            model = _loaded(name, load)
             for texts in batches:
                 yield pd.DataFrame(best(model, texts.tolist()), columns=["label", "confidence"])
 
         return run(F.col(text))
 
     def score_list(self, texts: str) -> Column:
-        load, best = self._load, self._best()
+        load, best, name = self._load, self._best(), self._name
 
         @F.pandas_udf(f"array<{SCORE_TYPE}>")
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            model = load()
+            model = _loaded(name, load)
             for lists in batches:
                 rows = [list(x) if x is not None else [] for x in lists]
                 scored = iter(best(model, [t for row in rows for t in row]))

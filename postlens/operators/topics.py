@@ -15,8 +15,7 @@ from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlens.functions.text import ascii_tokens, clean_text, ngrams, sql_list, without
@@ -28,7 +27,6 @@ from postlens.session import materialized
 MAX_CANDIDATE_WORDS = 50_000
 # The vocabulary is fetched and sent to every task.
 MAX_FEATURES = 10_000
-DOCS_PER_TASK = 500
 
 
 @dataclass(frozen=True)
@@ -128,7 +126,8 @@ def vocabulary(words: DataFrame, max_features: int = 100, rules: TermRules = Ter
     best = _fetch_top(singles, documents, max_features, rules) if rules.low == 1 else []
     if rules.high > 1:
         floor = best[-1]["tf"] if len(best) == max_features else rules.min_docs
-        able = singles.where(F.col("term").isNotNull() & (F.col("tf") >= floor))
+        # A longer term is in no more documents than any of its words.
+        able = singles.where(F.col("term").isNotNull() & (F.col("tf") >= floor) & (F.col("df") >= rules.min_docs))
         names = [r["term"] for r in able.select("term").limit(MAX_CANDIDATE_WORDS + 1).collect()]
         masked = words
         if names and len(names) <= MAX_CANDIDATE_WORDS:
@@ -176,8 +175,8 @@ def tfidf_terms(corpus: Corpus) -> DataFrame:
 
     Weight: count * (ln((1 + n) / (1 + df)) + 1), each document scaled to
     length 1. Documents without a vocabulary term count in the mean. No terms,
-    no rows. One pass without a shuffle of documents: the mean of vectors is a
-    tree of partial sums.
+    no rows. Weights are scaled in the row and summed by term with a partial sum in each
+    task, so at most one row per term and task is shuffled.
     """
     spark, vocab = corpus.words.sparkSession, corpus.vocab
     if not vocab.terms:
@@ -186,9 +185,11 @@ def tfidf_terms(corpus: Corpus) -> DataFrame:
     weighted = ElementwiseProduct(
         scalingVec=Vectors.dense(idf), inputCol="counts", outputCol="weighted").transform(corpus.counts())
     scaled = Normalizer(p=2.0, inputCol="weighted", outputCol="scaled").transform(weighted)
-    mean = scaled.agg(vector_to_array(Summarizer.mean(F.col("scaled"))).alias("mean"))
-    names = F.expr(f"array({sql_list(vocab.terms)})")
-    return mean.select(F.inline(F.arrays_zip(names.alias("term"), F.col("mean").alias("tfidf_score"))))
+    weights = scaled.select(F.posexplode(vector_to_array("scaled")).alias("at", "weight")).where("weight <> 0")
+    sums = weights.groupBy("at").agg(F.sum("weight").alias("total"))
+    names = spark.createDataFrame(list(enumerate(vocab.terms)), "at int, term string")
+    mean = F.coalesce(F.col("total"), F.lit(0.0)) / F.lit(vocab.documents)
+    return names.join(sums, "at", "left").select("term", mean.alias("tfidf_score"))
 
 
 def top_terms(terms: DataFrame, n: int = 20) -> DataFrame:
@@ -203,48 +204,43 @@ class TopicModel:
     k: int
 
 
-def fit_topics(corpus: Corpus, k: int = 5, passes: int = 20, seed: int = 42,
-               batch: int = 128, max_batches: int = 2) -> TopicModel | None:
+def fit_topics(corpus: Corpus, k: int = 5, steps: int = 40, sampling_rate: float = 0.5,
+               seed: int = 42) -> TopicModel | None:
     """Online variational LDA; None when there are fewer documents than topics or no terms.
 
-    A pass is split into batches of ``batch`` documents, but into no more than
-    ``max_batches``: on a large table the batches grow instead, as every batch is
-    a job over the cluster (and ``passes`` can be lowered). The count vectors are
-    written once and read by every step; they hold at most one entry per
-    vocabulary term.
+    Each of the ``steps`` updates the topics from a draw of ``sampling_rate`` of all
+    documents, whatever their number: the defaults see each document about 20
+    times. A step is a job over the cluster. The count vectors are written once and
+    read by every step; they hold at most one entry per vocabulary term.
     """
-    documents = corpus.vocab.documents
-    if documents < k or not corpus.vocab.terms:
+    if corpus.vocab.documents < k or not corpus.vocab.terms:
         return None
     counts = materialized(corpus.counts(), "topic-input")
-    batches = max(1, min(max_batches, math.ceil(documents / batch)))
     lda = LDA(
         featuresCol="counts", topicDistributionCol="_mixture", k=k, seed=seed, optimizer="online",
-        maxIter=passes * batches, subsamplingRate=1.0 / batches, learningOffset=10.0,
+        maxIter=steps, subsamplingRate=sampling_rate, learningOffset=10.0,
         learningDecay=0.7, optimizeDocConcentration=False,
     )
-    # A step over few documents is not worth more than a few tasks.
-    tasks = max(1, min(counts.rdd.getNumPartitions(), math.ceil(documents / DOCS_PER_TASK)))
-    training = counts.select("counts").coalesce(tasks).cache()
+    training = counts.select("counts").cache()
     try:
         return TopicModel(lda.fit(training), corpus.vocab, counts, k)
     finally:
         training.unpersist()
 
 
-_TOPIC_WORDS = "topic_id int, rank int, term string, weight double"
-
-
 def topic_words(fitted: TopicModel, n: int = 10) -> DataFrame:
     """Top ``n`` terms of each topic by weight; the topic matrix is k by ``max_features``."""
     spark = fitted.counts.sparkSession
     matrix = fitted.model.topicsMatrix().toArray()
-    rows = []
-    for topic in range(fitted.k):
-        order = sorted(range(len(fitted.vocab.terms)), key=lambda i: (-matrix[i, topic], fitted.vocab.terms[i]))
-        rows += [(topic, rank, fitted.vocab.terms[i], float(matrix[i, topic]))
-                 for rank, i in enumerate(order[:n])]
-    return spark.createDataFrame(rows, _TOPIC_WORDS)
+    rows = [(topic, term, float(matrix[i, topic])) for topic in range(fitted.k) for i, term in enumerate(fitted.vocab.terms)]
+    return rank_terms(spark.createDataFrame(rows, "topic_id int, term string, weight double"), n)
+
+
+def rank_terms(weights: DataFrame, n: int = 10) -> DataFrame:
+    """(topic_id, rank, term, weight): the ``n`` heaviest terms of each topic, from 0; equal weights in term order."""
+    rank = F.row_number().over(Window.partitionBy("topic_id").orderBy(F.desc("weight"), "term"))
+    ranked = weights.withColumn("rank", (rank - 1).cast("int")).where(F.col("rank") < n)
+    return ranked.select("topic_id", "rank", "term", "weight")
 
 
 def topic_titles(words: DataFrame, n: int = 5) -> DataFrame:
@@ -264,9 +260,13 @@ def document_topics(fitted: TopicModel) -> DataFrame:
     even = F.array(*[F.lit(1.0 / fitted.k)] * fitted.k)
     probs = F.when(F.array_max("_probs") > 0, F.col("_probs")).otherwise(even)
     kept = [c for c in fitted.counts.columns if c != "counts"]
-    return mixed.select(*kept, probs.alias("topic_probs")).withColumn(
-        "dominant_topic", (F.array_position("topic_probs", F.array_max("topic_probs")) - 1).cast("int")
-    )
+    return with_dominant_topic(mixed.select(*kept, probs.alias("topic_probs")))
+
+
+def with_dominant_topic(documents: DataFrame) -> DataFrame:
+    """Adds ``dominant_topic``, the place of the largest of ``topic_probs`` (the first among equals)."""
+    place = F.array_position("topic_probs", F.array_max("topic_probs")) - 1
+    return documents.withColumn("dominant_topic", place.cast("int"))
 
 
 def topic_name(index: Column) -> Column:

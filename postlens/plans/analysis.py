@@ -7,24 +7,34 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from postlens.operators import aggregates as A
-from postlens.operators.comments import caption_emotions, packed_comment_emotions
+from postlens.operators.comments import (
+    caption_emotions, packed_comment_emotions, score_comments, summarize_comments, with_comment_summary,
+)
 from postlens.operators.crosstab import row_shares, with_margins
 from postlens.operators.scoring import ColumnScorer, Scorer, score_sentiment
 from postlens.schema import validate_posts
 
 
 def full_analysis(posts: DataFrame, sentiment: Scorer, emotion: ColumnScorer,
-                  analyze_captions: bool = True, analyze_comments: bool = True) -> DataFrame:
-    """Sentiment of captions, emotion of captions, emotions of packed comments.
+                  analyze_captions: bool = True, analyze_comments: bool = True,
+                  comments: DataFrame | None = None) -> DataFrame:
+    """Sentiment of captions, emotion of captions, emotions of comments.
 
-    One lazy chain of row-local steps: however large the table, nothing is
-    shuffled. Persist the result (``MEMORY_AND_DISK``) or write it when several
-    reports are drawn from it.
+    Comments come packed in the posts' ``comment_text``, or as a table
+    ``comments(video_id, pos, text)``. With packed comments this is one lazy chain of
+    row-local steps: however large the table, nothing is shuffled. A table is summed
+    up per post, map-side first, and joined to the posts; no list of a
+    post's comments is built. Persist the result (``MEMORY_AND_DISK``) or write it when
+    several reports are drawn from it.
     """
-    scored = score_sentiment(validate_posts(posts), sentiment)
+    checked = posts if comments is not None else validate_posts(posts)
+    scored = score_sentiment(checked, sentiment)
     if analyze_captions:
         scored = caption_emotions(scored, emotion)
-    if analyze_comments and "comment_text" in posts.columns:
+    if analyze_comments and comments is not None:
+        summary = summarize_comments(score_comments(comments, emotion), emotion.labels)
+        scored = with_comment_summary(scored, summary).withColumnRenamed("total_comments", "total_analyzed_comments")
+    elif analyze_comments and "comment_text" in posts.columns:
         scored = packed_comment_emotions(scored, emotion)
     return scored
 

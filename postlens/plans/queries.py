@@ -7,6 +7,7 @@ as the Spark side does, and name the same columns.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,14 +26,14 @@ from postlens.operators import filters as P
 from postlens.operators import topics as M
 from postlens.operators.dedup import ingest_summary, new_posts_only, sample_new_posts, seen_after_batch
 from postlens.operators.ranking import head_rows, with_row_index
-from postlens.operators.scoring import ClassifierScorer, LexiconTableScorer, score_sentiment, score_text
+from postlens.operators.scoring import BatchScorer, ClassifierScorer, LexiconTableScorer, score_sentiment, score_text
 from postlens.plans import sql as S
 from postlens.plans import testbed as T
 from postlens.plans.analysis import full_analysis
 from postlens.schema import POST_COLUMNS
 from postlens.session import work_path
 from postlens.sources import posts as src
-from postlens.sources.pages import extract_caption, extract_comments, inner_text, with_metrics
+from postlens.sources.pages import CommentRule, extract_caption, extract_comments, inner_text, with_metrics
 from postlens.streaming.ingest import read_store, run_counters, start_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -147,6 +148,11 @@ def engagement_p75(spark, folder):
     return rounded(A.exact_quantile(T.posts(spark, folder), "comments"))
 
 
+@query(f"""WITH {S.POSTS} SELECT round_even(quantile_cont(sentiment_confidence, 0.75), 6) AS quantile FROM posts""")
+def confidence_p75(spark, folder):
+    return rounded(A.exact_quantile(T.posts(spark, folder), "sentiment_confidence"))
+
+
 @query(f"""WITH {S.POSTS}, q AS (SELECT quantile_cont(CAST(comments AS DOUBLE), 0.75) AS q FROM posts),
 c AS (SELECT sentiment_label, count(*) AS n FROM posts, q WHERE comments > q GROUP BY sentiment_label)
 SELECT sentiment_label, round_even(n / (SELECT sum(n) FROM c), 6) AS share FROM c
@@ -356,20 +362,34 @@ _VALID_LINE = rf"length(x) > 10 AND NOT regexp_matches(x, '^(\d+[KMkm]?|@[{WORD}
 _BLOCK_TEXT = S.inner_text(r"regexp_replace(a[i], '(?i)<br\s*/?>|</(p|div|li)>', chr(10), 'g')")
 
 
-@query(rf"""WITH b AS (SELECT page_id, regexp_extract_all(html, '(?is)<p\b[^>]*>(.*?)</p>', 1) AS a FROM pages),
+def _page_comments_check(limit: str = "") -> str:
+    return rf"""WITH b AS (SELECT page_id, regexp_extract_all(html, '(?is)<p\b[^>]*>(.*?)</p>', 1) AS a FROM pages),
 u AS (SELECT page_id, unnest(list_transform(range(1, len(a) + 1), lambda i: {{'pos': i, 'text': list_filter(
     list_transform(string_split({_BLOCK_TEXT}, chr(10)), lambda x: {S.strip('x')}), lambda x: {_VALID_LINE})[1]}})) AS c
   FROM b),
 k AS (SELECT page_id, c.text AS text, min(c.pos) AS pos FROM u WHERE c.text IS NOT NULL GROUP BY page_id, c.text),
 r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rn FROM k)
 SELECT p.page_id, count(r.text) AS n_comments, md5(coalesce(string_agg(r.text, ' ||| ' ORDER BY r.pos), '')) AS packed_md5
-FROM pages p LEFT JOIN r ON r.page_id = p.page_id AND r.rn <= 20 GROUP BY p.page_id""")
-def page_comments(spark, folder):
-    found = T.texts(spark, folder, "pages").withColumn("_comments", extract_comments(T.PAGE_COMMENTS))
+FROM pages p LEFT JOIN r ON r.page_id = p.page_id{limit} GROUP BY p.page_id"""
+
+
+def _page_comments(spark: SparkSession, folder: str, rule: CommentRule) -> DataFrame:
+    found = T.texts(spark, folder, "pages").withColumn("_comments", extract_comments(rule))
     return found.select("page_id", F.size("_comments").cast("bigint").alias("n_comments"),
                         F.md5(pack_comments(F.col("_comments"))).alias("packed_md5"))
 
 
+@query(_page_comments_check())
+def page_comments(spark, folder):
+    return _page_comments(spark, folder, T.PAGE_COMMENTS)
+
+
+@query(_page_comments_check(" AND r.rn <= 20"))
+def first_page_comments(spark, folder):
+    """The first 20 comments of each page."""
+    return _page_comments(spark, folder, replace(T.PAGE_COMMENTS, limit=20))
+
+
 # --- Text functions --------------------------------------------------------------------
 
 
@@ -389,7 +409,7 @@ def split_comments_(spark, folder):
         F.md5(pack_comments(F.col("_c"), "~")).alias("comments_md5"))
 
 
-@query(f"""WITH {S.PACKED} SELECT p.video_id, md5(comment_text) AS packed_md5, least(n, 20) AS comment_count
+@query(f"""WITH {S.PACKED} SELECT p.video_id, md5(comment_text) AS packed_md5, n AS comment_count
 FROM packed p JOIN (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) c ON c.conv_id = p.video_id""")
 def pack_comments_(spark, folder):
     return C.pack_by_post(T.comments(spark, folder)).select(
@@ -397,15 +417,25 @@ def pack_comments_(spark, folder):
         F.col("comment_count_extracted").cast("bigint").alias("comment_count"))
 
 
-@query(f"""WITH b AS (SELECT conv_id AS video_id, turn AS pos, list_filter(list_transform(string_split(text, chr(10)),
+def _clean_comments_check(where: str = "") -> str:
+    return f"""WITH b AS (SELECT conv_id AS video_id, turn AS pos, list_filter(list_transform(string_split(text, chr(10)),
     lambda x: {S.strip('x')}), lambda x: {_VALID_LINE})[1] AS text FROM conversations),
 u AS (SELECT video_id, text, min(pos) AS pos FROM b WHERE text IS NOT NULL GROUP BY video_id, text),
 k AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY pos) AS rn FROM u)
-SELECT video_id, pos, text FROM k WHERE rn <= 20""")
+SELECT video_id, pos, text FROM k{where}"""
+
+
+@query(_clean_comments_check())
 def clean_comments(spark, folder):
     return C.clean_comments(T.comments(spark, folder))
 
 
+@query(_clean_comments_check(" WHERE rn <= 3"))
+def first_clean_comments(spark, folder):
+    """The first three valid comments of each post."""
+    return C.clean_comments(T.comments(spark, folder), limit=3)
+
+
 @query("SELECT conv_id AS video_id, count(*) AS total_comments FROM conversations GROUP BY conv_id")
 def comment_counts(spark, folder):
     return C.comment_counts(T.table(spark, folder, "conversations").select(F.col("conv_id").alias("video_id")))
@@ -434,8 +464,7 @@ def ngrams(spark, folder):
     lambda x: exp(CAST(x AS DOUBLE) - CAST(list_max(embedding) AS DOUBLE)))), 6) AS confidence FROM embeddings""")
 def best_label(spark, folder):
     vectors = T.table(spark, folder, "embeddings")
-    width = vectors.select(F.max(F.size("embedding"))).first()[0] or 1
-    best = vectors.withColumn("_best", best_class(F.col("embedding"), [f"class_{i}" for i in range(width)]))
+    best = vectors.withColumn("_best", best_class(F.col("embedding"), "class_"))
     return best.select("vec_id", F.col("_best.label").alias("label"),
                        round_half_even(F.col("_best.confidence"), 6).alias("confidence"))
 
@@ -508,6 +537,32 @@ def comment_emotions(spark, folder):
     )
 
 
+@query(f"""WITH {S.EMOTIONS_OF_COMMENTS},
+n AS (SELECT video_id, count(*) AS n FROM comment_scores GROUP BY video_id)
+SELECT d.doc_id AS video_id, CAST(coalesce(floor(s.pos / 3), 0) AS BIGINT) AS chunk, coalesce(max(n.n), 0) AS total_comments,
+  md5(coalesce(string_agg(s.text, '~' ORDER BY s.pos), '')) AS comments_md5,
+  coalesce(string_agg(s.label, ',' ORDER BY s.pos), '') AS emotions
+FROM documents d LEFT JOIN comment_scores s ON s.video_id = d.doc_id LEFT JOIN n ON n.video_id = d.doc_id
+WHERE d.doc_id % 2 = 0 GROUP BY d.doc_id, coalesce(floor(s.pos / 3), 0)""")
+def comment_emotions_split(spark, folder):
+    """Posts with an even id only, so that other posts' comments are orphans; three comments to a row."""
+    posts = T.table(spark, folder, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("video_id"))
+    return C.nest_comments(_scored_comments(spark, folder), posts, rows=3).select(
+        "video_id", "chunk", "total_comments", F.md5(F.array_join("comments", "~")).alias("comments_md5"),
+        F.array_join("emotions", ",").alias("emotions"))
+
+
+@query("""SELECT doc_id AS video_id, CASE WHEN trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 'Unknown' WHEN length(text) % 2 = 0 THEN 'even' ELSE 'odd' END AS sentiment_label,
+  CASE WHEN trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN CAST(0 AS DOUBLE) WHEN length(text) % 2 = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0.6 AS DOUBLE) END AS sentiment_confidence FROM documents""")
+def score_sentiment_batch(spark, folder):
+    """A stand-in for a user's network, run in Arrow batches on whole texts: it tells even from odd lengths."""
+    def predict(model, texts):
+        return [{"even": 1.0, "odd": 0.0} if len(t) % model == 0 else {"even": 0.4, "odd": 0.6} for t in texts]
+
+    scorer = BatchScorer(lambda: 2, predict, ("even", "odd"))
+    return rounded(score_sentiment(_captions(spark, folder), scorer).drop("caption"))
+
+
 @query(f"""WITH {S.EMOTIONS_OF_COMMENTS}, {S.SUMMARY_OF_COMMENTS}
 SELECT d.doc_id AS video_id, coalesce(dominant_emotion, 'Unknown') AS dominant_emotion,
   round_even(coalesce(avg_emotion_confidence, 0.0), 6) AS avg_emotion_confidence,
@@ -552,6 +607,13 @@ SELECT s.video_id, s.label AS sentiment_label, round_even(s.confidence, 6) AS se
 FROM sentiment s JOIN emotion e USING (video_id) LEFT JOIN dominant x USING (video_id)
 LEFT JOIN means m USING (video_id) LEFT JOIN percents p USING (video_id)""")
 def full_analysis_(spark, folder):
+    scored = full_analysis(_captions(spark, folder), T.sentiment_scorer(), T.emotion_scorer(), comments=T.comments(spark, folder))
+    return rounded(scored.drop("caption"))
+
+
+@query(ORACLE["full_analysis"])
+def full_analysis_packed(spark, folder):
+    """The same with each post's comments packed in its row."""
     posts = T.posts(spark, folder, packed=True).select("video_id", "caption", "comment_text")
     scored = full_analysis(posts, T.sentiment_scorer(), T.emotion_scorer())
     return rounded(scored.drop("caption", "comment_text", "individual_comment_emotions"))
@@ -587,15 +649,10 @@ def top_terms(spark, folder):
 
 
 TOPICS = 5
-_FITTED: dict[tuple[str, str], M.TopicModel | None] = {}
 
 
 def fitted_topics(spark: SparkSession, folder: str) -> M.TopicModel | None:
-    """One topic model per session and folder, shared by the topic reports."""
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _FITTED:
-        _FITTED[key] = M.fit_topics(_corpus(spark, folder), TOPICS)
-    return _FITTED[key]
+    return M.fit_topics(_corpus(spark, folder), TOPICS)
 
 
 def _document_topics(spark: SparkSession, folder: str) -> DataFrame:
@@ -639,6 +696,53 @@ def topic_by_emotion(spark, folder):
                        "caption_emotion", "doc_id", EMOTIONS_ALL)
 
 
+# The reports over a given mixture: the softmax of each vector stands for the topics of a document.
+_MIXED = """
+shifted AS (SELECT vec_id, label, list_transform(embedding, lambda x: exp(CAST(x AS DOUBLE) - CAST(list_max(embedding) AS DOUBLE))) AS e
+            FROM embeddings),
+mixed AS (SELECT vec_id, label, list_transform(e, lambda x: x / list_sum(e)) AS probs FROM shifted),
+chosen AS (SELECT vec_id, label, probs, list_position(probs, list_max(probs)) - 1 AS topic FROM mixed)"""
+_WIDTH = 64
+
+
+def _given_topics(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = T.table(spark, folder, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
+    exps = vectors.withColumn("e", F.transform("v", lambda x: F.exp(x - F.array_max("v"))))
+    total = F.reduce("e", F.lit(0.0), lambda a, b: a + b)
+    return M.with_dominant_topic(exps.select("vec_id", "label", F.transform("e", lambda x: x / total).alias("topic_probs")))
+
+
+@query(f"WITH {_MIXED} SELECT vec_id, CAST(topic AS INTEGER) AS dominant_topic, round_even(probs[topic + 1], 6) AS probability FROM chosen")
+def given_dominant_topic(spark, folder):
+    return _given_topics(spark, folder).select(
+        "vec_id", "dominant_topic", round_half_even(F.col("topic_probs")[F.col("dominant_topic")], 6).alias("probability"))
+
+
+@query(f"""WITH {_MIXED} SELECT CAST(i AS INTEGER) AS topic_id, 'Topic ' || (i + 1) AS topic, round_even(avg(probs[i + 1]), 6) AS avg_probability
+FROM mixed, range(0, {_WIDTH}) r(i) GROUP BY i""")
+def given_topic_popularity(spark, folder):
+    return rounded(M.topic_popularity(_given_topics(spark, folder), _WIDTH))
+
+
+@query(f"""WITH {_MIXED}, n AS (SELECT 'Topic ' || (topic + 1) AS row_label, CAST(label AS VARCHAR) AS col_label, count(*) AS n FROM chosen GROUP BY ALL),
+cells AS (SELECT a.row_label, b.col_label, coalesce(n.n, 0) AS n FROM (SELECT DISTINCT row_label FROM n) a
+          CROSS JOIN (SELECT DISTINCT col_label FROM n) b LEFT JOIN n ON n.row_label = a.row_label AND n.col_label = b.col_label)
+SELECT row_label, col_label, round_even(n / sum(n) OVER (PARTITION BY row_label), 6) AS share FROM cells""")
+def given_topic_by_label(spark, folder):
+    topics = _given_topics(spark, folder)
+    return rounded(M.topics_by(topics.drop("label"), topics.select("vec_id", "label"), "label", "vec_id"))
+
+
+@query("""SELECT label AS topic_id, CAST(rn - 1 AS INTEGER) AS rank, term, round_even(weight, 6) AS weight
+FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY weight DESC, term) AS rn
+      FROM (SELECT label, 'v' || vec_id AS term, CAST(embedding[1] AS DOUBLE) AS weight FROM embeddings)) WHERE rn <= 10""")
+def given_topic_words(spark, folder):
+    """Ten heaviest vectors of each label stand for the words of a topic."""
+    weights = T.table(spark, folder, "embeddings").select(
+        F.col("label").alias("topic_id"), F.concat(F.lit("v"), "vec_id").alias("term"), F.col("embedding")[0].cast("double").alias("weight"))
+    return rounded(M.rank_terms(weights, 10))
+
+
 # --- Store and ingest ------------------------------------------------------------------
 
 _PAGE_IDS = r"""
@@ -680,6 +784,13 @@ def sample_new_posts_(spark, folder):
     return sample_new_posts(_page_ids(spark, folder), _stored_ids(spark, folder), order=("page_id",))
 
 
+@query(f"""WITH {_PAGE_IDS}, {_STORED} SELECT video_id, page_id FROM unique_pages
+WHERE video_id NOT IN (SELECT video_id FROM stored) ORDER BY md5('7:' || video_id), video_id LIMIT 50""")
+def sample_50_new_posts(spark, folder):
+    """Fewer than there are, so the draw decides."""
+    return sample_new_posts(_page_ids(spark, folder), _stored_ids(spark, folder), n=50, seed=7, order=("page_id",))
+
+
 @query(f"""WITH {_PAGE_IDS} SELECT count(*) AS total_rows, count(DISTINCT video_id) AS distinct_posts FROM found""")
 def ingest_summary_(spark, folder):
     return ingest_summary(_page_ids(spark, folder))
@@ -708,6 +819,15 @@ def read_posts(spark, folder):
     return _store_view(src.read_posts(spark, path))
 
 
+@query(f"""WITH {S.POSTS} SELECT CAST(video_id AS VARCHAR) AS video_id, md5(caption) AS caption_md5, comments, comments + 3 AS saves FROM posts""")
+def read_drifted(spark, folder):
+    """Half of the posts written under a header with ``shares``, half with ``saves``."""
+    posts = T.posts(spark, folder).select("video_id", "caption", "comments", (F.col("comments") + 3).alias("saves"))
+    old = src.publish(posts.where("video_id % 2 = 0").withColumnRenamed("saves", "shares"), work_path(spark, "old-header"), "csv")
+    new = src.publish(posts.where("video_id % 2 <> 0"), work_path(spark, "new-header"), "csv")
+    return src.read_drifted(spark, [old, new]).select("video_id", F.md5("caption").alias("caption_md5"), "comments", "saves")
+
+
 @query(_STORE_CHECK)
 def append_posts(spark, folder):
     """Labelled and other posts appended in two batches."""

@@ -53,8 +53,7 @@ posts AS (
 PACKED = """
 packed AS (
   SELECT conv_id AS video_id, string_agg(text, ' ||| ' ORDER BY turn) AS comment_text
-  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations)
-  WHERE rn <= 20 GROUP BY conv_id
+  FROM conversations GROUP BY conv_id
 )"""
 
 

@@ -41,7 +41,7 @@ METRIC_RULES = (
     ExtractionRule("comments", 0, r"page=(\d+)", source="url"),
     ExtractionRule("saves", 0, r"<!-- ad (\d+) -->"),
 )
-PAGE_COMMENTS = CommentRule(r"(?is)<p\b[^>]*>(.*?)</p>")
+PAGE_COMMENTS = CommentRule(r"<(p)\b[^>]*>")
 PAGE_KEYWORDS = ("the", "der", "que", "les")
 
 

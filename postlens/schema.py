@@ -42,9 +42,7 @@ POST_SCHEMA = T.StructType([
 POST_COLUMNS = POST_SCHEMA.fieldNames()
 
 # Labels, separators, limits and word lists that results depend on.
-SENTIMENT_LABELS = ("Negative", "Neutral", "Positive")
 UNKNOWN = "Unknown"
-EMOTION_LABELS = ("anger", "disgust", "fear", "joy", "neutral", "sadness", "surprise")
 COMMENT_SEPARATOR = "|||"
 COMMENT_JOINER = " ||| "
 MARGIN_LABEL = "All"

@@ -17,7 +17,7 @@ from postlens.functions.counts import metric_text, parse_count
 from postlens.functions.links import post_id
 from postlens.functions.records import comment_records
 from postlens.functions.text import comment_body, first_non_blank, longest_fragment, pack_comments
-from postlens.schema import MAX_COMMENTS_PER_POST, POST_COLUMNS, POST_ID_PATTERN
+from postlens.schema import POST_COLUMNS, POST_ID_PATTERN
 
 METRICS = ("likes", "comments", "saves")
 
@@ -34,44 +34,103 @@ class ExtractionRule:
         return F.regexp_extract(F.col(self.source), self.pattern, self.group)
 
 
-def _tag(attribute: str, value: str, contains: bool = False) -> str:
+def _opening(attribute: str, value: str, contains: bool = False, tag: str | None = None) -> str:
+    """Opening tag, its name in group 1, whose attribute equals (or contains) the value."""
     inner = f'[^"]*{re.escape(value)}[^"]*' if contains else re.escape(value)
-    return rf'<(\w+)\b(?=[^>]*\b{attribute}="{inner}")[^>]*>'
+    return rf'<({tag or chr(92) + "w+"})\b(?=[^>]*\b{attribute}="{inner}")[^>]*>'
 
 
-def element_text(field: str, attribute: str, value: str, contains: bool = False) -> ExtractionRule:
-    """Text inside the first element whose attribute equals (or contains) the value."""
-    return ExtractionRule(field, 0, rf"(?is){_tag(attribute, value, contains)}(.*?)</\1>", 2)
+def _inside(tag: Column, rest: Column) -> Column:
+    """Markup up to the closing tag that matches an opening one just before ``rest``.
+
+    Tags of the same name are counted in and out; without a match all of ``rest``
+    belongs to the element.
+    """
+    same = F.concat(F.lit("(?i)</?"), tag, F.lit(r"\b[^>]*>"))
+    tags, pieces = F.regexp_extract_all(rest, same, F.lit(0)), F.split(rest, same, -1)
+    step = F.transform(tags, lambda t: F.when(t.startswith("</"), -1).when(t.endswith("/>"), 0).otherwise(1))
+    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("seen"))
+    # ``seen`` counts the tags before the one that brings the depth to nothing.
+    stop = F.reduce(step, start, lambda s, x: F.when(s["depth"] <= 0, s).otherwise(F.struct(
+        (s["depth"] + x).alias("depth"), (s["seen"] + F.when(s["depth"] + x > 0, 1).otherwise(0)).alias("seen"))))["seen"]
+    taken = F.zip_with(F.slice(pieces, F.lit(1), stop + 1), F.slice(tags, F.lit(1), stop), lambda piece, t: F.concat(piece, F.coalesce(t, F.lit(""))))
+    return F.array_join(taken, "")
+
+
+def _elements(html: Column, opening: str, nested: bool = False) -> Column:
+    """Markup inside each element with this opening tag, in page order.
+
+    The page is cut at the opening tags. Where such elements hold each other (``nested``),
+    each is looked for in all that follows it; else only up to the next one.
+    """
+    pattern = F.lit(f"(?is){opening}")
+    names, opened, pieces = (F.regexp_extract_all(html, pattern, F.lit(1)), F.regexp_extract_all(html, pattern, F.lit(0)), F.split(html, pattern, -1))
+    behind = F.slice(pieces, F.lit(2), F.size(names))
+    if nested:
+        follow = F.zip_with(behind, F.concat(F.slice(opened, F.lit(2), F.size(names)), F.array(F.lit(""))), lambda x, o: F.concat(x, o))
+        behind = F.transform(follow, lambda x, i: F.array_join(F.slice(follow, i + 1, F.size(follow)), ""))
+    return F.zip_with(names, behind, _inside)
+
+
+@dataclass(frozen=True)
+class ElementRule:
+    """Text inside the first element with an opening tag, whatever it nests."""
+
+    field: str
+    priority: int
+    opening: str
+
+    def column(self) -> Column:
+        rest = F.regexp_extract(F.col("html"), f"(?is){self.opening}(.*)$", 2)
+        return _inside(F.regexp_extract(F.col("html"), f"(?is){self.opening}", 1), rest)
+
+
+def element_text(field: str, attribute: str, value: str, contains: bool = False, tag: str | None = None) -> ElementRule:
+    """Text inside the first element (of a tag) whose attribute equals (or contains) the value."""
+    return ElementRule(field, 0, _opening(attribute, value, contains, tag))
 
 
 def element_attribute(field: str, attribute: str, value: str, wanted: str,
-                      contains: bool = False) -> ExtractionRule:
-    """Another attribute of the first element whose attribute equals (or contains) the value."""
+                      contains: bool = False, tag: str | None = None) -> ExtractionRule:
+    """Another attribute of the first element (of a tag) whose attribute equals (or contains) the value."""
     inner = f'[^"]*{re.escape(value)}[^"]*' if contains else re.escape(value)
-    pattern = rf'(?is)<\w+\b(?=[^>]*\b{attribute}="{inner}")[^>]*?\b{wanted}="([^"]*)"'
+    pattern = rf'(?is)<{tag or chr(92) + "w+"}\b(?=[^>]*\b{attribute}="{inner}")[^>]*?\b{wanted}="([^"]*)"'
     return ExtractionRule(field, 0, pattern, 1)
 
 
-def numbered(rules: Sequence[ExtractionRule]) -> list[ExtractionRule]:
+def sibling_text(field: str, tag: str, attribute: str, value: str, sibling: str) -> ExtractionRule:
+    """Text inside the element of one tag that stands right behind one with this attribute."""
+    return ExtractionRule(field, 0, rf'(?is)<{tag}\b(?=[^>]*\b{attribute}="{re.escape(value)}")[^>]*>(?:(?!</{tag}).)*</{tag}\s*>\s*<{sibling}\b[^>]*>(.*?)</{sibling}\s*>', 1)
+
+
+Rule = ExtractionRule | ElementRule
+
+
+def numbered(rules: Sequence[Rule]) -> list[Rule]:
     return [replace(r, priority=i) for i, r in enumerate(rules)]
 
 
-# Page markers in order of trust, as (attribute, value, contains).
+# Page markers in order of trust, as (attribute, value, contains, tag).
 METRIC_MARKERS = {
     "likes": (
-        ("data-e2e", "like-count", False), ("data-e2e", "browse-like-count", False),
-        ("title", "like", True), ("aria-label", "like", True), ("data-e2e", "like", True),
+        ("data-e2e", "like-count", False, None), ("data-e2e", "browse-like-count", False, None),
+        ("title", "like", True, None), ("aria-label", "like", True, None),
+        ("data-e2e", "like", True, "span"), ("data-e2e", "like", True, "strong"),
     ),
     "comments": (
-        ("data-e2e", "comment-count", False), ("data-e2e", "browse-comment-count", False),
-        ("title", "comment", True), ("aria-label", "comment", True), ("data-e2e", "comment", True),
+        ("data-e2e", "comment-count", False, None), ("data-e2e", "browse-comment-count", False, None),
+        ("title", "comment", True, None), ("aria-label", "comment", True, None),
+        ("data-e2e", "comment", True, "span"), ("data-e2e", "comment", True, "strong"),
     ),
     "saves": (
-        ("data-e2e", "undefined-count", False), ("data-e2e", "share-count", False),
-        ("data-e2e", "save-count", False), ("title", "share", True), ("title", "save", True),
-        ("data-e2e", "share", True), ("data-e2e", "save", True),
+        ("data-e2e", "undefined-count", False, None), ("data-e2e", "share-count", False, None),
+        ("data-e2e", "save-count", False, None), ("title", "share", True, None), ("title", "save", True, None),
+        ("data-e2e", "share", True, "span"), ("data-e2e", "save", True, "span"),
+        ("data-e2e", "share", True, "strong"), ("data-e2e", "save", True, "strong"),
     ),
 }
+# An element behind one of these holds the likes, as (tag, attribute, value, sibling).
+LIKE_SIBLINGS = (("svg", "fill", "#ff0050", "strong"), ("svg", "fill", "#FE2C55", "strong"))
 CAPTION_MARKERS = (
     ("data-e2e", "browse-video-desc", False), ("data-e2e", "video-desc", False),
     ("class", "video-meta-caption", True),
@@ -80,30 +139,32 @@ CAPTION_MARKERS = (
 
 @dataclass(frozen=True)
 class CommentRule:
-    """Where a page has its comments: ``block`` captures one comment block, ``fragment``
-    the inner pieces of a block, of which the longest is the comment text."""
+    """Where a page has its comments: ``opening`` is the opening tag of a comment block
+    (its name in group 1), ``fragment`` that of its inner pieces, of which the longest is the
+    comment text. With a ``limit`` a page gives so many comments at most."""
 
-    block: str
-    group: int = 1
-    fragment: str = r"(?is)<span\b[^>]*>(.*?)</span>"
-    limit: int = MAX_COMMENTS_PER_POST
+    opening: str
+    fragment: str = r"<(span)\b[^>]*>"
+    limit: int | None = None
 
 
 # Fixed value: the marker of a top-level comment.
-DEFAULT_COMMENTS = CommentRule(rf"(?is){_tag('data-e2e', 'comment-level-1')}(.*?)</\1>", 2)
+DEFAULT_COMMENTS = CommentRule(_opening("data-e2e", "comment-level-1"))
 
 
-def default_metric_rules() -> list[ExtractionRule]:
+def default_metric_rules() -> list[Rule]:
     rules = []
     for field, markers in METRIC_MARKERS.items():
-        for attribute, value, contains in markers:
-            rules.append(element_text(field, attribute, value, contains))
-            rules.append(element_attribute(field, attribute, value, "title", contains))
-            rules.append(element_attribute(field, attribute, value, "aria-label", contains))
+        for attribute, value, contains, tag in markers:
+            rules.append(element_text(field, attribute, value, contains, tag))
+            rules.append(element_attribute(field, attribute, value, "title", contains, tag))
+            rules.append(element_attribute(field, attribute, value, "aria-label", contains, tag))
+        if field == "likes":
+            rules += [sibling_text(field, *x) for x in LIKE_SIBLINGS]
     return numbered(rules)
 
 
-def default_caption_rules() -> list[ExtractionRule]:
+def default_caption_rules() -> list[Rule]:
     return numbered([element_text("caption", *m) for m in CAPTION_MARKERS])
 
 
@@ -123,26 +184,26 @@ def block_text(c: Column) -> Column:
 
 def extract_comments(rule: CommentRule) -> Column:
     """Comment texts of a page, in page order: the real line of each block, each text
-    once, at most ``rule.limit``. Row-local, as a page holds its own comments."""
+    once. Row-local, as a page holds its own comments."""
     def comment(block: Column) -> Column:
-        pieces = F.transform(F.regexp_extract_all(block, F.lit(rule.fragment), F.lit(1)), block_text)
+        pieces = F.transform(_elements(block, rule.fragment, nested=True), block_text)
         return comment_body(longest_fragment(pieces, block_text(block)))
 
-    blocks = F.regexp_extract_all(F.col("html"), F.lit(rule.block), F.lit(rule.group))
-    found = F.filter(F.transform(blocks, comment), lambda x: x.isNotNull())
-    return F.slice(F.array_distinct(found), 1, rule.limit)
+    found = F.filter(F.transform(_elements(F.col("html"), rule.opening), comment), lambda x: x.isNotNull())
+    found = F.array_distinct(found)
+    return F.slice(found, 1, rule.limit) if rule.limit else found
 
 
-def _candidates(rules: Sequence[ExtractionRule], field: str) -> list[Column]:
+def _candidates(rules: Sequence[Rule], field: str) -> list[Column]:
     chosen = sorted((r for r in rules if r.field == field), key=lambda r: r.priority)
     return [inner_text(r.column()) for r in chosen]
 
 
-def extract_caption(rules: Sequence[ExtractionRule]) -> Column:
+def extract_caption(rules: Sequence[Rule]) -> Column:
     return first_non_blank(_candidates(rules, "caption"))
 
 
-def with_metrics(pages: DataFrame, rules: Sequence[ExtractionRule],
+def with_metrics(pages: DataFrame, rules: Sequence[Rule],
                  compat: bool = False) -> DataFrame:
     """Adds raw and parsed counts, and ``metrics_source``.
 
@@ -174,8 +235,8 @@ def with_metrics(pages: DataFrame, rules: Sequence[ExtractionRule],
     )
 
 
-def pages_to_posts(pages: DataFrame, caption_rules: Sequence[ExtractionRule] | None = None,
-                   metric_rules: Sequence[ExtractionRule] | None = None,
+def pages_to_posts(pages: DataFrame, caption_rules: Sequence[Rule] | None = None,
+                   metric_rules: Sequence[Rule] | None = None,
                    comment_rule: CommentRule | None = DEFAULT_COMMENTS,
                    id_pattern: str = POST_ID_PATTERN, compat: bool = False,
                    keep: Sequence[str] = ()) -> DataFrame:

@@ -17,6 +17,8 @@ from postlens.schema import (
 )
 
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
+#: A file whose header is not that of the others is an error, not a column under a wrong name.
+ONE_HEADER = {"enforceSchema": "false"}
 COUNTS = ("likes", "comments", "saves")
 RENAMED = {"shares": "saves"}
 
@@ -57,10 +59,12 @@ def read_posts(spark: SparkSession, path: str, fmt: str = "csv",
 
     Raises :class:`MissingSourceError` or :class:`EmptySourceError`. CSV values
     are read as text under the file's own header and then typed, so no
-    inference pass runs and unreadable counts become 0.
+    inference pass runs and unreadable counts become 0. CSV files below one path
+    share a header; Spark fails on another one (see ``read_drifted``). A quoted line
+    break keeps a CSV file in one task, so large tables are kept as parquet.
     """
     if fmt == "csv":
-        posts = to_post_schema(_read(spark, path, "csv", **CSV_OPTIONS))
+        posts = to_post_schema(_read(spark, path, "csv", **CSV_OPTIONS, **ONE_HEADER))
     else:
         posts = _read(spark, path, fmt)
     if not allow_empty and posts.isEmpty():

@@ -172,3 +172,19 @@ def test_label_choices(posts):
     got = {(r["column_name"], r["label"]) for r in P.label_choices(posts, "sentiment_label", "caption_emotion").collect()}
     assert got == {("sentiment_label", x) for x in ("Positive", "Negative", "Neutral")} | {
         ("caption_emotion", "joy"), ("caption_emotion", "fear")}
+
+
+@pytest.mark.parametrize("q", [0.0, 0.3, 0.75, 1.0])
+def test_quantile_of_crowded_values(spark, q):
+    """A million values in a thousandth: each round of ranges is an aggregate, and no window orders them."""
+    values = spark.range(1_000_000).select((F.col("id") / 1e9).alias("v"))
+    assert A.exact_quantile(values, "v", q).first()[0] == pytest.approx(q * 999_999 / 1e9, abs=1e-15)
+
+
+def test_quantile_of_odd_values(spark):
+    inf = float("inf")
+    for values, q, want in (([1.0, 2.0], 0.5, 1.5), ([5.0], 0.75, 5.0), ([-inf, 0.0, inf], 0.5, 0.0), ([-1e308, 1e308], 1.0, 1e308), ([0.0, 0.0, 1e-300], 1.0, 1e-300),
+                            ([1.0, inf], 1.0, inf), ([-inf, 3.0], 0.0, -inf)):
+        assert A.exact_quantile(spark.createDataFrame([(v,) for v in values], "v double"), "v", q).first()[0] == want
+    assert A.exact_quantile(spark.createDataFrame([(None,)], "v double"), "v").first()[0] is None
+    assert A.approx_quantile(spark.range(1, 101), "id", 0.75).first()[0] == pytest.approx(75, abs=1)

@@ -117,7 +117,23 @@ def test_nested_comments_split_long_posts(spark, scored):
     assert one[("p1", 0)]["emotions"] == ["joy", "fear", "fear", "joy"]
     assert one[("p4", 0)]["comments"] == [] and one[("p4", 0)]["total_comments"] == 0
     parts = C.nest_comments(scored.where("video_id = 'p1'"), posts, rows=3).orderBy("video_id", "chunk").collect()
-    assert [r["total_comments"] for r in parts] == [3, 1, 0]
+    assert [(r["video_id"], len(r["comments"]), r["total_comments"]) for r in parts] == [("p1", 3, 4), ("p1", 1, 4), ("p4", 0, 0)]
+    orphans = C.nest_comments(scored, posts)
+    assert {r["video_id"] for r in orphans.collect()} == {"p1", "p4"}
+
+
+def test_late_comments_count(spark):
+    """The last of 60 comments of a post decide its emotion, packed and long."""
+    texts = ["good"] * 20 + ["dark"] * 40
+    comments = spark.createDataFrame([("p", i, t) for i, t in enumerate(texts)], "video_id string, pos int, text string")
+    posts = spark.createDataFrame([("p", "good"), ("q", "good")], "video_id string, caption string")
+    long = full_analysis(posts, lexicon(), lexicon(), comments=comments)
+    packed = full_analysis(posts.join(C.pack_by_post(comments), "video_id", "left"), lexicon(), lexicon())
+    for frame in (long, packed):
+        p, q = frame.orderBy("video_id").collect()
+        assert (p["dominant_emotion"], p["total_analyzed_comments"]) == ("fear", 60)
+        assert (q["dominant_emotion"], q["total_analyzed_comments"]) == ("Unknown", 0)
+    assert "collect_list" not in long._jdf.queryExecution().executedPlan().toString()
 
 
 def test_packed_form_agrees_with_long_form(spark):
@@ -149,8 +165,8 @@ def test_one_post_with_most_comments(spark):
     assert (hot["total_comments"], hot["dominant_emotion"]) == (20_000, "fear")
     assert "partial_count" in summary._jdf.queryExecution().executedPlan().toString()
     nested = C.nest_comments(rows, rows.select("video_id").distinct(), rows=1_000).where("video_id = 'hot'").collect()
-    assert max(r["total_comments"] for r in nested) <= 1_000
-    assert sum(r["total_comments"] for r in nested) == 20_000
+    assert max(len(r["comments"]) for r in nested) <= 1_000 and {r["total_comments"] for r in nested} == {20_000}
+    assert sum(len(r["comments"]) for r in nested) == 20_000
 
 
 def test_clean_comments(spark):
@@ -158,15 +174,17 @@ def test_clean_comments(spark):
     rows += [("q", 0, "@user\n12K\nshort\na long enough line"), ("q", 1, "exactly 10"), ("q", 2, "a long enough line")]
     comments = spark.createDataFrame(rows, "video_id string, pos int, text string")
     kept = C.clean_comments(comments).orderBy("video_id", "pos").collect()
-    assert [r["text"] for r in kept if r["video_id"] == "p"] == [f"comment number {i}" for i in range(20)]
+    assert [r["text"] for r in kept if r["video_id"] == "p"] == [f"comment number {i}" for i in range(25)]
+    assert C.clean_comments(comments, limit=20).where("video_id = 'p'").count() == 20
     assert [(r["pos"], r["text"]) for r in kept if r["video_id"] == "q"] == [(0, "a long enough line")]
 
 
 def test_pack_by_post(spark):
     comments = spark.createDataFrame([("p", i, f"c{i}") for i in range(25)], "video_id string, pos int, text string")
-    row = C.pack_by_post(comments).first()
-    assert row["comment_text"] == " ||| ".join(f"c{i}" for i in range(20))
-    assert row["comment_count_extracted"] == 20
+    for limit, n in ((None, 25), (20, 20)):
+        row = C.pack_by_post(comments, limit).first()
+        assert row["comment_text"] == " ||| ".join(f"c{i}" for i in range(n))
+        assert row["comment_count_extracted"] == n
 
 
 def test_full_analysis_is_row_local(spark):

@@ -110,12 +110,37 @@ def test_page_comments(spark):
     ])
     pages = spark.createDataFrame([("https://h/video/1", html), ("https://h/video/2", "")], "url string, html string")
     one, two = pages_to_posts(pages).orderBy("video_id").collect()
-    texts = ["a long enough comment", "whole text as a fallback", *[f"comment with number {i}" for i in range(18)]]
-    assert one["comment_text"] == " ||| ".join(texts) and one["comment_count_extracted"] == 20
+    texts = ["a long enough comment", "whole text as a fallback", *[f"comment with number {i}" for i in range(25)]]
+    assert one["comment_text"] == " ||| ".join(texts) and one["comment_count_extracted"] == 27
     assert [c["text"] for c in one["comments_data"]] == texts
     assert two["comment_text"] == "" and two["comments_data"] == []
 
 
+def test_nested_elements(spark):
+    html = (
+        '<div data-e2e="browse-video-desc"><div>gta 6</div> trailer <div>second <br/>part</div></div><div>other</div>'
+        '<svg width="1"></svg><svg fill="#FE2C55"><path d=""/></svg> <strong>1.2K</strong><strong>7</strong>'
+        '<div data-e2e="comment-x">9</div><strong data-e2e="comment-x">34</strong>'
+        '<div data-e2e="comment-level-1"><div>@user</div><div><div>a comment in inner blocks</div></div></div>'
+        '<div data-e2e="comment-level-1"><span>short <span>and a longer</span> piece of text</span><span>small one here</span></div>')
+    pages = spark.createDataFrame([("https://h/video/1", html), ("https://h/video/2", '<div data-e2e="video-desc">open <b>end')], "url string, html string")
+    one, two = pages_to_posts(pages).orderBy("video_id").collect()
+    assert one["caption"] == "gta 6 trailer second part" and (one["likes"], one["comments"]) == (1200, 34)
+    assert one["comment_text"] == "a comment in inner blocks ||| short and a longer piece of text"
+    assert two["caption"] == "open end"
+
+
+def test_drifting_headers_are_refused(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    (folder / "a.csv").write_text("video_id,caption,shares\n1,x,30\n")
+    (folder / "b.csv").write_text("video_id,caption,likes\n2,y,40\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        src.read_posts(spark, str(folder)).collect()
+    both = src.read_drifted(spark, [str(folder / "a.csv"), str(folder / "b.csv")]).orderBy("video_id").collect()
+    assert [(r["saves"], r["likes"]) for r in both] == [(30, 0), (0, 40)]
+
+
 def test_positional_fallback(spark):
     pages = spark.createDataFrame([
         ("<strong>1</strong><strong>2K</strong><strong>3</strong>", ""),

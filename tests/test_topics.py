@@ -95,8 +95,8 @@ def test_topics(spark):
     rows.append((99, "unrelated thing"))
     docs = spark.createDataFrame(rows, "id int, text string")
     corpus = M.build_corpus(docs, "text", 8, M.TermRules(high=1))
-    fitted = M.fit_topics(corpus, k=2, passes=10)
-    again = M.fit_topics(corpus, k=2, passes=10)
+    fitted = M.fit_topics(corpus, k=2, steps=10, sampling_rate=1.0)
+    again = M.fit_topics(corpus, k=2, steps=10, sampling_rate=1.0)
     words = M.topic_words(fitted, 4).collect()
     assert [(r["topic_id"], r["term"]) for r in words] == [(r["topic_id"], r["term"]) for r in M.topic_words(again, 4).collect()]
     assert {frozenset(r["term"] for r in words if r["topic_id"] == t) for t in (0, 1)} == {
@@ -112,3 +112,18 @@ def test_topics(spark):
     labels = docs.select("id", F.when(F.col("id") % 2 == 1, "odd").otherwise("even").alias("label"))
     shares = M.topics_by(mixed, labels, "label", "id").groupBy("row_label").agg(F.sum("share").alias("s")).collect()
     assert [r["s"] for r in shares] == pytest.approx([1.0, 1.0])
+
+
+def test_training_settings_do_not_depend_on_size(spark):
+    def settings(n):
+        docs = spark.range(n).select("id", F.concat(F.lit("apple pear "), F.when(F.col("id") % 2 == 0, "plum fig").otherwise("bolt nail")).alias("text"))
+        model = M.fit_topics(M.build_corpus(docs, "text", 8), k=2, steps=3).model
+        return [(p.name, model.getOrDefault(p)) for p in model.params if p.name in ("maxIter", "subsamplingRate", "k")]
+
+    assert settings(100) == settings(1000) and dict(settings(100))["subsamplingRate"] == 0.5
+
+
+def test_rank_terms(spark):
+    weights = spark.createDataFrame([(0, "b", 1.0), (0, "a", 1.0), (0, "c", 2.0), (1, "a", 0.5)], "topic_id int, term string, weight double")
+    rows = M.rank_terms(weights, 2).orderBy("topic_id", "rank").collect()
+    assert [tuple(r) for r in rows] == [(0, 0, "c", 2.0), (0, 1, "a", 1.0), (1, 0, "a", 0.5)]
