@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlens.llm.memo import LONG_PIECE, UNEVEN, slices
+from postlens.llm.memo import LONG_PIECE, slices, uneven
 from postlens.llm.store import texts, worker_path
 
 SLICE_CHARS = 4_000_000
@@ -142,7 +142,7 @@ class PairIndexBpe:
 
     def encode(self, slice_of: list[str]) -> list[tuple[bytes, str]]:
         """For each text its ids as 32-bit bytes and as decimals joined by commas, with a comma at the end."""
-        cut = [[t] if "\0" in t or UNEVEN.search(t) else t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t in slice_of]
+        cut = [[t] if uneven(t) else t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t in slice_of]
         if len(self.pieces) > REMEMBERED:
             self.pieces.clear()
         if len(self.words) > REMEMBERED:

@@ -9,16 +9,28 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from itertools import chain
 
-import numpy as np
-
-REMEMBERED = 600_000
+#: Pieces of each of two generations.
+REMEMBERED = 700_000
 LONG_PIECE = 64
+#: Marks that, behind a letter and before white space, are a token or more of their own.
+TAIL = ".,;:!?"
 #: White space other than single spaces and line ends, or two in a row: such a text is not cut for a byte-level file.
 UNEVEN = re.compile("[\t\x0b-\x0d\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|[ \n][ \n]")
 
 
+#: The same in a text of ASCII only.
+UNEVEN_ASCII = ("\0", "\t", "\x0b", "\x0c", "\r", "\x1c", "\x1d", "\x1e", "\x1f", "  ", "\n\n", " \n", "\n ")
+
+
+def uneven(text: str) -> bool:
+    if text.isascii():
+        return any(x in text for x in UNEVEN_ASCII)
+    return "\0" in text or UNEVEN.search(text) is not None
+
+
 class PieceEncoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes."""
 
@@ -33,34 +45,49 @@ class PieceEncoder:
         self.drops_space = not self.tokenizer.encode("a b", add_special_tokens=False).tokens[1].startswith("\u0120") \
             and not self.tokenizer.encode(" ", add_special_tokens=False).ids
         self.seen: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def _pieces(self, text: str) -> list[str]:
         if self.drops_space:
             return text.replace("\n", " ").split(" ")
-        if "\0" in text or UNEVEN.search(text):
+        if uneven(text):
             return [text]
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
     def _ids(self, pieces: list[str]) -> dict[str, bytes]:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(pieces, found, strict=True)}
+        return {p: array("I", e.ids).tobytes() for p, e in zip(pieces, found, strict=True)}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         pieces = [self._pieces(t) for t in texts]
-        seen = self.seen
-        new = [p for p in set(chain.from_iterable(pieces)) if p not in seen]
-        if len(seen) + len(new) > REMEMBERED:
-            seen.clear()
-            seen[""] = b""
-            new = list(set(chain.from_iterable(pieces)))
+        if len(self.seen) > REMEMBERED:  # pieces in use move on to the new generation
+            self.older, self.seen = self.seen, {"": b""}
         once: dict[str, bytes] = {}
-        for start in range(0, len(new), 4096):
-            for p, ids in self._ids(new[start:start + 4096]).items():
-                (seen if len(p) <= LONG_PIECE else once)[p] = ids
+        new = self._unseen(set(chain.from_iterable(pieces)).difference(self.seen))
+        tailed = [p for p in new if p[-1] in TAIL and p[-2:-1].isalpha()]
+        parts = self._unseen({q for p in tailed for q in (p[:-1], p[-1])}.difference(self.seen))
+        plain = [*set(new).difference(tailed).union(parts)]
+        for start in range(0, len(plain), 4096):
+            for p, ids in self._ids(plain[start:start + 4096]).items():
+                (self.seen if len(p) <= LONG_PIECE else once)[p] = ids
+        seen = self.seen
+        for p in tailed:
+            ids = (once[p[:-1]] if p[:-1] in once else seen[p[:-1]]) + seen[p[-1]]
+            (seen if len(p) <= LONG_PIECE else once)[p] = ids
         if not once:
             return [b"".join(map(seen.__getitem__, ps)) for ps in pieces]
         return [b"".join([once[p] if p in once else seen[p] for p in ps]) for ps in pieces]
 
+    def _unseen(self, pieces: set[str]) -> list[str]:
+        """Those that the older generation does not know either; what it knows moves on."""
+        new = []
+        for p in pieces:
+            if p in self.older:
+                self.seen[p] = self.older[p]
+            else:
+                new.append(p)
+        return new
+
 
 _ENCODERS: dict[str, PieceEncoder] = {}
 
