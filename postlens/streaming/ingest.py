@@ -2,15 +2,16 @@
 
 Store layout: ``<store>/ingest_run=<run>/ingest_batch=<n>/``. A micro-batch
 overwrites its own folder only, so a batch that is run again after a failure
-leaves the same rows as one that ran once.
+leaves the same rows as one that ran once. The ids stand once more below
+``<store>_ids/id_bucket=<hash>/``, so a batch reads those of its own buckets and not the store.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,6 +20,7 @@ from postlens.operators.filters import relevant
 from postlens.schema import POST_SCHEMA, RELEVANCE_KEYWORDS
 
 PARTITIONS = "ingest_run string, ingest_batch bigint"
+ID_BUCKETS = 16
 
 
 def read_store(spark: SparkSession, store: str) -> DataFrame:
@@ -33,28 +35,55 @@ def read_store(spark: SparkSession, store: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("video_id"), F.lit(buckets)).cast("int")
+
+
+def stored_ids(spark: SparkSession, store: str, buckets: Iterable[int]) -> DataFrame:
+    """Stored ids of some buckets with their run and batch; other buckets are neither listed nor read."""
+    root = f"{store.rstrip('/')}_ids"
+    jvm = spark._jvm.org.apache.hadoop.fs
+    files = jvm.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    paths = [p for b in buckets if files.exists(jvm.Path(p := f"{root}/id_bucket={b}"))]
+    schema = f"video_id string, id_bucket int, {PARTITIONS}"
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", root).parquet(*paths)
+
+
+def index_store(spark: SparkSession, store: str, buckets: int = ID_BUCKETS) -> None:
+    """Write the id table of a store anew: for a store without one, or to join the small files of many batches."""
+    ids = read_store(spark, store).select("video_id", _bucket(buckets).alias("id_bucket"), "ingest_run", "ingest_batch")
+    by_bucket = ids.repartition("id_bucket").sortWithinPartitions("id_bucket", "ingest_run", "ingest_batch")
+    partitions = ("id_bucket", "ingest_run", "ingest_batch")
+    by_bucket.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(f"{store.rstrip('/')}_ids")
+
+
 def write_batch(posts: DataFrame, store: str, run: str, batch: int,
-                order: Sequence[str] = ("video_id",)) -> None:
+                order: Sequence[str] = ("video_id",), buckets: int = ID_BUCKETS) -> None:
     """Store the posts of one batch that no other batch holds.
 
-    The store is probed with the ids of the batch (a semi join that can
-    broadcast the small side at run time), so a large store is scanned by one
-    column and not shuffled. An empty result writes nothing.
+    Only the id buckets that the batch falls into are read, so the cost follows the
+    batch and its share of the ids. ``buckets`` must stay the same for a store (see
+    ``index_store``). An empty result writes nothing.
     """
     spark = posts.sparkSession
-    stored = read_store(spark, store)
-    own = (F.col("ingest_run") == run) & (F.col("ingest_batch") == batch)
-    others = stored.where(~own).select("video_id")
     posts = posts.persist()
     try:
         ids = posts.select("video_id").distinct()
+        own_buckets = sorted(r[0] for r in ids.select(_bucket(buckets)).distinct().collect())
+        own = (F.col("ingest_run") == run) & (F.col("ingest_batch") == batch)
+        others = stored_ids(spark, store, own_buckets).where(~own).select("video_id")
         known = others.join(ids, "video_id", "left_semi").distinct()
         fresh = new_posts_only(posts, known, *order)
         typed = fresh.select(*[F.col(f.name).cast(f.dataType) for f in POST_SCHEMA]).persist()
         try:
             if not typed.isEmpty():
-                path = f"{store}/ingest_run={run}/ingest_batch={batch}"
-                typed.write.mode("overwrite").parquet(path)
+                typed.write.mode("overwrite").parquet(f"{store}/ingest_run={run}/ingest_batch={batch}")
+                marks = typed.select("video_id", _bucket(buckets).alias("id_bucket"), F.lit(run).alias("ingest_run"), F.lit(batch).cast("bigint").alias("ingest_batch"))
+                partitions = ("id_bucket", "ingest_run", "ingest_batch")
+                marks.repartition("id_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(
+                    f"{store.rstrip('/')}_ids")
         finally:
             typed.unpersist()
     finally:
