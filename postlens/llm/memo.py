@@ -17,6 +17,8 @@ REMEMBERED = 700_000
 LONG_PIECE = 64
 #: Marks that, behind a letter and before white space, are a token or more of their own.
 TAIL = ".,;:!?"
+#: Such letters: Latin ones that stay one letter when a file composes or lower-cases them.
+BEFORE = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]")
 #: White space other than single spaces and line ends, or two in a row: such a text is not cut for a byte-level file.
 UNEVEN = re.compile("[\t\x0b-\x0d\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|[ \n][ \n]")
 
@@ -64,7 +66,7 @@ class PieceEncoder:
             self.older, self.seen = self.seen, {"": b""}
         once: dict[str, bytes] = {}
         new = self._unseen(set(chain.from_iterable(pieces)).difference(self.seen))
-        tailed = [p for p in new if p[-1] in TAIL and p[-2:-1].isalpha()]
+        tailed = [p for p in new if p[-1] in TAIL and BEFORE.match(p[-2:-1])]
         parts = self._unseen({q for p in tailed for q in (p[:-1], p[-1])}.difference(self.seen))
         plain = [*set(new).difference(tailed).union(parts)]
         for start in range(0, len(plain), 4096):
