@@ -33,7 +33,7 @@ from postlens.plans.analysis import full_analysis
 from postlens.schema import POST_COLUMNS
 from postlens.session import work_path
 from postlens.sources import posts as src
-from postlens.sources.pages import CommentRule, extract_caption, extract_comments, inner_text, with_metrics
+from postlens.sources.pages import CommentRule, default_caption_rules, default_metric_rules, extract_caption, extract_comments, inner_text, with_metrics
 from postlens.streaming.ingest import read_store, run_counters, start_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -343,6 +343,18 @@ def page_metrics(spark, folder):
     )
 
 
+@query(f"""SELECT page_id, {S.strip(S.inner_text(r"regexp_extract(html, '(?is)<h1\b[^>]*>(.*?)</h1>', 1)") + " || ' tail'")} AS caption,
+  page_id AS likes, page_id + 1 AS comments FROM pages""")
+def page_default_rules(spark, folder):
+    """Pages marked as the default rules expect them: the heading in nested elements, counts behind a picture and in nested spans."""
+    number = F.col("page_id").cast("string")
+    counts = F.concat(F.lit('<svg fill="#FE2C55"><path d=""/></svg> <strong>'), number, F.lit('</strong><span data-e2e="a-comment"><span></span><span>'),
+                      (F.col("page_id") + 1).cast("string"), F.lit("</span></span>"))
+    headed = F.regexp_replace("html", r"(?is)<h1\b[^>]*>(.*?)</h1>", '<div data-e2e="browse-video-desc"><div>$1</div> <div>tail</div></div><div>more</div>')
+    pages = T.texts(spark, folder, "pages").select("page_id", "url", F.concat(counts, headed).alias("html"))
+    return with_metrics(pages, default_metric_rules()).select("page_id", extract_caption(default_caption_rules()).alias("caption"), "likes", "comments")
+
+
 @query(f"""WITH spans AS (
   SELECT page_id, f.fragment, f.pos FROM (
     SELECT page_id, unnest(list_transform(range(1, len(a) + 1), lambda i: {{'fragment': a[i], 'pos': i}})) AS f
@@ -363,7 +375,9 @@ _BLOCK_TEXT = S.inner_text(r"regexp_replace(a[i], '(?i)<br\s*/?>|</(p|div|li)>',
 
 
 def _page_comments_check(limit: str = "") -> str:
-    return rf"""WITH b AS (SELECT page_id, regexp_extract_all(html, '(?is)<p\b[^>]*>(.*?)</p>', 1) AS a FROM pages),
+    """A paragraph ends at its closing tag or where the next one opens."""
+    return rf"""WITH b AS (SELECT page_id, list_transform(string_split_regex(html, '(?i)<p\b[^>]*>')[2:],
+    lambda x: regexp_replace(x, '(?is)</p\b[^>]*>.*', '')) AS a FROM pages),
 u AS (SELECT page_id, unnest(list_transform(range(1, len(a) + 1), lambda i: {{'pos': i, 'text': list_filter(
     list_transform(string_split({_BLOCK_TEXT}, chr(10)), lambda x: {S.strip('x')}), lambda x: {_VALID_LINE})[1]}})) AS c
   FROM b),
