@@ -31,10 +31,8 @@ def line_dedup(spark, docs, sf_dir):
 
 def near_dedup(spark, docs, sf_dir):
     """Of documents with a five-word similarity of 0.8 or more, the one with the smallest id stays; a document without an id stays."""
-    found = keep(simhash.simhash_components(docs, shingle=5, bits=256, differences=simhash.differences_at(0.8, 256),
-                                            masks=simhash.random_masks(256, 18, 48)), "near_copies")
-    gone = found.where("component_id <> doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    copies = keep(simhash.near_copies(docs, similarity=0.8, shingle=5).select("doc_id"), "near_copies")
+    return docs.join(copies, "doc_id", "left_anti")
 
 
 def passage_dedup(spark, docs, sf_dir):

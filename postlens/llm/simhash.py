@@ -108,8 +108,11 @@ def _apart(low_a, high_a, low_b, high_b) -> np.ndarray:
     return np.bitwise_count((low_a & ~high_b) | (low_b & ~high_a)).sum(axis=-1, dtype=np.int64)
 
 
-def close_pairs(x: np.ndarray, y: np.ndarray | None, differences: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of rows of ``x`` and ``y`` (or of ``x`` twice, i < j) within ``differences``, top down through both trees."""
+def close_pairs(x: np.ndarray, y: np.ndarray | None, differences: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Indices of rows of ``x`` and ``y`` (or of ``x`` twice, i < j) within ``differences``, with these, top down through both trees.
+
+    They come in parts of bounded size, so a large group's pairs are never all in memory.
+    """
     alone, y = y is None, x if y is None else y
     levels = [(x, x)], [(y, y)]
     for tree in levels:
@@ -121,7 +124,6 @@ def close_pairs(x: np.ndarray, y: np.ndarray | None, differences: int) -> tuple[
             tree.append(_nodes(*tree[-1], LEAF))
     na, nb = len(levels[0][-1][0]), len(levels[1][-1][0])
     i, j = (v.ravel() for v in np.meshgrid(np.arange(na), np.arange(nb), indexing="ij"))
-    found = []
     stack = [(depth - 1, i, j)]
     while stack:
         level, i, j = stack.pop()
@@ -129,10 +131,11 @@ def close_pairs(x: np.ndarray, y: np.ndarray | None, differences: int) -> tuple[
             up = i <= j if level else i < j
             i, j = i[up], j[up]
         (la, ha), (lb, hb) = levels[0][level], levels[1][level]
-        near = _apart(la[i], ha[i], lb[j], hb[j]) <= differences
+        apart = _apart(la[i], ha[i], lb[j], hb[j])
+        near = apart <= differences
         i, j = i[near], j[near]
         if level == 0:
-            found.append((i, j))
+            yield i, j, apart[near]
             continue
         ca, cb = len(levels[0][level - 1][0]), len(levels[1][level - 1][0])
         step = np.arange(LEAF)
@@ -141,9 +144,6 @@ def close_pairs(x: np.ndarray, y: np.ndarray | None, differences: int) -> tuple[
             q = (j[s:s + 256, None] * LEAF + step)[:, None, :] + np.zeros((LEAF, 1), np.int64)
             ok = (p < ca) & (q < cb)
             stack.append((level - 1, p[ok], q[ok]))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -162,16 +162,35 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
+def _tree_links(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """At most one link from each of ``n`` nodes to the smallest that it reaches; with ``nearest`` also one to its nearest."""
+    label, best = np.arange(n), np.full(n, np.iinfo(np.int64).max)
+    for i, j, d in pairs:
+        if nearest:
+            np.minimum.at(best, i, (d << 32) | j)
+            np.minimum.at(best, j, (d << 32) | i)
+        a, b = label[i], label[j]
+        new = a != b
+        label = forest(n, a[new], b[new])[label]
+    moved = np.flatnonzero(label != np.arange(n))
+    a, b = moved, label[moved]
+    if nearest:
+        at = np.flatnonzero(best != np.iinfo(np.int64).max)
+        a, b = np.concatenate([a, at]), np.concatenate([b, best[at] & 0xFFFFFFFF])
+    return a, b
+
+
 def _runs(pattern: np.ndarray) -> list[tuple[int, int]]:
     cuts = [0, *(np.flatnonzero(pattern[1:] != pattern[:-1]) + 1).tolist(), len(pattern)]
     return list(zip(cuts, cuts[1:], strict=False))
 
 
-def fingerprint_links(fps: DataFrame, masks: list[list[int]], differences: int) -> DataFrame:
+def fingerprint_links(fps: DataFrame, masks: list[list[int]], differences: int, nearest: bool = False) -> DataFrame:
     """Links ``a, b`` that join ``fps(node long, fp binary)`` into the components of all pairs within ``differences``
     that agree under one of the masks. ``fp`` is unique. With ``exact_masks`` that is every pair.
 
-    A group of n close fingerprints gives at most n - 1 links for each mask and task.
+    A group of n close fingerprints gives at most n - 1 links for each mask and task; with ``nearest``, for a closer look
+    at the texts, also one from each fingerprint to its nearest.
     """
     bits = 8 * int(fps.select(F.octet_length("fp")).head()[0]) if not fps.isEmpty() else 64
     orders = [mask + [b for b in range(bits) if b not in set(mask)] for mask in masks]
@@ -222,9 +241,8 @@ def fingerprint_links(fps: DataFrame, masks: list[list[int]], differences: int)
             for k, (s, e) in enumerate(runs if done else runs[:-1]):
                 x, own = _words(words[s:e]), np.array(nodes[s:e])
                 if e - s > 1:
-                    label = forest(e - s, *close_pairs(x, None, differences))
-                    moved = np.flatnonzero(label != np.arange(e - s))
-                    links += zip(own[moved].tolist(), own[label[moved]].tolist(), strict=True)
+                    i, j = _tree_links(e - s, close_pairs(x, None, differences), nearest)
+                    links += zip(own[i].tolist(), own[j].tolist(), strict=True)
                 if (first and k == 0) or (done and e == len(at)):
                     for c in range(0, e - s, BLOCK):
                         low, high = np.bitwise_and.reduce(x[c:c + BLOCK]), np.bitwise_or.reduce(x[c:c + BLOCK])
@@ -257,12 +275,12 @@ def fingerprint_links(fps: DataFrame, masks: list[list[int]], differences: int)
             a, b = [], []
             for row in batch.to_pylist():
                 nx, ny = np.array(row["nx"]), np.array(row["ny"])
-                i, j = close_pairs(np.frombuffer(row["fx"], np.uint64).reshape(len(nx), -1), np.frombuffer(row["fy"], np.uint64).reshape(len(ny), -1), differences)
-                label = forest(len(nx) + len(ny), i, j + len(nx))
+                x, y = (np.frombuffer(row[f], np.uint64).reshape(len(n), -1) for f, n in (("fx", nx), ("fy", ny)))
+                pairs = ((i, j + len(nx), d) for i, j, d in close_pairs(x, y, differences))
                 own = np.concatenate([nx, ny])
-                moved = np.flatnonzero(label != np.arange(len(own)))
-                a += own[moved].tolist()
-                b += own[label[moved]].tolist()
+                i, j = _tree_links(len(own), pairs, nearest)
+                a += own[i].tolist()
+                b += own[j].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return found.where("a is not null").select("a", "b").unionByName(full.mapInArrow(across, "a long, b long"))
@@ -290,3 +308,43 @@ def simhash_components(df: DataFrame, shingle: int = 5, bits: int = 256, differe
     return docs.join(of_class, "fp", "left").select(
         "doc_id", F.lower(F.hex("fp")).alias("fingerprint"),
         F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def shingle_sets(df: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, shingles array<int>``: distinct 32-bit hashes of each row's shingles."""
+    source = texts(df, id_col, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            rows = [np.unique(text_hashes(t.as_py(), shingle).astype(np.uint32)).view(np.int32) for t in batch.column(1)]
+            ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+            flat = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], ["doc_id", "shingles"])
+
+    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, shingles array<int>")
+
+
+def near_copies(df: DataFrame, similarity: float = 0.8, shingle: int = 5, bits: int = 256, slack: int = 12, masks: int = 64, width: int = 16,
+                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, component_id`` of documents that are not their component's smallest id: the copies.
+
+    Documents link if the sets of their word shingles have a Jaccard similarity of ``similarity`` or more. Fingerprints name
+    the candidates: those that agree under a random mask of ``width`` bits and differ in at most ``slack`` bits more than such
+    a similarity makes one expect; each document's nearest in such a group and a tree over it are then compared shingle by
+    shingle. Texts of equal fingerprints are one class, texts without words too. Rows with equal ids are one document;
+    one without an id is no copy. An empty table gives no rows.
+    """
+    docs = keep(fingerprints(df, shingle, bits, id_col, text_col), "fingerprints")
+    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "fp")
+    classes = keep(named.groupBy("fp").agg(F.min("id").alias("node")), "classes")
+    near = fingerprint_links(classes, random_masks(bits, width, masks), differences_at(similarity, bits) + slack, nearest=True)
+    pairs = keep(near.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    nodes = keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "candidate_nodes")
+    wanted = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(nodes, F.col("doc_id") == F.col("node"), "left_semi")
+    sets = keep(shingle_sets(wanted, shingle).groupBy("doc_id").agg(F.first("shingles").alias("shingles")), "shingle_sets")
+    first, second = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab")
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    alike = shared >= F.lit(similarity) * (F.size("of_a") + F.size("of_b") - shared)
+    links = pairs.join(first, "a").join(second, "b").where(alike).select("a", "b")
+    of_class = named.join(classes, "fp").where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
+    return components(links.unionByName(of_class)).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
