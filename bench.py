@@ -14,7 +14,7 @@ import statistics
 import time
 
 from postlens.plans import queries as Q
-from postlens.session import build_session, discard_work
+from postlens.session import build_session, discard_work, work_scope
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -29,8 +29,9 @@ HEADLINE = (
 
 def run(spark, name: str) -> float:
     started = time.perf_counter()
-    Q.QUERIES[name](spark, FOLDER).write.format("noop").mode("overwrite").save()
-    return time.perf_counter() - started
+    with work_scope(spark):
+        Q.QUERIES[name](spark, FOLDER).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - started
 
 
 def main() -> None:

@@ -17,7 +17,7 @@ from postlens.functions.labels import best_class
 from postlens.functions.links import absolute_url, post_id
 from postlens.functions.records import comment_records, records_from_json, records_to_json
 from postlens.functions.text import (
-    SPACE, WORD, clean_text, longest_fragment, pack_comments, split_comments,
+    clean_text, longest_fragment, pack_comments, split_comments,
 )
 from postlens.operators import aggregates as A
 from postlens.operators import comments as C
@@ -370,7 +370,7 @@ def longest_fragment_(spark, folder):
         "page_id", F.md5(longest_fragment(F.col("_fragments"), inner_text(F.col("html")))).alias("fragment_md5"))
 
 
-_VALID_LINE = rf"length(x) > 10 AND NOT regexp_matches(x, '^(\d+[KMkm]?|@[{WORD}]+|\d+[hdwmy])$')"
+_VALID_LINE = rf"length(x) > 10 AND NOT regexp_matches(x, '^(\d+[KMkm]?|@[{S.WORD}]+|\d+[hdwmy])$')"
 _BLOCK_TEXT = S.inner_text(r"regexp_replace(a[i], '(?i)<br\s*/?>|</(p|div|li)>', chr(10), 'g')")
 
 

@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from postlens.functions.text import SPACE, WORD
 from postlens.plans import testbed as T
-from postlens.schema import STOP_WORDS
 
+# Fixed values, stated here once more so that a slip in the package's own shows.
+SPACE = r"\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WORD = r"\p{L}\p{N}_"
+STOP_WORDS = """
+a about above after again against ain all am an and any are aren as at be because been before being below between both but by
+can couldn did didn do does doesn doing don down during each few for from further had hadn has hasn have haven having he her here
+hers herself him himself his how i if in into is isn it its itself just ll m ma me mightn more most mustn my myself needn no nor
+not now of off on once only or other our ours ourselves out over own re s same shan she should shouldn so some such t than that
+the their theirs them themselves then there these they this those through to too under until up ve very was wasn we were weren
+what when where which while who whom why will with won wouldn y you your yours yourself yourselves d o
+tiktok video gta gta6 game gaming like get would could really one go see know think good bad way time make come want need
+""".split()
 TOKEN = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]{2,}"
 MARKUP = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&"))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,7 +58,8 @@ def shared_root(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", "") or ""
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise ConfigError("set spark.checkpoint.dir to a folder shared by all executors")
     if _local_root is None:
         _local_root = tempfile.mkdtemp(prefix="run-")
@@ -67,22 +70,44 @@ def _session_folder(spark: SparkSession) -> str:
     return f"{shared_root(spark)}/postlens/{spark.sparkContext.applicationId}"
 
 
+_scopes: list[list[str]] = []
+
+
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for this session below the shared folder."""
-    return f"{_session_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path for this session below the shared folder; it belongs to the innermost ``work_scope``."""
+    path = f"{_session_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def work_scope(spark: SparkSession) -> Iterator[None]:
+    """Working copies written inside are deleted at its end, so results must be written or fetched before."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _delete(spark, path)
 
 
 def discard_work(spark: SparkSession) -> None:
     """Delete what this session has written to its part of the shared folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_session_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _session_folder(spark))
 
 
 def materialized(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage, so that a lost executor costs a re-read and not a re-run
-    of the chain behind ``df``, and fixes values that depend on partitioning.
+    of the chain behind ``df``, and fixes values that depend on partitioning. The
+    copy stays until its ``work_scope`` ends, or ``discard_work``.
     """
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)

@@ -254,3 +254,34 @@ def test_shared_folder_comes_from_the_session():
     assert shared_root(_Session("hdfs://x/shared/")) == "hdfs://x/shared"
     with pytest.raises(ConfigError):
         shared_root(_Session(None))
+
+
+def test_work_scope_frees_its_copies(spark):
+    import os
+
+    from postlens.session import materialized, work_path, work_scope
+
+    kept = materialized(spark.range(3), "outer")
+    with work_scope(spark):
+        inner = materialized(spark.range(5), "inner")
+        folder = os.path.dirname(work_path(spark, "x"))
+        assert inner.count() == 5
+    names = os.listdir(folder.removeprefix("file:"))
+    assert kept.count() == 3 and any(n.startswith("outer-") for n in names) and not any(n.startswith("inner-") for n in names)
+
+
+def test_batch_reads_its_id_buckets_only(spark, tmp_path):
+    from postlens.streaming.ingest import index_store, stored_ids, write_batch
+
+    store = str(tmp_path / "store")
+    posts = src.to_post_schema(spark.range(200).select(F.col("id").cast("string").alias("video_id"), F.lit("c").alias("caption")))
+    write_batch(posts, store, "r", 0)
+    bucket = posts.where("video_id = '17'").select(F.pmod(F.xxhash64("video_id"), F.lit(16))).first()[0]
+    read = stored_ids(spark, store, [bucket])
+    assert {f.split("id_bucket=")[1].split("/")[0] for f in read.inputFiles()} == {str(bucket)}
+    assert 0 < read.count() < 200 and "17" in {r["video_id"] for r in read.collect()}
+    write_batch(posts.where("video_id = '17'").unionByName(posts.limit(1).withColumn("video_id", F.lit("new"))), store, "r", 1)
+    assert read_store(spark, store).where("ingest_batch = 1").select("video_id").first()[0] == "new"
+    before = stored_ids(spark, store, range(16)).count()
+    index_store(spark, store)
+    assert stored_ids(spark, store, range(16)).count() == before == 201
