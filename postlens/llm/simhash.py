@@ -201,7 +201,7 @@ def fingerprint_links(fps: DataFrame, masks: list[list[int]], differences: int,
             for m, (mask, order) in enumerate(zip(masks, orders, strict=True)):
                 turned = rows[:, order]
                 pattern = np.packbits(turned[:, :len(mask)], axis=1)
-                rank = np.packbits(gray_rank(turned[:, len(mask):]), axis=1)
+                rank = np.packbits(gray_rank(turned[:, len(mask):])[:, :64], axis=1)  # enough to bring neighbours together
                 n = len(rows)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, m, np.int32)), pa.array([r.tobytes() for r in pattern], pa.binary()),
                                                   pa.array([r.tobytes() for r in rank], pa.binary()), *batch.columns],
@@ -324,7 +324,7 @@ def shingle_sets(df: DataFrame, shingle: int, id_col: str = "doc_id", text_col:
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, shingles array<int>")
 
 
-def near_copies(df: DataFrame, similarity: float = 0.8, shingle: int = 5, bits: int = 256, slack: int = 12, masks: int = 64, width: int = 16,
+def near_copies(df: DataFrame, similarity: float = 0.8, shingle: int = 5, bits: int = 256, slack: int = 12, masks: int = 48, width: int = 16,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, component_id`` of documents that are not their component's smallest id: the copies.
 
