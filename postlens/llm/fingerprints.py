@@ -1,8 +1,8 @@
 """I-Match document fingerprints, with DataFrame functions only.
 
-The lexicon holds the terms in a band of inverse document frequency, counted over all documents. A document's terms in the
-lexicon are sorted and hashed: all of them, and those of several random subsets of the lexicon of various sizes, so
-that a small edit leaves some of the hashes as they are.
+The lexicon holds the terms in a band of inverse document frequency, counted over all documents. Random subsets of it of
+various sizes are drawn; for each, a document's distinct terms in the subset are sorted and hashed, so that a small
+edit leaves some of the hashes as they are. Terms stand for their 64-bit hashes from the start.
 """
 
 from __future__ import annotations
@@ -16,41 +16,45 @@ from postlens.llm.store import keep
 #: (terms of a mean document) / LEAST_SHARE terms, however many documents there are.
 LEAST_SHARE, MOST_SHARE = 1 / 2000, 1 / 4
 #: Subsets of the lexicon: the k-th keeps one term in RATES[k].
-RATES = [2 ** (4 + k // 4) for k in range(32)]
+RATES = [2 ** (3 + k // 3) for k in range(24)]
+#: What an empty list hashes to.
+EMPTY = 42
 MOST_BROADCAST = 1_000_000
 NO_ID = -(1 << 63)
 
 
 def terms(text: Column) -> Column:
-    """Distinct lower-case runs of letters and digits."""
-    return F.array_remove(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+")), "")
+    """Hashes of the distinct lower-case runs of letters and digits."""
+    hashes = F.transform(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: F.xxhash64(x))
+    return F.array_remove(F.array_distinct(hashes), F.xxhash64(F.lit("")))
 
 
 def lexicon(docs: DataFrame, total: int) -> DataFrame:
-    """``term, subsets`` (a bit for each subset that keeps the term)."""
+    """``term, subsets`` (a bit for each subset that keeps the term): the terms in the band that some subset keeps."""
     counts = docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     band = counts.where((F.col("n") >= F.lit(max(2.0, total * LEAST_SHARE))) & (F.col("n") <= F.lit(max(2.0, total * MOST_SHARE))))
     bits = [F.when(F.pmod(F.xxhash64(F.lit(k), F.col("term")), F.lit(rate)) == 0, F.lit(1 << k)).otherwise(F.lit(0)) for k, rate in enumerate(RATES)]
     subsets = bits[0].cast("long")
     for bit in bits[1:]:
         subsets = subsets.bitwiseOR(bit.cast("long"))
-    return keep(band.select("term", subsets.alias("subsets")), "lexicon")
+    return keep(band.select("term", subsets.alias("subsets")).where("subsets <> 0"), "lexicon")
 
 
-def _hash(of: Column) -> Column:
-    return F.lower(F.lpad(F.hex(F.xxhash64(of)), 16, "0"))
+def _digits(hashed: Column) -> Column:
+    return F.lower(F.lpad(F.hex(hashed), 16, "0"))
 
 
 def fingerprint(found: Column, whole: Column) -> Column:
-    """Hash of all terms, then eight digits for each subset, or a dash where no term is in it.
+    """Eight digits for each subset, a dash where no term is in it; before them ``whole``, if all are dashes.
 
-    ``found`` are sorted (term, subsets); a text without terms in the lexicon has ``whole``, the hash of all its terms, instead.
+    ``found`` are sorted (term, subsets). A text without terms in any subset is told by the hash of all its terms.
     """
     def subset(k: int) -> Column:
         some = F.filter(found, lambda x: x["subsets"].bitwiseAND(F.lit(1 << k)) != 0)
-        return F.when(F.size(some) > 0, F.substring(_hash(F.transform(some, lambda x: x["term"])), 1, 8)).otherwise("-")
+        hashed = F.nullif(F.xxhash64(F.transform(some, lambda x: x["term"])), F.lit(EMPTY).cast("long"))
+        return F.coalesce(F.substring(_digits(hashed), 1, 8), F.lit("-"))
 
-    first = F.when(F.size(found) > 0, _hash(F.transform(found, lambda x: x["term"]))).otherwise(whole)
+    first = F.when(F.size(found) > 0, F.lit("")).otherwise(_digits(whole))
     return F.concat_ws(".", first, *(subset(k) for k in range(len(RATES))))
 
 
@@ -99,13 +103,13 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "id", "of", "text", F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - F.col("take")), "head").alias("edited"))
     versions = both.select("id", "of", F.posexplode(F.array("text", "edited")).alias("version", "text"))
     every = terms(F.col("text"))
-    split = versions.select("id", "of", "version", F.length("text").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"), every.alias("every"))
-    # An empty term keeps each version, whatever the lexicon has of it.
-    hits = split.select("id", "of", "version", "n_chars", "sha", _hash(F.col("every")).alias("whole"), F.explode(F.concat("every", F.array(F.lit("")))).alias("term")) \
-        .join(words, "term", "left").where("subsets is not null or term = ''")
+    split = versions.select("id", "of", "version", F.length("text").alias("n_chars"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"), every.alias("every"))
+    # A null term keeps each version, whatever the lexicon has of it.
+    hits = split.select("id", "of", "version", "n_chars", "sha", F.xxhash64("every").alias("whole"), F.explode(F.concat("every", F.array(F.lit(None).cast("long")))).alias("term")) \
+        .join(words, "term", "left").where("subsets is not null or term is null")
     found = hits.groupBy("id", "of", "version", "n_chars", "sha", "whole").agg(
         F.array_sort(F.collect_list(F.when(F.col("subsets").isNotNull(), F.struct("term", "subsets")))).alias("found"))
-    done = found.select("id", "of", "version", "n_chars", "sha", fingerprint(F.col("found"), F.col("whole")).alias("print"))
+    done = found.select("id", "of", "version", "n_chars", F.lower(F.hex("sha")).alias("sha"), fingerprint(F.col("found"), F.col("whole")).alias("print"))
 
     def of(version: int, name: str) -> Column:
         return F.max(F.when(F.col("version") == version, F.col(name)))
