@@ -36,7 +36,8 @@ def uneven(text: str) -> bool:
 class PieceEncoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int | None = None):
+        self.remembered = remembered or REMEMBERED
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -62,7 +63,7 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         pieces = [self._pieces(t) for t in texts]
-        if len(self.seen) > REMEMBERED:  # pieces in use move on to the new generation
+        if len(self.seen) > self.remembered:  # pieces in use move on to the new generation
             self.older, self.seen = self.seen, {"": b""}
         once: dict[str, bytes] = {}
         new = self._unseen(set(chain.from_iterable(pieces)).difference(self.seen))
@@ -94,10 +95,10 @@ class PieceEncoder:
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
-    """One per file and worker process."""
+def encoder(path: str, remembered: int | None = None) -> PieceEncoder:
+    """One per file and worker process; it stays there for later tasks, so what it remembers counts in their memory too."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
+        _ENCODERS[path] = PieceEncoder(path, remembered)
     return _ENCODERS[path]
 
 

@@ -22,6 +22,8 @@ from postlens.llm.memo import encoder, slices
 from postlens.llm.store import keep, texts
 
 SLICE_CHARS = 4_000_000
+#: Pieces of each of two generations; few, as a pipeline's other stages run in the same worker processes.
+REMEMBERED = 200_000
 
 
 def pack_histogram(histogram: dict[int, int], size: int) -> list[tuple[list[int], int]]:
@@ -77,7 +79,7 @@ def cut_pieces(df: DataFrame, tokenizer_path: str, end_id: int, size: int, id_co
     source = texts(df, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        enc, end = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(tokenizer_path, REMEMBERED), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             every = batch.column(1).to_pylist()
             for i, j in slices([len(t) for t in every], SLICE_CHARS):

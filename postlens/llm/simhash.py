@@ -24,6 +24,7 @@ from postlens.llm.components import components
 from postlens.llm.store import forget, keep, texts
 
 LEAF = 32
+SHORT = 64
 BLOCK = 1024
 HASHES = 1 << 15
 
@@ -180,9 +181,27 @@ def _tree_links(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
     return a, b
 
 
-def _runs(pattern: np.ndarray) -> list[tuple[int, int]]:
-    cuts = [0, *(np.flatnonzero(pattern[1:] != pattern[:-1]) + 1).tolist(), len(pattern)]
-    return list(zip(cuts, cuts[1:], strict=False))
+def _run_keys(mask: pa.Array, pattern: pa.Array) -> np.ndarray:
+    """Mask number and masked bits as one number; they sort as the rows do."""
+    rows = np.frombuffer(b"".join(pattern.to_pylist()), np.uint8).reshape(len(pattern), -1)
+    key = mask.to_numpy(zero_copy_only=False).astype(np.uint64)
+    for k in range(rows.shape[1]):
+        key = (key << np.uint64(8)) | rows[:, k]
+    return key
+
+
+def _short_runs(x: np.ndarray, starts: np.ndarray, stops: np.ndarray, differences: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs within ``differences`` in all runs of 2 to ``SHORT`` rows at once, by their distance in the order."""
+    short = stops - starts <= SHORT
+    stop = np.repeat(np.where(short, stops, starts), stops - starts)
+    i = np.arange(len(x))
+    for step in range(1, SHORT):
+        i = i[i + step < stop[i]]
+        if not len(i):
+            return
+        d = np.bitwise_count(x[i] ^ x[i + step]).sum(axis=-1, dtype=np.int64)
+        near = d <= differences
+        yield i[near], i[near] + step, d[near]
 
 
 def fingerprint_links(fps: DataFrame, masks: list[list[int]], differences: int, nearest: bool = False) -> DataFrame:
@@ -193,6 +212,8 @@ def fingerprint_links(fps: DataFrame, masks: list[list[int]], differences: int,
     at the texts, also one from each fingerprint to its nearest.
     """
     bits = 8 * int(fps.select(F.octet_length("fp")).head()[0]) if not fps.isEmpty() else 64
+    if any(len(mask) > 40 for mask in masks):
+        raise ValueError("a mask has at most 40 bits")
     orders = [mask + [b for b in range(bits) if b not in set(mask)] for mask in masks]
 
     def key(batches: Iterator[pa.RecordBatch]):
@@ -212,14 +233,14 @@ def fingerprint_links(fps: DataFrame, masks: list[list[int]], differences: int,
 
     def index(batches: Iterator[pa.RecordBatch]):
         part, block = TaskContext.get().partitionId(), 0
-        at, nodes, words = [], [], []
+        at, nodes, x = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, bits // 64), np.uint64)
         first, done = True, False
 
         def rows(links, blocks):
             return pa.RecordBatch.from_pydict({
                 "a": pa.array([x[0] for x in links] + [None] * len(blocks), pa.int64()), "b": pa.array([x[1] for x in links] + [None] * len(blocks), pa.int64()),
                 **{name: pa.array([None] * len(links) + [x[k] for x in blocks], kind)
-                   for k, (name, kind) in enumerate((("key", pa.binary()), ("part", pa.int32()), ("block", pa.int32()), ("low", pa.binary()), ("high", pa.binary()),
+                   for k, (name, kind) in enumerate((("key", pa.int64()), ("part", pa.int32()), ("block", pa.int32()), ("low", pa.binary()), ("high", pa.binary()),
                                                      ("nodes", pa.list_(pa.int64())), ("fps", pa.binary())))}})
 
         # The rows of a run stay together; runs that are over are handled batch by batch.
@@ -229,31 +250,35 @@ def fingerprint_links(fps: DataFrame, masks: list[list[int]], differences: int,
             if batch is None:
                 done = True
             elif len(batch):
-                at += [m.to_bytes(2, "big") + p for m, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-                nodes += batch.column(2).to_pylist()
-                words += batch.column(3).to_pylist()
-            if not at:
+                at = np.concatenate([at, _run_keys(batch.column(0), batch.column(1))])
+                nodes = np.concatenate([nodes, batch.column(2).to_numpy(zero_copy_only=False)])
+                x = np.concatenate([x, _words(batch.column(3).to_pylist())])
+            if not len(at):
                 continue
-            runs = _runs(np.array(at, object))
-            if not done and len(runs) == 1:
+            starts = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
+            stops = np.append(starts[1:], len(at))
+            if not done and len(starts) == 1:
                 continue
-            links, blocks = [], []
-            for k, (s, e) in enumerate(runs if done else runs[:-1]):
-                x, own = _words(words[s:e]), np.array(nodes[s:e])
-                if e - s > 1:
-                    i, j = _tree_links(e - s, close_pairs(x, None, differences), nearest)
-                    links += zip(own[i].tolist(), own[j].tolist(), strict=True)
-                if (first and k == 0) or (done and e == len(at)):
-                    for c in range(0, e - s, BLOCK):
-                        low, high = np.bitwise_and.reduce(x[c:c + BLOCK]), np.bitwise_or.reduce(x[c:c + BLOCK])
-                        blocks.append((at[s], part, block, low.tobytes(), high.tobytes(), own[c:c + BLOCK].tolist(), x[c:c + BLOCK].tobytes()))
-                        block += 1
+            if not done:  # the last run may go on
+                starts, stops = starts[:-1], stops[:-1]
+            over, sizes = int(stops[-1]), stops - starts
+            i, j = _tree_links(over, _short_runs(x[:over], starts, stops, differences), nearest)
+            links, blocks = list(zip(nodes[i].tolist(), nodes[j].tolist(), strict=True)), []
+            for k in np.flatnonzero(sizes > SHORT).tolist():
+                s, e = int(starts[k]), int(stops[k])
+                i, j = _tree_links(e - s, close_pairs(x[s:e], None, differences), nearest)
+                links += zip(nodes[s + i].tolist(), nodes[s + j].tolist(), strict=True)
+            for k in sorted(({0} if first else set()) | ({len(starts) - 1} if done else set())):
+                for c in range(int(starts[k]), int(stops[k]), BLOCK):
+                    some = slice(c, min(c + BLOCK, int(stops[k])))
+                    low, high = np.bitwise_and.reduce(x[some]), np.bitwise_or.reduce(x[some])
+                    blocks.append((int(at[starts[k]]), part, block, low.tobytes(), high.tobytes(), nodes[some].tolist(), x[some].tobytes()))
+                    block += 1
             first = False
-            keep_from = len(at) if done else runs[-1][0]
-            at, nodes, words = at[keep_from:], nodes[keep_from:], words[keep_from:]
+            at, nodes, x = at[over:], nodes[over:], x[over:]
             yield rows(links, blocks)
 
-    found = keep(ordered.mapInArrow(index, "a long, b long, key binary, part int, block int, low binary, high binary, nodes array<long>, fps binary"), "index")
+    found = keep(ordered.mapInArrow(index, "a long, b long, key long, part int, block int, low binary, high binary, nodes array<long>, fps binary"), "index")
     heads = found.where("key is not null").select("key", "part", "block", "low", "high")
     left, right = (heads.select(*(F.col(c).alias(c + s) for c in heads.columns)) for s in "xy")
 
