@@ -14,6 +14,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -27,6 +28,10 @@ LEAF = 32
 SHORT = 64
 BLOCK = 1024
 HASHES = 1 << 15
+#: Where a run has more close pairs for a fingerprint than this, they are compared in cells and not listed.
+LISTED = 4
+CELL = 256
+CELL_ROWS = 4096
 
 
 def text_hashes(text: str, shingle: int) -> np.ndarray:
@@ -163,22 +168,40 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def _tree_links(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], nearest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """At most one link from each of ``n`` nodes to the smallest that it reaches; with ``nearest`` also one to its nearest."""
-    label, best = np.arange(n), np.full(n, np.iinfo(np.int64).max)
-    for i, j, d in pairs:
-        if nearest:
-            np.minimum.at(best, i, (d << 32) | j)
-            np.minimum.at(best, j, (d << 32) | i)
+def _tree_links(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """At most one link from each of ``n`` nodes to the smallest that it reaches."""
+    label = np.arange(n)
+    for i, j, _ in pairs:
         a, b = label[i], label[j]
         new = a != b
         label = forest(n, a[new], b[new])[label]
     moved = np.flatnonzero(label != np.arange(n))
-    a, b = moved, label[moved]
-    if nearest:
-        at = np.flatnonzero(best != np.iinfo(np.int64).max)
-        a, b = np.concatenate([a, at]), np.concatenate([b, best[at] & 0xFFFFFFFF])
-    return a, b
+    return moved, label[moved]
+
+
+def _listed_links(runs: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of rows with these sorted ``runs``, and the rows whose pairs they do not list.
+
+    All pairs of a run with at most ``LISTED`` for a row; of another the links of ``_tree_links``, and its paired rows.
+    """
+    n = len(runs)
+    sizes, counts, some = np.bincount(runs), np.zeros(runs[-1] + 1 if n else 0, np.int64), []
+    label, best, paired = np.arange(n), np.full(n, np.iinfo(np.int64).max), np.zeros(n, bool)
+    for i, j, d in pairs:
+        counts += np.bincount(runs[i], minlength=len(counts))
+        paired[i] = paired[j] = True
+        listed = (counts <= LISTED * sizes)[runs]
+        some = [(a[listed[a]], b[listed[a]]) for a, b in [*some, (i, j)] if listed[a].any()]
+        np.minimum.at(best, i, (d << 32) | j)
+        np.minimum.at(best, j, (d << 32) | i)
+        a, b = label[i], label[j]
+        new = a != b
+        label = forest(n, a[new], b[new])[label]
+    dense = paired & (counts > LISTED * sizes)[runs]
+    moved, near = np.flatnonzero(dense & (label != np.arange(n))), np.flatnonzero(dense)
+    a = np.concatenate([moved, near, *(a for a, _ in some)])
+    b = np.concatenate([label[moved], best[near] & 0xFFFFFFFF, *(b for _, b in some)])
+    return a, b, near
 
 
 def _run_keys(mask: pa.Array, pattern: pa.Array) -> np.ndarray:
@@ -204,14 +227,8 @@ def _short_runs(x: np.ndarray, starts: np.ndarray, stops: np.ndarray, difference
         yield i[near], i[near] + step, d[near]
 
 
-def fingerprint_links(fps: DataFrame, masks: list[list[int]], differences: int, nearest: bool = False) -> DataFrame:
-    """Links ``a, b`` that join ``fps(node long, fp binary)`` into the components of all pairs within ``differences``
-    that agree under one of the masks. ``fp`` is unique. With ``exact_masks`` that is every pair.
-
-    A group of n close fingerprints gives at most n - 1 links for each mask and task; with ``nearest``, for a closer look
-    at the texts, also one from each fingerprint to its nearest.
-    """
-    bits = 8 * int(fps.select(F.octet_length("fp")).head()[0]) if not fps.isEmpty() else 64
+def _ordered(fps: DataFrame, masks: list[list[int]], bits: int) -> DataFrame:
+    """``mask, pattern, node, fp`` for each mask, in the order of the index over all tasks."""
     if any(len(mask) > 40 for mask in masks):
         raise ValueError("a mask has at most 40 bits")
     orders = [mask + [b for b in range(bits) if b not in set(mask)] for mask in masks]
@@ -229,12 +246,45 @@ def fingerprint_links(fps: DataFrame, masks: list[list[int]], differences: int,
                                                  ["mask", "pattern", "rank", "node", "fp"])
 
     keyed = fps.select("node", "fp").mapInArrow(key, "mask int, pattern binary, rank binary, node long, fp binary")
-    ordered = keyed.repartitionByRange("mask", "pattern", "rank").sortWithinPartitions("mask", "pattern", "rank").drop("rank")
+    return keyed.repartitionByRange("mask", "pattern", "rank").sortWithinPartitions("mask", "pattern", "rank").drop("rank")
+
+
+def _whole_runs(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[tuple]:
+    """Run keys, nodes, fingerprints, and starts and stops of a task's runs; a run's rows stay together. Also whether it is the last part."""
+    at, nodes, x = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, bits // 64), np.uint64)
+    batches, done = iter(batches), False
+    while not done:
+        batch = next(batches, None)
+        if batch is None:
+            done = True
+        elif len(batch):
+            at = np.concatenate([at, _run_keys(batch.column(0), batch.column(1))])
+            nodes = np.concatenate([nodes, batch.column(2).to_numpy(zero_copy_only=False)])
+            x = np.concatenate([x, _words(batch.column(3).to_pylist())])
+        if not len(at):
+            continue
+        starts = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
+        stops = np.append(starts[1:], len(at))
+        if not done and len(starts) == 1:
+            continue
+        if not done:  # the last run may go on
+            starts, stops = starts[:-1], stops[:-1]
+        over = int(stops[-1])
+        yield at[:over], nodes[:over], x[:over], starts, stops, done
+        at, nodes, x = at[over:], nodes[over:], x[over:]
+
+
+def fingerprint_links(fps: DataFrame, masks: list[list[int]], differences: int) -> DataFrame:
+    """Links ``a, b`` that join ``fps(node long, fp binary)`` into the components of all pairs within ``differences``
+    that agree under one of the masks. ``fp`` is unique. With ``exact_masks`` that is every pair.
+
+    A group of n close fingerprints gives at most n - 1 links for each mask and task.
+    """
+    bits = 8 * int(fps.select(F.octet_length("fp")).head()[0]) if not fps.isEmpty() else 64
+    ordered = _ordered(fps, masks, bits)
 
     def index(batches: Iterator[pa.RecordBatch]):
-        part, block = TaskContext.get().partitionId(), 0
-        at, nodes, x = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, bits // 64), np.uint64)
-        first, done = True, False
+        part, block, first = TaskContext.get().partitionId(), 0, True
 
         def rows(links, blocks):
             return pa.RecordBatch.from_pydict({
@@ -243,30 +293,13 @@ def fingerprint_links(fps: DataFrame, masks: list[list[int]], differences: int,
                    for k, (name, kind) in enumerate((("key", pa.int64()), ("part", pa.int32()), ("block", pa.int32()), ("low", pa.binary()), ("high", pa.binary()),
                                                      ("nodes", pa.list_(pa.int64())), ("fps", pa.binary())))}})
 
-        # The rows of a run stay together; runs that are over are handled batch by batch.
-        batches = iter(batches)
-        while not done:
-            batch = next(batches, None)
-            if batch is None:
-                done = True
-            elif len(batch):
-                at = np.concatenate([at, _run_keys(batch.column(0), batch.column(1))])
-                nodes = np.concatenate([nodes, batch.column(2).to_numpy(zero_copy_only=False)])
-                x = np.concatenate([x, _words(batch.column(3).to_pylist())])
-            if not len(at):
-                continue
-            starts = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
-            stops = np.append(starts[1:], len(at))
-            if not done and len(starts) == 1:
-                continue
-            if not done:  # the last run may go on
-                starts, stops = starts[:-1], stops[:-1]
-            over, sizes = int(stops[-1]), stops - starts
-            i, j = _tree_links(over, _short_runs(x[:over], starts, stops, differences), nearest)
+        for at, nodes, x, starts, stops, done in _whole_runs(batches, bits):
+            sizes = stops - starts
+            i, j = _tree_links(len(at), _short_runs(x, starts, stops, differences))
             links, blocks = list(zip(nodes[i].tolist(), nodes[j].tolist(), strict=True)), []
             for k in np.flatnonzero(sizes > SHORT).tolist():
                 s, e = int(starts[k]), int(stops[k])
-                i, j = _tree_links(e - s, close_pairs(x[s:e], None, differences), nearest)
+                i, j = _tree_links(e - s, close_pairs(x[s:e], None, differences))
                 links += zip(nodes[s + i].tolist(), nodes[s + j].tolist(), strict=True)
             for k in sorted(({0} if first else set()) | ({len(starts) - 1} if done else set())):
                 for c in range(int(starts[k]), int(stops[k]), BLOCK):
@@ -275,7 +308,6 @@ def fingerprint_links(fps: DataFrame, masks: list[list[int]], differences: int,
                     blocks.append((int(at[starts[k]]), part, block, low.tobytes(), high.tobytes(), nodes[some].tolist(), x[some].tobytes()))
                     block += 1
             first = False
-            at, nodes, x = at[over:], nodes[over:], x[over:]
             yield rows(links, blocks)
 
     found = keep(ordered.mapInArrow(index, "a long, b long, key long, part int, block int, low binary, high binary, nodes array<long>, fps binary"), "index")
@@ -303,7 +335,7 @@ def fingerprint_links(fps: DataFrame, masks: list[list[int]], differences: int,
                 x, y = (np.frombuffer(row[f], np.uint64).reshape(len(n), -1) for f, n in (("fx", nx), ("fy", ny)))
                 pairs = ((i, j + len(nx), d) for i, j, d in close_pairs(x, y, differences))
                 own = np.concatenate([nx, ny])
-                i, j = _tree_links(len(own), pairs, nearest)
+                i, j = _tree_links(len(own), pairs)
                 a += own[i].tolist()
                 b += own[j].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -311,6 +343,102 @@ def fingerprint_links(fps: DataFrame, masks: list[list[int]], differences: int,
     return found.where("a is not null").select("a", "b").unionByName(full.mapInArrow(across, "a long, b long"))
 
 
+def candidate_links(fps: DataFrame, masks: list[list[int]], differences: int) -> DataFrame:
+    """``a, b`` for pairs of ``fps(node long, fp binary)`` to compare, and ``key, node, fp`` for the rows of runs whose pairs are not all among them.
+
+    Pairs are those within ``differences`` that agree under a mask. Runs with many pairs, and those that reach a task's edge,
+    are given row by row, for ``cell_links``.
+    """
+    bits = 8 * int(fps.select(F.octet_length("fp")).head()[0]) if not fps.isEmpty() else 64
+
+    def index(batches: Iterator[pa.RecordBatch]):
+        first = True
+        for at, nodes, x, starts, stops, done in _whole_runs(batches, bits):
+            runs = np.repeat(np.arange(len(starts)), stops - starts)
+            edge = np.zeros(len(at), bool)
+            if first:
+                edge[:stops[0]] = True
+            if done:
+                edge[starts[-1]:] = True
+            first = False
+            i, j, dense = _listed_links(runs, _short_runs(x, starts, stops, differences))
+            links, rows = [(i, j)], [dense]
+            for k in np.flatnonzero(stops - starts > SHORT).tolist():
+                s, e = int(starts[k]), int(stops[k])
+                i, j, dense = _listed_links(np.zeros(e - s, np.int64), close_pairs(x[s:e], None, differences))
+                links.append((s + i, s + j))
+                rows.append(s + dense)
+            i, j = (np.concatenate(v) for v in zip(*links, strict=True))
+            rows = np.union1d(np.concatenate(rows), np.flatnonzero(edge))
+            n, m = len(i), len(rows)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate([nodes[i], np.zeros(m, np.int64)]), mask=np.arange(n + m) >= n),
+                pa.array(np.concatenate([nodes[j], np.zeros(m, np.int64)]), mask=np.arange(n + m) >= n),
+                pa.array(np.concatenate([np.zeros(n, np.int64), at[rows].astype(np.int64)]), mask=np.arange(n + m) < n),
+                pa.array(np.concatenate([np.zeros(n, np.int64), nodes[rows]]), mask=np.arange(n + m) < n),
+                pa.array([None] * n + [r.tobytes() for r in x[rows]], pa.binary())], ["a", "b", "key", "node", "fp"])
+
+    return _ordered(fps, masks, bits).mapInArrow(index, "a long, b long, key long, node long, fp binary")
+
+
+def cell_links(rows: DataFrame, sets: DataFrame, masks: list[list[int]], differences: int, similarity: float) -> DataFrame:
+    """Links ``a, b`` of ``rows(key, node, fp, label)`` with ``sets(doc_id, shingles)``: pairs of a run within ``differences`` that reach ``similarity``.
+
+    Every pair is compared, but those whose ends a chain of found links (``label`` is that of earlier ones) joins already, and
+    those that agree under an earlier mask. Large runs are dealt over a grid of pairs of chunks; smaller ones share tasks.
+    """
+    sizes = keep(rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("low"), F.max("label").alias("high"))
+                 .where("low <> high").select("key", "members"), "run_sizes")
+    tasks = max(1, -(-(sizes.agg(F.sum("members")).head()[0] or 0) // CELL_ROWS))
+    placed = rows.join(sizes, "key").join(sets, F.col("node") == F.col("doc_id")).withColumn("chunks", F.ceil(F.col("members") / F.lit(CELL)).cast("int")) \
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
+        "key", "node", "fp", "label", "shingles", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("key"), F.lit(tasks))).otherwise(F.col("key")).alias("deal"), (F.col("chunks") == 1).alias("small"))
+    shift = 8 * -(-len(masks[0]) // 8)
+    wide = max(map(max, masks)) // 64 * 64 + 64
+
+    def cell(pdf: pd.DataFrame) -> pd.DataFrame:
+        patterns = np.zeros((len(masks), wide), np.uint8)
+        for m, mask in enumerate(masks):
+            patterns[m, mask] = 1
+        patterns = np.packbits(patterns, axis=1).view(np.uint64)
+        links = []
+        for key, g in pdf.groupby("key", sort=False):
+            x, own, node = _words(g["fp"].tolist()), g["own"].to_numpy(), g["node"].to_numpy()
+            sets, root = [np.asarray(s) for s in g["shingles"]], np.unique(g["label"].to_numpy(), return_inverse=True)[1].tolist()
+            lengths = np.array([len(s) for s in sets])
+            up = list(range(max(root) + 1))
+
+            def top(k, up=up):
+                while up[k] != k:
+                    up[k] = k = up[up[k]]
+                return k
+
+            found = list(close_pairs(x, None, differences))
+            if not found:
+                continue
+            i, j, d = (np.concatenate(v) for v in zip(*found, strict=True))
+            ok = np.ones(len(i), bool) if g["i"].iloc[0] == g["j"].iloc[0] else own[i] != own[j]
+            ok &= np.minimum(lengths[i], lengths[j]) >= similarity * np.maximum(lengths[i], lengths[j])
+            i, j, d = i[ok], j[ok], d[ok]
+            earlier, differ = np.zeros(len(i), bool), x[i] ^ x[j]
+            for m in range(int(key) >> shift):
+                width = patterns.shape[1]
+                earlier |= ~(differ[:, :width] & patterns[m]).any(axis=1)
+            i, j, d = i[~earlier], j[~earlier], d[~earlier]
+            for p, q in zip(*(v[np.argsort(d, kind="stable")].tolist() for v in (i, j)), strict=True):
+                a, b = top(root[p]), top(root[q])
+                if a != b:
+                    shared = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
+                    if shared >= similarity * (len(sets[p]) + len(sets[q]) - shared):
+                        up[a] = b
+                        links.append((node[p], node[q]))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return cells.groupBy("small", "deal", "i", "j").applyInPandas(cell, "a long, b long")
+
+
 def simhash_components(df: DataFrame, shingle: int = 5, bits: int = 256, differences: int = 38, masks: list[list[int]] | None = None,
                        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fingerprint`` (hex) ``, component_id``: the smallest id that a document reaches over near fingerprints.
@@ -355,21 +483,25 @@ def near_copies(df: DataFrame, similarity: float = 0.8, shingle: int = 5, bits:
 
     Documents link if the sets of their word shingles have a Jaccard similarity of ``similarity`` or more. Fingerprints name
     the candidates: those that agree under a random mask of ``width`` bits and differ in at most ``slack`` bits more than such
-    a similarity makes one expect; each document's nearest in such a group and a tree over it are then compared shingle by
-    shingle. Texts of equal fingerprints are one class, texts without words too. Rows with equal ids are one document;
+    a similarity makes one expect. Every candidate pair is compared shingle by shingle, but where found links join its ends already. Texts of equal fingerprints are one class, texts without words too. Rows with equal ids are one document;
     one without an id is no copy. An empty table gives no rows.
     """
     docs = keep(fingerprints(df, shingle, bits, id_col, text_col), "fingerprints")
     named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "fp")
     classes = keep(named.groupBy("fp").agg(F.min("id").alias("node")), "classes")
-    near = fingerprint_links(classes, random_masks(bits, width, masks), differences_at(similarity, bits) + slack, nearest=True)
+    patterns, differences = random_masks(bits, width, masks), differences_at(similarity, bits) + slack
+    near = keep(candidate_links(classes, patterns, differences), "near")
     pairs = keep(near.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    nodes = keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "candidate_nodes")
+    dense = near.where("key is not null").select("key", "node", "fp")
+    nodes = keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).union(dense.select("node")).distinct(), "candidate_nodes")
     wanted = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(nodes, F.col("doc_id") == F.col("node"), "left_semi")
     sets = keep(shingle_sets(wanted, shingle).groupBy("doc_id").agg(F.first("shingles").alias("shingles")), "shingle_sets")
     first, second = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab")
     shared = F.size(F.array_intersect("of_a", "of_b"))
     alike = shared >= F.lit(similarity) * (F.size("of_a") + F.size("of_b") - shared)
-    links = pairs.join(first, "a").join(second, "b").where(alike).select("a", "b")
+    links = keep(pairs.join(first, "a").join(second, "b").where(alike).select("a", "b"), "near_links")
+    least = components(links)
+    labelled = keep(dense.join(least, "node", "left").select("key", "node", "fp", F.coalesce("component", "node").alias("label")), "dense")
+    more = cell_links(labelled, sets, patterns, differences, similarity)
     of_class = named.join(classes, "fp").where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
-    return components(links.unionByName(of_class)).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+    return components(links.unionByName(more).unionByName(of_class)).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))

@@ -154,6 +154,34 @@ def test_near_copies(spark):
     assert simhash.near_copies(docs.where("false")).count() == 0
 
 
+def test_near_copies_among_documents_of_one_template(spark):
+    """Pairs of 0.82 in a group whose others are 0.7 to 0.79 alike, where the nearest fingerprint is often another document's."""
+    rng = np.random.default_rng(13)
+    template = [f"t{i}" for i in range(300)]
+    places = np.arange(3, 297, 6)
+
+    def changed(at):
+        words = list(template)
+        for k in at:
+            words[k] = f"x{rng.integers(0, 10 ** 9)}"
+        return words
+
+    docs = [changed(rng.choice(places, 4, replace=False)) for _ in range(260)]
+    for _ in range(30):
+        at = rng.choice(places, 8, replace=False)
+        both = changed(at[:2])
+        for own in (at[2:5], at[5:]):
+            docs.append([b if k in at[:2] or k not in own else f"x{rng.integers(0, 10 ** 9)}" for k, b in enumerate(both)])
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in docs]
+    linked = [np.array([j for j, b in enumerate(sets) if len(a & b) >= 0.8 * len(a | b)]) for a in sets]
+    label = closure(len(docs), linked)
+    want = {i: int(x) for i, x in enumerate(label) if x != i}
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(frame).collect()}
+    assert len(want) >= 30
+    assert set(got) <= set(want) and len(set(want) - set(got)) <= 0.05 * len(want), (len(got), len(want))
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(10)
     rows = []
