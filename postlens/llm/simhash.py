@@ -477,7 +477,7 @@ def shingle_sets(df: DataFrame, shingle: int, id_col: str = "doc_id", text_col:
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, shingles array<int>")
 
 
-def near_copies(df: DataFrame, similarity: float = 0.8, shingle: int = 5, bits: int = 256, slack: int = 12, masks: int = 48, width: int = 16,
+def near_copies(df: DataFrame, similarity: float = 0.8, shingle: int = 5, bits: int = 256, slack: int = 20, masks: int = 96, width: int = 16,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, component_id`` of documents that are not their component's smallest id: the copies.
 

@@ -1,5 +1,7 @@
 """SimHash, near vectors and components against brute force."""
 
+import inspect
+
 import numpy as np
 import pytest
 import xxhash
@@ -154,6 +156,18 @@ def test_near_copies(spark):
     assert simhash.near_copies(docs.where("false")).count() == 0
 
 
+def test_candidates_at_the_similarity():
+    """Of pairs at 0.8, about 0.99 are candidates of the pipeline's near-dedup."""
+    own = {n: p.default for n, p in inspect.signature(simhash.near_copies).parameters.items()}
+    rng = np.random.default_rng(14)
+    hashes = rng.integers(0, 2 ** 64, (1500, 333), dtype=np.uint64)
+    a, b = (np.unpackbits(np.array([np.frombuffer(simhash.majority(h, 4), np.uint8) for h in some]), axis=1) for some in (hashes[:, :300], hashes[:, 33:]))
+    differ = a != b
+    agree = np.any([~differ[:, m].any(axis=1) for m in simhash.random_masks(256, own["width"], own["masks"])], axis=0)
+    within = differ.sum(axis=1) <= simhash.differences_at(own["similarity"], 256) + own["slack"]
+    assert (agree & within).mean() >= 0.98
+
+
 def test_near_copies_among_documents_of_one_template(spark):
     """Pairs of 0.82 in a group whose others are 0.7 to 0.79 alike, where the nearest fingerprint is often another document's."""
     rng = np.random.default_rng(13)
