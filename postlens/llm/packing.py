@@ -29,8 +29,9 @@ REMEMBERED = 200_000
 def pack_histogram(histogram: dict[int, int], size: int) -> list[tuple[list[int], int]]:
     """Patterns (lengths that share a sequence) with how many sequences follow each.
 
-    Every step uses a length or a pattern up or ends a length, so there are at most as many patterns as twice the
-    lengths and places in proportion to them, whatever the counts.
+    A length that no open pattern has room for opens sequences that hold as many of it as fit. Every step uses a pattern
+    up or ends a length, which leaves at most two new patterns and a split one, so there are at most three times as
+    many patterns as lengths, whatever the counts.
     """
     heap, order, done = [], 0, []
     for length in sorted(histogram, reverse=True):
@@ -43,10 +44,13 @@ def pack_histogram(histogram: dict[int, int], size: int) -> list[tuple[list[int]
                     heappush(heap, (fill, order, pattern, count - n))
                     order += 1
                 back.append((fill + length, pattern + [length], n))
-            else:
-                n = left
-                back.append((length, [length], n))
-            left -= n
+                left -= n
+            else:  # equal lengths share new sequences
+                fit = size // length
+                for held, n in ((fit, left // fit), (left % fit, 1)):
+                    if held and n:
+                        back.append((held * length, [length] * held, n))
+                left = 0
             if not left or not heap or heap[0][0] + length > size:
                 for fill, pattern, n in back:
                     if fill == size:

@@ -128,6 +128,28 @@ def test_histogram_is_used_up():
     assert spare < 0.02 * 64 * sum(c for _, c in patterns)
 
 
+@pytest.mark.parametrize("histogram, sequences", [({1000: 9000}, 4500), ({100: 90000}, 4500), ({700: 5}, 3), ({2048: 7, 1: 2049}, 9)])
+def test_equal_lengths_share_sequences(histogram, sequences):
+    patterns = packing.pack_histogram(histogram, 2048)
+    assert sum(n for _, n in patterns) == sequences
+    assert all(sum(p) <= 2048 for p, _ in patterns)
+    assert {k: sum(p.count(k) * n for p, n in patterns) for k in histogram} == histogram
+
+
+def test_a_hot_length_leaves_little_room():
+    rng = random.Random(15)
+    histogram = {}
+    for _ in range(6000):
+        n = rng.randint(1, 2048)
+        histogram[n] = histogram.get(n, 0) + 1
+    histogram[700] = histogram.get(700, 0) + 3000
+    patterns = packing.pack_histogram(histogram, 2048)
+    assert {k: sum(p.count(k) * n for p, n in patterns) for k in histogram} == histogram
+    alone = sum(n for k, n in histogram.items() if k > 1348)  # with no other piece of 700 or more
+    two = sum(n for k, n in histogram.items() if 700 <= k <= 1348)  # at most two of them in a sequence
+    assert sum(n for _, n in patterns) <= alone + -(-two // 2) + 10
+
+
 def test_packing(spark):
     texts = [*TEXTS, None, *["one two three"] * 300]
     want, _ = expected(WORDS, texts)
