@@ -2,8 +2,8 @@
 
 Suffixes are kept at minimiser positions: where the hash of four words is the least of some window of 17. Any passage of 50
 words has one among its first 17, so with at least 34 words of it to its right. Suffixes whose first 34 words occur in
-one document only are left; the others are sorted, over all tasks, by those words and what follows, compared with their
-neighbours, and matches are extended to the left and right word by word.
+one document only are left out. Each window of 50 words belongs to the first of its least minimisers; the windows of suffixes that
+are shared are then grouped by their hash, so every row of every window that two documents have is found.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +24,6 @@ WORDS = 50
 GRAM = 4
 WINDOW = 17
 REACH = WORDS - WINDOW + 1
-CONTEXT = WINDOW - 1
 BASE, BASE_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 WORD = re.compile("[^\t-\r ]+")
 
@@ -69,13 +67,6 @@ def minimisers(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, _rolling(hashes, REACH)[at].view(np.int64)
 
 
-def _common(a: bytes, b: bytes) -> int:
-    """Words in common at the start of two contexts, two bytes each."""
-    most = min(len(a), len(b)) // 2
-    differ = int.from_bytes(a.ljust(2 * CONTEXT, b"\0")) ^ int.from_bytes(b.ljust(2 * CONTEXT, b"\0"))
-    return min(most, (16 * CONTEXT - differ.bit_length()) // 16)
-
-
 def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     worker_path(df.sparkSession)
     return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(id_col).cast("long").alias("id"),
@@ -99,91 +90,33 @@ def _suffixes(docs: DataFrame) -> DataFrame:
     return docs.select("id", "of", "text").mapInArrow(run, "key long, id long, of long, at int")
 
 
-def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The words around each wanted suffix: before it, from the nearest, and after its first 34."""
-    def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            out = {n: [] for n in ("key", "id", "of", "at", "before", "after", "first_id", "first_of", "first_at")}
-            for row in batch.to_pylist():
-                short = _mix(word_hashes(row["text"])).astype(">u2")
-                for w in row["wanted"]:
-                    at = w["at"]
-                    out["key"].append(w["key"])
-                    out["id"].append(row["id"])
-                    out["of"].append(row["of"])
-                    out["at"].append(at)
-                    out["before"].append(short[max(0, at - CONTEXT):at][::-1].tobytes())
-                    out["after"].append(short[at + REACH:at + REACH + CONTEXT].tobytes())
-                    for n in ("id", "of", "at"):
-                        out[f"first_{n}"].append(w["first"][n])
-            yield pa.RecordBatch.from_arrays([pa.array(out[n], pa.binary() if n in ("before", "after") else pa.int32() if n.endswith("at") else pa.int64()) for n in out], list(out))
-
-    by_doc = wanted.groupBy("id", "of").agg(F.collect_list(F.struct("key", "at", "first")).alias("wanted")) \
-        .select(F.col("id").alias("in_id"), F.col("of").alias("in_of"), "wanted")
-    found = docs.select("id", "of", "text").join(by_doc, same(F.col("id"), F.col("in_id")) & (F.col("of") == F.col("in_of")))
-    return found.select("id", "of", "text", "wanted").mapInArrow(
-        run, "key long, id long, of long, at int, before binary, after binary, first_id long, first_of long, first_at int")
-
-
-def _order(row: dict) -> tuple:
-    return (row["id"] is not None, row["id"] or 0, row["of"], row["at"])
-
-
-def _match(a: dict, b: dict) -> list[dict]:
-    """Spans of two neighbours that share their first 34 words."""
-    if a["key"] != b["key"] or (a["id"], a["of"]) == (b["id"], b["of"]):
-        return []
-    left, right = _common(a["before"], b["before"]), _common(a["after"], b["after"])
-    if left + REACH + right < WORDS:  # a passage of 50 words reaches as far from any of its minimisers
-        return []
-    later = a if _order(b) < _order(a) else b
-    return [{"id": x["id"], "of": x["of"], "start": x["at"] - left, "stop": x["at"] + REACH + right, "extra": x is later, "other": y["id"]}
-            for x, y in ((a, b), (b, a))]
-
-
-SPAN = "id long, of long, start int, stop int, extra boolean, other long"
-_FIELDS = ("key", "id", "of", "at", "before", "after")
-
+def windows_at(hashes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the windows of 50 words whose minimiser is at one of the places ``wanted``."""
+    if len(hashes) < WORDS:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    least = np.lib.stride_tricks.sliding_window_view(_rolling(hashes, GRAM), WINDOW)[:len(hashes) - WORDS + 1].argmin(axis=1)
+    starts = np.flatnonzero(np.isin(least + np.arange(len(least)), wanted))
+    return starts, _rolling(hashes, WORDS)[starts].view(np.int64)
 
-def _neighbours(contexts: DataFrame) -> DataFrame:
-    """Spans from neighbours in the sorted order; ``extra`` where an earlier document has the span too."""
-    kinds = dict(zip(("id", "of", "start", "stop", "extra", "other"), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64()), strict=True))
-    edge_kinds = {"edge": pa.int32(), "side": pa.int32(), "key": pa.int64(), "at": pa.int32(), "before": pa.binary(), "after": pa.binary()}
 
+def _windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``window, id, of, start`` of each window of 50 words around the wanted suffixes."""
     def run(batches: Iterator[pa.RecordBatch]):
-        def out(spans: list[dict], edges: list[dict]) -> pa.RecordBatch:
-            rows = spans + edges
-            return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], k) for n, k in (kinds | edge_kinds).items()], [*kinds, *edge_kinds])
-
-        part, last = TaskContext.get().partitionId(), None
         for batch in batches:
-            rows, spans, edges = batch.to_pylist(), [], []
-            for row in rows:
-                first = (row["first_id"], row["first_of"], row["first_at"])
-                if (row["id"], row["of"]) != first[:2]:  # its 34 words stand in an earlier document for certain
-                    head = dict(zip(("id", "of", "at"), first, strict=True)) | {"key": row["key"], "before": row["first_before"], "after": row["first_after"]}
-                    spans += _match(head, row)[1:] or [{"id": row["id"], "of": row["of"], "start": row["at"], "stop": row["at"] + REACH, "extra": True, "other": first[0]}]
-                if last is None:
-                    edges.append(row | {"edge": part - 1, "side": 1})
-                else:
-                    spans += _match(last, row)
-                last = row
-            yield out(spans, edges)
-        if last is not None:
-            yield out([], [last | {"edge": part, "side": 0}])
-
-    ordered = contexts.repartitionByRange("key", "after", "id", "of", "at").sortWithinPartitions("key", "after", "id", "of", "at")
-    found = keep(ordered.mapInArrow(run, SPAN + ", edge int, side int, key long, at int, before binary, after binary"), "spans")
-
-    def across(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [{n: (None if n == "id" and pd.isna(r[n]) else bytes(r[n]) if n in ("before", "after") else int(r[n])) for n in _FIELDS}
-                for r in pdf.sort_values("side").to_dict("records")]
-        spans = _match(*rows) if len(rows) == 2 else []
-        return pd.DataFrame(spans, columns=["id", "of", "start", "stop", "extra", "other"])
-
-    # Two rows for each boundary between tasks.
-    edges = found.where("edge is not null").groupBy("edge").applyInPandas(across, SPAN)
-    return found.where("edge is null").select("id", "of", "start", "stop", "extra", "other").unionByName(edges)
+            take, places, keys = [], [], []
+            for k, (t, w) in enumerate(zip(batch.column("text"), batch.column("wanted"), strict=True)):
+                starts, hashes = windows_at(word_hashes(t.as_py()), w.values.to_numpy())
+                take.append(np.full(len(starts), k))
+                places.append(starts)
+                keys.append(hashes)
+            if take:
+                index = pa.array(np.concatenate(take))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch.column("id").take(index), batch.column("of").take(index),
+                                                  pa.array(np.concatenate(places).astype(np.int32))], ["window", "id", "of", "start"])
+
+    by_doc = wanted.groupBy("id", "of").agg(F.collect_list("at").alias("wanted")).select(F.col("id").alias("in_id"), F.col("of").alias("in_of"), "wanted")
+    found = docs.select("id", "of", "text").join(by_doc, same(F.col("id"), F.col("in_id")) & (F.col("of") == F.col("in_of")))
+    return found.select("id", "of", "text", "wanted").mapInArrow(run, "window long, id long, of long, start int")
 
 
 def merge_spans(starts: list[int], stops: list[int]) -> list[tuple[int, int]]:
@@ -197,29 +130,23 @@ def merge_spans(starts: list[int], stops: list[int]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out if e - s >= WORDS]
 
 
-def _per_document(spans: DataFrame) -> DataFrame:
-    """``id, of, repeated, extra`` (spans of words) ``, others``: documents with a passage of 50 words or more that another has."""
+def _spans(starts: list[int]) -> list[dict]:
+    return [{"start": s, "stop": e} for s, e in merge_spans(starts, [s + WORDS for s in starts])]
+
+
+def _per_document(found: DataFrame) -> DataFrame:
+    """``id, of, repeated, extra`` (spans of words) ``, others`` from ``found(id, of, start, extra, other)``, a row for each shared window."""
     kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            ids, ofs, repeated, extra, others = [], [], [], [], []
-            for row in batch.to_pylist():
-                found = row["spans"]
-                whole = [x for x in found if x["stop"] - x["start"] >= WORDS]
-                all_of = merge_spans([x["start"] for x in whole], [x["stop"] for x in whole])
-                if not all_of:
-                    continue
-                late = [x for x in found if x["extra"] and any(s <= x["start"] and x["stop"] <= e for s, e in all_of)]
-                ids.append(row["id"])
-                ofs.append(row["of"])
-                repeated.append([{"start": s, "stop": e} for s, e in all_of])
-                extra.append([{"start": s, "stop": e} for s, e in merge_spans([x["start"] for x in late], [x["stop"] for x in late])])
-                others.append(sorted({x["other"] for x in whole if x["other"] is not None}))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ofs, pa.int64()), pa.array(repeated, kind), pa.array(extra, kind),
+            repeated, extra = ([_spans(x) for x in batch.column(c).to_pylist()] for c in ("starts", "late"))
+            others = [sorted(x) for x in batch.column("others").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("of"), pa.array(repeated, kind), pa.array(extra, kind),
                                               pa.array(others, pa.list_(pa.int64()))], ["id", "of", "repeated", "extra", "others"])
 
-    listed = spans.distinct().groupBy("id", "of").agg(F.collect_list(F.struct("start", "stop", "extra", "other")).alias("spans"))
+    listed = found.groupBy("id", "of").agg(F.collect_list("start").alias("starts"), F.collect_list(F.when(F.col("extra"), F.col("start"))).alias("late"),
+                                           F.collect_set("other").alias("others"))
     span = "array<struct<start: int, stop: int>>"
     return listed.mapInArrow(run, f"id long, of long, repeated {span}, extra {span}, others array<long>")
 
@@ -227,13 +154,14 @@ def _per_document(spans: DataFrame) -> DataFrame:
 def _passages(docs: DataFrame) -> DataFrame:
     suffixes = _suffixes(docs)
     shared = keep(suffixes.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low <> high").select("key"), "shared_suffixes")
-    some = keep(suffixes.join(shared, "key", "left_semi"), "suffixes")
-    first = keep(some.groupBy("key").agg(F.min(F.struct("id", "of", "at")).alias("first")), "first_suffixes")
-    wanted = some.join(first, "key")
-    contexts = keep(_contexts(docs, wanted), "contexts")
-    is_first = same(F.col("id"), F.col("first_id")) & (F.col("of") == F.col("first_of")) & (F.col("at") == F.col("first_at"))
-    heads = keep(contexts.where(is_first).select("key", F.col("before").alias("first_before"), F.col("after").alias("first_after")).dropDuplicates(["key"]), "first_contexts")
-    return keep(_per_document(_neighbours(contexts.join(heads, "key"))), "passages")
+    windows = keep(_windows(docs, suffixes.join(shared, "key", "left_semi")), "windows")
+    doc = F.struct("id", "of")
+    held = windows.groupBy("window").agg(F.min(doc).alias("low"), F.max(doc).alias("high")).where(~same(F.col("low"), F.col("high"))) \
+        .select("window", F.col("low.id").alias("low_id"), F.col("low.of").alias("low_of"), F.col("high.id").alias("high_id"))
+    held = keep(held, "shared_windows")
+    is_first = same(F.col("id"), F.col("low_id")) & (F.col("of") == F.col("low_of"))
+    found = windows.join(held, "window").select("id", "of", "start", (~is_first).alias("extra"), F.when(is_first, F.col("high_id")).otherwise(F.col("low_id")).alias("other"))
+    return keep(_per_document(found), "passages")
 
 
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -241,7 +169,7 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Words end at ASCII white space and count from 0; a span stops before ``stop``. ``extra_spans`` are those that an earlier
     document (by id, then hash of the text) has; ``other_ids`` names documents that share a span, not all that do. Passages
-    repeated in one document only do not count. Words at the ends of a span are compared by 16-bit hashes. Null and empty
+    repeated in one document only do not count. Words are compared by 64-bit hashes of 50 of them. Null and empty
     texts have no passages; rows equal in id and text are one document; a null id sorts first. An empty table gives no rows.
     """
     found = _passages(_rows(df, id_col, text_col))

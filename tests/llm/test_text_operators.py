@@ -144,6 +144,32 @@ def test_passages_of_odd_rows(spark):
     assert suffixes.repeated_passages(docs.where("false")).count() == 0
 
 
+def test_passages_with_a_common_end(spark):
+    """40 common words, which 60 documents have; in pairs also the 10 words before them. And a passage twice in the first document."""
+    rng = random.Random(16)
+
+    def some(n):
+        return [f"u{rng.randrange(10 ** 9)}" for _ in range(n)]
+
+    common, twice = some(40), some(55)
+    docs = []
+    for _ in range(30):
+        front = some(10)
+        docs += [some(30) + front + common + some(30) for _ in range(2)]
+    docs += [some(9) + twice + some(9) + twice, some(9) + twice + some(9)]
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    got = {r.doc_id: r for r in suffixes.repeated_passages(frame).collect()}
+
+    def spans(rows):
+        return [(x.start, x.stop) for x in rows]
+
+    for i in range(60):
+        assert spans(got[i].spans) == [(30, 80)] and got[i].other_ids == [i ^ 1]
+        assert spans(got[i].extra_spans) == ([(30, 80)] if i % 2 else [])
+    assert spans(got[60].spans) == [(9, 64), (73, 128)] and not got[60].extra_spans
+    assert spans(got[61].spans) == spans(got[61].extra_spans) == [(9, 64)] and got[61].other_ids == [60]
+
+
 def test_cut_passages():
     text = "a  b\nc d\n e"
     assert suffixes.cut_passages(text, [{"start": 1, "stop": 3}]) == "a  d\n e"
