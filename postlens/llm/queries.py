@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm import bpe, fingerprints, langid, licenses, lines, packing, simhash, suffixes, tokenfile, vectors
+from postlens.llm import bpe, fingerprints, langid, licenses, lines, packing, repair, secretscan, simhash, spelling, suffixes, tokenfile, vectors
 from postlens.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,6 +84,32 @@ def op10_language_id(spark, sf_dir):
     return langid.identify(docs, model, declared_col="lang", host_col="source", id_col="doc_id").withColumnRenamed("row", "doc_id")
 
 
+@query
+def op11_secret_scan(spark, sf_dir):
+    found = secretscan.secret_scan(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s.kind.isin("assign", "access", "hex"))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+
+    def of(kind):
+        return F.size(F.filter(base, lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+@query
+def op12_spelling_groups(spark, sf_dir):
+    words = spelling.damaged_words(_table(spark, sf_dir, "documents"), least_length=spelling.LEAST_LENGTH)
+    return spelling.spelling_groups(words)
+
+
+@query
+def op13_conversation_repair(spark, sf_dir):
+    found = repair.repair_conversations(repair.damaged(_table(spark, sf_dir, "conversations")))
+    return found.where("last").drop("piece", "last", "repaired")
+
+
 @query
 def language_id_pages(spark, sf_dir):
     pages = langid.page_evidence(_table(spark, sf_dir, "pages"))

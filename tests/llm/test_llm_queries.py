@@ -10,7 +10,7 @@ from postlens.llm.queries import ORACLE, QUERIES
 FOLDER = os.environ.get("POSTLENS_TEST_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables not present")
 NATIVE = {"op1_imatch", "op3_line_dedup"}
-PER_DOCUMENT = {"op1_imatch", "op3_line_dedup", "op4_bpe", "op5_token_file", "op6_license_scan", "op8_simhash", "op10_language_id"}
+PER_DOCUMENT = {"op1_imatch", "op3_line_dedup", "op4_bpe", "op5_token_file", "op6_license_scan", "op8_simhash", "op10_language_id", "op11_secret_scan"}
 
 
 @pytest.fixture(scope="module")
@@ -46,4 +46,4 @@ def test_whole_table(spark, name):
 
 def test_one_query_for_each_operator():
     numbers = [int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")]
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
