@@ -1,6 +1,8 @@
 """Lines, passages, languages, licences and fingerprints against brute force and on odd rows."""
 
 import random
+import re
+import time
 from collections import defaultdict
 from itertools import combinations
 
@@ -56,6 +58,41 @@ def test_lines(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+@pytest.mark.parametrize("wide", [128, 1])
+def test_lines_near_from_any_length(spark, monkeypatch, wide):
+    rng = random.Random(5)
+    monkeypatch.setattr(lines, "WIDE", wide)
+    texts = ["\n".join("".join(rng.choice("abé") for _ in range(rng.choice([1, 2, 3, 7, 8, 9, 17, 64, 65, 150]))) for _ in range(4)) for _ in range(60)]
+    longer = [t.split("\n")[0] for t in texts if len(t.split("\n")[0]) > 60]
+    texts += [x[:p] + c + x[q:] for x in longer for p in (0, 30, len(x) - 1) for c, q in (("z", p), ("z", p + 1), ("", p + 1))]
+    first = {}
+    for i, t in enumerate(texts):
+        for j, x in enumerate(t.split("\n")):
+            first.setdefault(x, (i, j))
+    gone = {max(first[a], first[b]) for a, b in combinations([x for x in first if x], 2) if within_one(a, b)}
+    want = {i: "\n".join(x for j, x in enumerate(t.split("\n")) if not x or (first[x] == (i, j) and (i, j) not in gone)) for i, t in enumerate(texts)}
+    got = {r.row.doc_id: r.row.text for r in lines.dedup_lines(frame(spark, texts), near_from=0).collect()}
+    assert len(gone) > 60 and got == want
+
+
+def test_long_documents_and_lines(spark):
+    many = "\n".join(f"line number {i} of this long document" for i in range(20_000))
+    rng = random.Random(6)
+    wide = "".join(rng.choice("abcdef ") for _ in range(1_000_000)).strip()
+    texts = [many, wide, wide[:500_000] + "!" + wide[500_000:], wide[:300] + "?" + wide[301:], "", many.split("\n")[77] + "\nnew line of the last document"]
+    got = {r.row.doc_id: (r.row.text, r.n_kept) for r in lines.dedup_lines(frame(spark, texts)).collect()}
+    assert got[1][0] == wide and got[2] == ("", 0) and got[3] == ("", 0) and got[5] == ("new line of the last document", 1)
+    kept, first = [], {}
+    for i in range(20_000):  # lines of one length that differ in one digit are near an earlier one
+        x = str(i)
+        if not any((len(x), p, x[:p] + x[p + 1:]) in first for p in range(len(x))) and not any(x[:p] + x[p + 1:] in first for p in range(len(x))):
+            kept.append(i)
+        first.setdefault(x, i)
+        for p in range(len(x)):
+            first.setdefault((len(x), p, x[:p] + x[p + 1:]), i)
+    assert got[0][0].split("\n") == [f"line number {i} of this long document" for i in kept]
+
+
 def test_lines_of_odd_rows(spark):
     docs = spark.createDataFrame([(None, "the same line here"), (None, "the same line here"), (1, "the same line here"), (1, "another line, longer"), (1, "the same line here")],
                                  "doc_id long, text string")
@@ -223,6 +260,45 @@ def test_license_expressions(text, postfix):
     assert licenses.parse_expression(text) == postfix
 
 
+@pytest.mark.parametrize("text, labels, expressions", [
+    ("<!-- SPDX-License-Identifier: MIT -->", "mit", ["MIT"]), ("SPDX-License-Identifier: MIT and then more words", "mit", ["MIT and then"]),
+    ("/* spdx-license-identifier: (MIT OR Apache-2.0) */ SPDX-License-Identifier:BSD-3-Clause", "apache,bsd,mit", ["( MIT OR Apache-2.0 )", "BSD-3-Clause"]),
+    ("SPDX-License-Identifier: (MIT or", "", []), ("SPDX-License-Identifier: MIT)\nor GPL-2.0", "mit", ["MIT"]),
+    ("SPDX-License-Identifier: GPL-2.0 with Classpath-exception-2.0, all files", "gpl", ["GPL-2.0 with Classpath-exception-2.0"]),
+])
+def test_license_tags_within_lines(spark, text, labels, expressions):
+    row = licenses.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (row.labels, row.expressions) == (labels, expressions)
+
+
+def test_licenses_against_brute_force(spark):
+    rng = random.Random(7)
+    bits = ["MIT", "mit", "License", "license", "Apache", "general", "GENERAL", "public", "é", "word", "9", ",", "-", "\n", "the"]
+    texts = ["".join(rng.choice(bits) + rng.choice([" ", " ", "  ", "-", "", "\n"]) for _ in range(rng.randint(0, 40))) for _ in range(600)] + [None, ""]
+    phrases = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
+    want = {}
+    for i, t in enumerate(texts):
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+        found = re.findall("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", low)
+        at = sorted((j, label) for p, label in phrases.items() for j in range(len(found)) if found[j:j + len(p.split())] == p.split())
+        want[i] = (len(found), len(at), at[0][0] if at else None, at[-1][0] if at else None, ",".join(sorted({x for _, x in at})))
+    got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in licenses.license_scan(frame(spark, texts)).collect()}
+    assert got == want and sum(v[1] for v in want.values()) > 100
+
+
+def test_license_scan_is_linear():
+    scan = licenses.Scanner().scan
+
+    def cost(n):
+        started = time.perf_counter()
+        scan("mit license " * n)
+        scan("SPDX-License-Identifier: MIT " * n)
+        return time.perf_counter() - started
+
+    cost(100)
+    assert cost(80_000) < 12 * max(cost(20_000), 0.02)
+
+
 def test_license_evaluation():
     def asks(x):
         return licenses.evaluate(licenses.parse_expression(x))
