@@ -27,41 +27,63 @@ IDENTIFIERS = (
     ("unlicense", "public-domain", 0), ("cc-", "cc", 1),
 )
 TAG = "spdx-license-identifier:"
-TOKEN = re.compile(r"[A-Za-z0-9.+:_-]+|[()]")
+TOKEN = re.compile(r"[ \t]*([A-Za-z0-9.+:_-]+|[()])")
+MARKS = ".+:_-"
+LINE_END = re.compile(r"[ \t\r]*(?:\n|\Z)")
 BINDS = {"or": 1, "and": 2, "with": 3}
 SEPARATORS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
 def parse_expression(text: str) -> list[str] | None:
-    """A licence expression in postfix order; null if it is malformed. ``with`` binds before ``and``, ``and`` before ``or``."""
-    out, waiting, operand = [], [], False
-    for token in TOKEN.findall(text):
-        low = token.lower()
+    """A whole licence expression in postfix order; null if it is malformed."""
+    found = expression_at(text, 0)
+    return found[0] if found and not text[found[1]:].strip() else None
+
+
+def expression_at(text: str, start: int) -> tuple[list[str], int] | None:
+    """The longest well-formed licence expression that begins at ``start``, in postfix order, and where it ends; null without one.
+
+    ``with`` binds before ``and``, ``and`` before ``or``. Tokens stand behind each other with nothing but spaces and tabs
+    between them; the first that cannot go on ends the expression. A line that breaks off behind ``and``, ``or``, ``with`` or
+    a bracket says nothing.
+    """
+    out, waiting, operand, depth = [], [], False, 0
+    best, end = None, start
+    while True:
+        token = TOKEN.match(text, end)
+        if not token:
+            if not operand and waiting and LINE_END.match(text, end):
+                return None
+            break
+        word, low = token[1], token[1].lower()
         if low in BINDS:
             if not operand:
-                return None
+                break
             while waiting and waiting[-1] != "(" and BINDS[waiting[-1]] >= BINDS[low]:
                 out.append(waiting.pop())
             waiting.append(low)
             operand = False
-        elif token == "(":
+        elif word == "(":
             if operand:
-                return None
-            waiting.append(token)
-        elif token == ")":
-            while waiting and waiting[-1] != "(":
+                break
+            waiting.append(word)
+            depth += 1
+        elif word == ")":
+            if not operand or not depth:
+                break
+            while waiting[-1] != "(":
                 out.append(waiting.pop())
-            if not waiting or not operand:
-                return None
             waiting.pop()
-        elif operand:
-            return None
+            depth -= 1
+        elif operand or not word.strip(MARKS):
+            break
         else:
-            out.append(token)
+            out.append(word)
             operand = True
-    if not operand or "(" in waiting:
-        return None
-    return out + waiting[::-1]
+        end = token.end()
+        if operand and not depth:
+            best = len(out), waiting[::-1], end
+    return best and (out[:best[0]] + best[1], best[2])
 
 
 def evaluate(postfix: list[str]) -> tuple[set[str], int | None]:
@@ -97,21 +119,24 @@ class Scanner:
         words = raw.translate(SEPARATORS).split()
         hay = f" {b' '.join(words).decode()} "
         base, labels, starts, hits, expressions, ask = set(), set(), [], 0, [], None
+        seen, upto = 0, 0  # words that begin before a place in ``hay``; hits come by their ends, so a start may lie a phrase back
         for end, (size, label, is_base) in self.notices.iter(hay):
             labels.add(label)
             hits += 1
             if is_base:
                 base.add(label)
-                starts.append(hay.count(" ", 0, end - size + 1))
+                at = end - size + 1
+                seen += hay.count(" ", upto, at) if at >= upto else -hay.count(" ", at, upto)
+                upto = at
+                starts.append(seen)
         low = raw.lower().decode()  # of A-Z only, so places are those of the text
         if "spdx" in low:
             for end, _ in self.tags.iter(low):
-                line = text[end + 1:].split("\n", 1)[0].strip()
-                postfix = parse_expression(line)
-                if postfix:
-                    named, need = evaluate(postfix)
+                parsed = expression_at(text, end + 1)
+                if parsed:
+                    named, need = evaluate(parsed[0])
                     labels |= named
-                    expressions.append(" ".join(TOKEN.findall(line)))
+                    expressions.append(" ".join(TOKEN.findall(text, end + 1, parsed[1])))
                     ask = need if ask is None else ask if need is None else max(ask, need)
         score = 1 - 0.5 ** (len(starts) * 2 + (hits - len(starts)) + 3 * len(expressions))
         return (len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)),
