@@ -13,7 +13,6 @@ import hashlib
 import json
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,31 +20,25 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlens.llm.memo import LONG_PIECE, slices, uneven
+from postlens.llm.memo import LONG_PIECE, PLAIN, Known, byte_letters, slices, uneven
 from postlens.llm.store import texts, worker_path
 
 SLICE_CHARS = 4_000_000
-REMEMBERED = 400_000
+#: Words and pieces of each of two generations.
+REMEMBERED = 500_000
 # The white space of the splitting pattern below, and that pattern.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+"
         rf"|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 
-def byte_letters() -> dict[str, int]:
-    """The letter that stands for each byte in a byte-level vocabulary file, reversed."""
-    shown = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-
-
 class PairIndexBpe:
     """Byte-level BPE from a vocabulary file (JSON) with ``vocab``, ``merges`` and ``added_tokens``."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        letters, vocab = byte_letters(), spec["model"]["vocab"]
+        letters, vocab = {c: b for b, c in enumerate(byte_letters())}, spec["model"]["vocab"]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         size = 1 + max([*vocab.values(), *self.added.values()])
         self.bytes_of = [b""] * size
@@ -53,6 +46,7 @@ class PairIndexBpe:
             self.bytes_of[i] = bytes(letters[c] for c in token)
         for token, i in self.added.items():
             self.bytes_of[i] = token.encode()
+        self.decimals = list(map(str, range(size)))
         self.byte_id = np.zeros(256, np.int64)
         for c, b in letters.items():
             self.byte_id[b] = vocab[c]
@@ -69,17 +63,16 @@ class PairIndexBpe:
                 self.byte_rank[of_id[a], of_id[b]] = r
         self.word = regex.compile(WORD)
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
-        self.words: dict[str, list[int]] = {}
-        self.pieces: dict[str, tuple[bytes, str]] = {}
+        self.known, self.older = Known({"": b""}), Known()
 
-    def merge(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word, all words in one index."""
+    def merge(self, words: list[str]) -> list[bytes]:
+        """Ids of each word as 32-bit bytes, all words in one index."""
         raw = [w.encode() for w in words]
         lengths = np.fromiter(map(len, raw), np.int64, len(raw))
         row = np.frombuffer(b"".join(raw), np.uint8)
         total = len(row)
         if not total:
-            return [[] for _ in words]
+            return [b"" for _ in words]
         ends = np.cumsum(lengths)
         ranks = np.full(total, -1, np.int64)
         ranks[:-1] = self.byte_rank[row[:-1], row[1:]]
@@ -124,9 +117,9 @@ class PairIndexBpe:
         ids = np.array(symbol[:-1], np.int64)
         left = ids >= 0
         upto = np.concatenate([[0], np.cumsum(left)])
-        ids = ids[left].tolist()
-        first = upto[ends - lengths].tolist()
-        last = upto[ends].tolist()
+        ids = ids[left].astype("<u4").tobytes()
+        first = (4 * upto[ends - lengths]).tolist()
+        last = (4 * upto[ends]).tolist()
         return [ids[i:j] for i, j in zip(first, last, strict=True)]
 
     def _split(self, piece: str) -> list[str | int]:
@@ -140,34 +133,53 @@ class PairIndexBpe:
             at = m.end()
         return out + self.word.findall(piece[at:])
 
-    def encode(self, slice_of: list[str]) -> list[tuple[bytes, str]]:
-        """For each text its ids as 32-bit bytes and as decimals joined by commas, with a comma at the end."""
-        cut = [[t] if uneven(t) else t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t in slice_of]
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        new = [p for p in set(chain.from_iterable(cut)) if p not in self.pieces]
-        split = [self._split(p) for p in new]
-        words = [w for w in set(chain.from_iterable(split)) if isinstance(w, str) and w not in self.words]
-        fresh = dict(zip(words, self.merge(words), strict=True))
-        once: dict[str, tuple[bytes, str]] = {}
-        for p, ws in zip(new, split, strict=True):
-            ids = list(chain.from_iterable([w] if isinstance(w, int) else fresh[w] if w in fresh else self.words[w] for w in ws))
-            once[p] = np.array(ids, "<u4").tobytes(), "".join([f"{i}," for i in ids])
-        self.words |= {w: ids for w, ids in fresh.items() if len(w) <= LONG_PIECE}
-        known = self.pieces
-        short = {p: x for p, x in once.items() if len(p) <= LONG_PIECE}
-        known |= short
-        at = known.__getitem__ if len(short) == len(once) else (lambda p: once[p] if p in once else known[p])
-        out = []
-        for ps in cut:
-            found = list(map(at, ps))
-            out.append((b"".join([x[0] for x in found]), "".join([x[1] for x in found])))
-        return out
-
-    def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces that the newer generation does not know: it knows them then, but for long ones, which are given back."""
+        known, older, once = self.known, self.older, {}
+        split: list[tuple[str, list[str | int]]] = []
+        words = set()
+        for p in set(pieces):
+            ids = older.get(p)
+            if ids is not None:  # pieces in use move on to the new generation
+                known[p] = ids
+                continue
+            plain = PLAIN.fullmatch(p)
+            parts = [x for x in plain.groups() if x] if plain else self._split(p)
+            split.append((p, parts))
+            words.update(w for w in parts if isinstance(w, str) and w not in known)
+        new = []
+        for w in words:
+            ids = older.get(w)
+            if ids is not None:
+                known[w] = ids
+            else:
+                new.append(w)
+        for w, ids in zip(new, self.merge(new), strict=True):
+            (known if len(w) <= LONG_PIECE else once)[w] = ids
+        for p, parts in split:
+            if len(parts) == 1 and parts[0] == p:
+                continue
+            ids = b"".join([w.to_bytes(4, "little") if isinstance(w, int) else once[w] if w in once else known[w] for w in parts])
+            (known if len(p) <= LONG_PIECE else once)[p] = ids
+        return once
+
+    def encode(self, slice_of: list[str]) -> list[bytes]:
+        """For each text its ids as 32-bit bytes."""
+        if len(self.known) > REMEMBERED:
+            self.older, self.known = self.known, Known({"": b""})
+        known, rows, missed = self.known, [], []
+        missing = known.missing = []
+        for t in slice_of:
+            before = len(missing)
+            pieces = [t] if uneven(t) else t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+            rows.append(list(map(known.__getitem__, pieces)))
+            missed.append(len(missing) - before)
+        once = self._learn(missing)
+        late = iter([once[p] if p in once else known[p] for p in missing])
+        return [b"".join([next(late) if ids is None else ids for ids in row] if n else row) for row, n in zip(rows, missed, strict=True)]
+
+    def decode(self, ids: list[int]) -> str:
+        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
 _MODELS: dict[str, PairIndexBpe] = {}
@@ -194,7 +206,7 @@ def bpe_encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def run(batches):
         bpe = model(path)
         for ids, some in _per_slice(batches):
-            rows = [np.frombuffer(b, "<u4").astype(np.int32) for b, _ in bpe.encode(some)]
+            rows = [np.frombuffer(b, "<u4").astype(np.int32) for b in bpe.encode(some)]
             ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
             flat = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32))
             yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(ends), flat)], ["doc_id", "ids"])
@@ -208,7 +220,7 @@ def bpe_decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     def run(batches):
         bpe = model(path)
         for batch in batches:
-            rows = [bpe.decode(np.array(x or [], np.int64)) for x in batch.column(1).to_pylist()]
+            rows = [bpe.decode(x or []) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.string())], ["doc_id", "text"])
 
     worker_path(df.sparkSession)
@@ -222,10 +234,10 @@ def bpe_digest(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         bpe = model(path)
         for ids, some in _per_slice(batches):
             out = [[], [], []]
-            for raw, decimals in bpe.encode(some):
-                row = np.frombuffer(raw, "<u4")
+            for raw in bpe.encode(some):
+                row = np.frombuffer(raw, "<u4").tolist()
                 out[0].append(len(row))
-                out[1].append(hashlib.sha256(decimals[:-1].encode()).hexdigest())
+                out[1].append(hashlib.sha256(",".join(map(bpe.decimals.__getitem__, row)).encode()).hexdigest())
                 out[2].append(hashlib.sha256(bpe.decode(row).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([ids, pa.array(out[0], pa.int64()), *(pa.array(x, pa.string()) for x in out[1:])],
                                              ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -10,15 +10,14 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from itertools import chain
 
 #: Pieces of each of two generations.
 REMEMBERED = 700_000
 LONG_PIECE = 64
-#: Marks that, behind a letter and before white space, are a token or more of their own.
-TAIL = ".,;:!?"
-#: Such letters: Latin ones that stay one letter when a file composes or lower-cases them.
-BEFORE = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]")
+#: Latin letters that stay one letter when a file composes or lower-cases them.
+LETTER = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]"
+#: A word of such letters, and marks behind it that are split from it. An apostrophe is none, as it may begin an ending.
+PLAIN = re.compile(f"( ?{LETTER}+)([.,;:!?%#*()+=/\"-]*)")
 #: White space other than single spaces and line ends, or two in a row: such a text is not cut for a byte-level file.
 UNEVEN = re.compile("[\t\x0b-\x0d\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|[ \n][ \n]")
 
@@ -33,8 +32,22 @@ def uneven(text: str) -> bool:
     return "\0" in text or UNEVEN.search(text) is not None
 
 
+def byte_letters() -> str:
+    """The letter that stands for each byte in a byte-level vocabulary file, by byte."""
+    shown = {*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = iter(range(256, 512))
+    return "".join(chr(b if b in shown else next(hidden)) for b in range(256))
+
+
+BYTE_LETTERS = dict(enumerate(byte_letters()))
+
+
 class PieceEncoder:
-    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes."""
+    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes.
+
+    A piece that is one plain word needs no normalising or splitting, so it goes to the file's model at once; whether that
+    is so for a file is tried out on each letter when it is loaded.
+    """
 
     def __init__(self, path: str, remembered: int | None = None):
         self.remembered = remembered or REMEMBERED
@@ -47,8 +60,14 @@ class PieceEncoder:
         # A file that drops white space gives a space no id; one that keeps it ties it to the word behind it.
         self.drops_space = not self.tokenizer.encode("a b", add_special_tokens=False).tokens[1].startswith("\u0120") \
             and not self.tokenizer.encode(" ", add_special_tokens=False).ids
-        self.seen: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
+        self.lowers = self._whole(["A"]) == self._whole(["a"])
+        letters = [c for c in map(chr, range(0x250)) if re.fullmatch(LETTER, c)]
+        probes = [w for c in letters for w in (c, f"th{c}er", *([] if self.drops_space else [f" {c}", f" wo{c}"]))]
+        self.plain = [self._word(w) for w in probes] == self._whole(probes)
+        marked = [f"wo{c}.{m}" for c in letters[::40] for m in ("", ",", '")', "!?", "###", "-(")]
+        self.marks = self.plain and [a + b for a, b in zip(self._whole([w[:3] for w in marked]), self._whole([w[3:] for w in marked]), strict=True)] \
+            == self._whole(marked)
+        self.seen, self.older = Known({"": b""}), Known()
 
     def _pieces(self, text: str) -> list[str]:
         if self.drops_space:
@@ -57,39 +76,74 @@ class PieceEncoder:
             return [text]
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
-    def _ids(self, pieces: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return {p: array("I", e.ids).tobytes() for p, e in zip(pieces, found, strict=True)}
+    def _whole(self, pieces: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _word(self, word: str) -> bytes:
+        if self.lowers:
+            word = word.lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(BYTE_LETTERS)
+        elif word[0] == " ":
+            word = BYTE_LETTERS[32] + word[1:]
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
+
+    def _remember(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces that the newer generation does not know: it knows them then, but for long ones, which are given back."""
+        seen, older, once = self.seen, self.older, {}
+        words, marked, others = [], [], set()
+        for p in set(pieces):
+            known = older.get(p)
+            if known is not None:  # pieces in use move on to the new generation
+                seen[p] = known
+                continue
+            split = PLAIN.fullmatch(p) if self.plain else None
+            if split and not split[2]:
+                words.append(p)
+            elif split and self.marks:
+                marked.append(split)
+                if split[1] not in seen:
+                    words.append(split[1])
+                if split[2] not in seen:
+                    others.add(split[2])
+            else:
+                others.add(p)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [self._pieces(t) for t in texts]
-        if len(self.seen) > self.remembered:  # pieces in use move on to the new generation
-            self.older, self.seen = self.seen, {"": b""}
-        once: dict[str, bytes] = {}
-        new = self._unseen(set(chain.from_iterable(pieces)).difference(self.seen))
-        tailed = [p for p in new if p[-1] in TAIL and BEFORE.match(p[-2:-1])]
-        parts = self._unseen({q for p in tailed for q in (p[:-1], p[-1])}.difference(self.seen))
-        plain = [*set(new).difference(tailed).union(parts)]
-        for start in range(0, len(plain), 4096):
-            for p, ids in self._ids(plain[start:start + 4096]).items():
-                (self.seen if len(p) <= LONG_PIECE else once)[p] = ids
-        seen = self.seen
-        for p in tailed:
-            ids = (once[p[:-1]] if p[:-1] in once else seen[p[:-1]]) + seen[p[-1]]
+        def note(p: str, ids: bytes) -> None:
             (seen if len(p) <= LONG_PIECE else once)[p] = ids
-        if not once:
-            return [b"".join(map(seen.__getitem__, ps)) for ps in pieces]
-        return [b"".join([once[p] if p in once else seen[p] for p in ps]) for ps in pieces]
-
-    def _unseen(self, pieces: set[str]) -> list[str]:
-        """Those that the older generation does not know either; what it knows moves on."""
-        new = []
-        for p in pieces:
-            if p in self.older:
-                self.seen[p] = self.older[p]
-            else:
-                new.append(p)
-        return new
+
+        for p in words:
+            if p not in seen:
+                note(p, older[p] if p in older else self._word(p))
+        rest = [*others]
+        for start in range(0, len(rest), 4096):
+            some = rest[start:start + 4096]
+            for p, ids in zip(some, self._whole(some), strict=True):
+                note(p, ids)
+        for split in marked:
+            word, marks = split.groups()
+            note(split[0], (once[word] if word in once else seen[word]) + (once[marks] if marks in once else seen[marks]))
+        return once
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.seen) > self.remembered:
+            self.older, self.seen = self.seen, Known({"": b""})
+        seen, rows, missed = self.seen, [], []
+        missing = seen.missing = []
+        for t in texts:
+            before = len(missing)
+            rows.append(list(map(seen.__getitem__, self._pieces(t))))
+            missed.append(len(missing) - before)
+        once = self._remember(missing)
+        late = iter([once[p] if p in once else seen[p] for p in missing])
+        return [b"".join([next(late) if ids is None else ids for ids in row] if n else row) for row, n in zip(rows, missed, strict=True)]
+
+
+class Known(dict):
+    """Ids by piece; a piece that is not known gives null and is noted."""
+
+    def __missing__(self, piece: str) -> None:
+        self.missing.append(piece)
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -102,6 +156,11 @@ def encoder(path: str, remembered: int | None = None) -> PieceEncoder:
     return _ENCODERS[path]
 
 
+def release() -> None:
+    """Let a worker process that goes on to other work forget its pieces."""
+    _ENCODERS.clear()
+
+
 def slices(lengths: list[int], most: int):
     """Index ranges whose lengths add up to about ``most``."""
     start = total = 0

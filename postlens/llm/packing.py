@@ -22,8 +22,8 @@ from postlens.llm.memo import encoder, slices
 from postlens.llm.store import keep, texts
 
 SLICE_CHARS = 4_000_000
-#: Pieces of each of two generations; few, as a pipeline's other stages run in the same worker processes.
-REMEMBERED = 200_000
+#: Pieces of each of two generations; fewer than elsewhere, as a pipeline has other stages in the same worker processes.
+REMEMBERED = 350_000
 
 
 def pack_histogram(histogram: dict[int, int], size: int) -> list[tuple[list[int], int]]:
