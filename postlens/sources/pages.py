@@ -7,7 +7,7 @@ one ``coalesce`` in rule order, so a page is read once and stays in its row.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -30,6 +30,9 @@ class ExtractionRule:
     group: int = 1
     source: str = "html"
 
+    #: Markup, in lower case, that a page must hold for the pattern to match; none means any page.
+    marker: str | None = None
+
     def column(self) -> Column:
         return F.regexp_extract(F.col(self.source), self.pattern, self.group)
 
@@ -57,12 +60,49 @@ def _inside(tag: Column, rest: Column) -> Column:
     return F.array_join(taken, "")
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` reads it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _nested(html: Column, opening: str, tag: str) -> Column:
+    """Markup inside each element of one tag with this opening, from an index of the tag's places.
+
+    The markup is cut once at all tags of that name. ``depth`` is how many are open behind each, so an element ends at the first
+    later tag that leaves one fewer than its own; without one it takes all that follows.
+    """
+    same = F.lit(rf"(?i)</?{tag}\b[^>]*>")
+    index = F.struct(F.regexp_extract_all(html, same, F.lit(0)).alias("tags"), F.split(html, same, -1).alias("pieces"))
+
+    def with_depth(x: Column) -> Column:
+        step = F.transform(x["tags"], lambda t: F.when(t.startswith("</"), -1).when(t.endswith("/>"), 0).otherwise(1))
+        none = F.array().cast("array<int>")
+        depth = F.reduce(step, none, lambda d, s: F.concat(d, F.array(F.coalesce(F.get(d, F.size(d) - 1), F.lit(0)) + s)))
+        return F.struct(x["tags"].alias("tags"), x["pieces"].alias("pieces"), depth.alias("depth"))
+
+    def inside(x: Column) -> Column:
+        openings = F.filter(F.transform(x["tags"], lambda t, i: F.when(t.rlike(f"(?is)^{opening}$"), i)), lambda i: i.isNotNull())
+
+        def markup(i: Column) -> Column:
+            ends = F.array_position(F.slice(x["depth"], i + 2, F.size(x["depth"])), x["depth"][i] - 1).cast("int")
+            between = F.when(ends > 0, ends - 1).otherwise(F.size(x["tags"]) - i - 1)
+            return F.array_join(F.zip_with(F.slice(x["pieces"], i + 2, between + 1), F.slice(x["tags"], i + 2, between),
+                                           lambda piece, t: F.concat(piece, F.coalesce(t, F.lit("")))), "")
+
+        return F.transform(openings, markup)
+
+    return _bound(index, lambda x: _bound(with_depth(x), inside))
+
+
 def _elements(html: Column, opening: str, nested: bool = False) -> Column:
     """Markup inside each element with this opening tag, in page order.
 
     The page is cut at the opening tags. Where such elements hold each other (``nested``),
     each is looked for in all that follows it; else only up to the next one.
     """
+    tag = re.match(r"<\((\w+)\)\\b", opening)
+    if nested and tag:
+        return _nested(html, opening, tag[1])
     pattern = F.lit(f"(?is){opening}")
     names, opened, pieces = (F.regexp_extract_all(html, pattern, F.lit(1)), F.regexp_extract_all(html, pattern, F.lit(0)), F.split(html, pattern, -1))
     behind = F.slice(pieces, F.lit(2), F.size(names))
@@ -79,15 +119,21 @@ class ElementRule:
     field: str
     priority: int
     opening: str
+    marker: str | None = None
 
     def column(self) -> Column:
         rest = F.regexp_extract(F.col("html"), f"(?is){self.opening}(.*)$", 2)
         return _inside(F.regexp_extract(F.col("html"), f"(?is){self.opening}", 1), rest)
 
 
+def _marker(attribute: str, value: str, contains: bool) -> str:
+    """What a page must hold, in lower case, for a rule on this attribute to match."""
+    return value.lower() if contains else f'{attribute}="{value}"'.lower()
+
+
 def element_text(field: str, attribute: str, value: str, contains: bool = False, tag: str | None = None) -> ElementRule:
     """Text inside the first element (of a tag) whose attribute equals (or contains) the value."""
-    return ElementRule(field, 0, _opening(attribute, value, contains, tag))
+    return ElementRule(field, 0, _opening(attribute, value, contains, tag), _marker(attribute, value, contains))
 
 
 def element_attribute(field: str, attribute: str, value: str, wanted: str,
@@ -95,12 +141,13 @@ def element_attribute(field: str, attribute: str, value: str, wanted: str,
     """Another attribute of the first element (of a tag) whose attribute equals (or contains) the value."""
     inner = f'[^"]*{re.escape(value)}[^"]*' if contains else re.escape(value)
     pattern = rf'(?is)<{tag or chr(92) + "w+"}\b(?=[^>]*\b{attribute}="{inner}")[^>]*?\b{wanted}="([^"]*)"'
-    return ExtractionRule(field, 0, pattern, 1)
+    return ExtractionRule(field, 0, pattern, 1, marker=_marker(attribute, value, contains))
 
 
 def sibling_text(field: str, tag: str, attribute: str, value: str, sibling: str) -> ExtractionRule:
     """Text inside the element of one tag that stands right behind one with this attribute."""
-    return ExtractionRule(field, 0, rf'(?is)<{tag}\b(?=[^>]*\b{attribute}="{re.escape(value)}")[^>]*>(?:(?!</{tag}).)*</{tag}\s*>\s*<{sibling}\b[^>]*>(.*?)</{sibling}\s*>', 1)
+    return ExtractionRule(field, 0, rf'(?is)<{tag}\b(?=[^>]*\b{attribute}="{re.escape(value)}")[^>]*>(?:(?!</{tag}).)*</{tag}\s*>\s*<{sibling}\b[^>]*>(.*?)</{sibling}\s*>', 1,
+                          marker=_marker(attribute, value, False))
 
 
 Rule = ExtractionRule | ElementRule
@@ -194,13 +241,24 @@ def extract_comments(rule: CommentRule) -> Column:
     return F.slice(found, 1, rule.limit) if rule.limit else found
 
 
-def _candidates(rules: Sequence[Rule], field: str) -> list[Column]:
+def _first(rules: Sequence[Rule], field: str, read: Callable[[Column], Column]) -> Column:
+    """The first value that is not blank, by the field's rules in their order.
+
+    A rule's pattern runs over a page only if the page holds the rule's marker, which a plain search tells.
+    """
     chosen = sorted((r for r in rules if r.field == field), key=lambda r: r.priority)
-    return [inner_text(r.column()) for r in chosen]
+
+    def values(low: Column) -> Column:
+        return first_non_blank([read(inner_text(r.column() if r.marker is None else F.when(low.contains(r.marker), r.column()).otherwise(F.lit(""))))
+                                for r in chosen])
+
+    if any(r.marker is not None for r in chosen):
+        return _bound(F.lower(F.col("html")), values)
+    return values(F.lit(""))
 
 
 def extract_caption(rules: Sequence[Rule]) -> Column:
-    return first_non_blank(_candidates(rules, "caption"))
+    return _first(rules, "caption", lambda text: text)
 
 
 def with_metrics(pages: DataFrame, rules: Sequence[Rule],
@@ -211,7 +269,7 @@ def with_metrics(pages: DataFrame, rules: Sequence[Rule],
     position: first likes, then comments, then saves.
     """
     named = {
-        f"raw_{m}": first_non_blank([metric_text(c, compat) for c in _candidates(rules, m)])
+        f"raw_{m}": _first(rules, m, lambda text: metric_text(text, compat))
         for m in METRICS
     }
     bold = F.regexp_extract_all(

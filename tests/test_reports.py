@@ -188,3 +188,36 @@ def test_quantile_of_odd_values(spark):
         assert A.exact_quantile(spark.createDataFrame([(v,) for v in values], "v double"), "v", q).first()[0] == want
     assert A.exact_quantile(spark.createDataFrame([(None,)], "v double"), "v").first()[0] is None
     assert A.approx_quantile(spark.range(1, 101), "id", 0.75).first()[0] == pytest.approx(75, abs=1)
+
+
+def test_elements_by_index_are_those_by_search(spark):
+    """Nested, unclosed, self-closing and stray tags: the index finds what a search behind each opening tag finds."""
+    import random
+
+    from postlens.sources import pages as P
+
+    rng = random.Random(9)
+    bits = ["<span>", "<SPAN class=x>", "</span>", "</Span >", "<span/>", "text", " ", "<b>", "</b>", "<spanner>", "é", "\n", "<p><span a='>'>"]
+    rows = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(400)] + [None, "", "<span>" * 3000]
+    frame = spark.createDataFrame(list(enumerate(rows[:-1])), "i int, html string")
+    opening = r"<(span)\b[^>]*>"
+    by_search = P._elements(F.col("html"), r"(?:)" + opening, nested=True)
+    both = frame.select("i", P._elements(F.col("html"), opening, nested=True).alias("a"), by_search.alias("b")).collect()
+    assert all((r.a or []) == [x for x in r.b or [] if x is not None] for r in both) and sum(len(r.a or []) for r in both) > 500
+    deep = spark.createDataFrame([(rows[-1] + "x",)], "html string").select(P._elements(F.col("html"), opening, nested=True).alias("a")).first()
+    assert len(deep.a) == 3000 and deep.a[-1] == "x"
+
+
+def test_markers_skip_no_page(spark):
+    """A rule with a marker finds what its pattern finds on its own, whatever the case."""
+    from dataclasses import replace
+
+    from postlens.sources import pages as P
+
+    rows = ['<b DATA-E2E="LIKE-count">5</b>', '<i title="All Likes">7</i>', '<i x="1" aria-label="9 likes" title="like">3</i>', "<p>like</p>",
+            '<svg fill="#FF0050"></svg><strong>8</strong>', "", None]
+    frame = spark.createDataFrame([(x,) for x in rows], "html string")
+    rules = P.default_metric_rules()
+    got = P.with_metrics(frame, rules).select("raw_likes").collect()
+    assert got == P.with_metrics(frame, [replace(r, marker=None) for r in rules]).select("raw_likes").collect()
+    assert [r.raw_likes for r in got][:2] == ["5", "7"]
