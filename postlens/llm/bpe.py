@@ -163,7 +163,11 @@ class PairIndexBpe:
             (known if len(p) <= LONG_PIECE else once)[p] = ids
         return once
 
-    def encode(self, slice_of: list[str]) -> list[bytes]:
+    def encode(self, slice_of: list[str]) -> list[tuple[bytes, str]]:
+        """For each text its ids as 32-bit bytes and as decimals, each with a comma behind it."""
+        return [(raw, "".join(f"{i}," for i in np.frombuffer(raw, "<u4").tolist())) for raw in self.encode_ids(slice_of)]
+
+    def encode_ids(self, slice_of: list[str]) -> list[bytes]:
         """For each text its ids as 32-bit bytes."""
         if len(self.known) > REMEMBERED:
             self.older, self.known = self.known, Known({"": b""})
@@ -206,7 +210,7 @@ def bpe_encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def run(batches):
         bpe = model(path)
         for ids, some in _per_slice(batches):
-            rows = [np.frombuffer(b, "<u4").astype(np.int32) for b in bpe.encode(some)]
+            rows = [np.frombuffer(b, "<u4").astype(np.int32) for b in bpe.encode_ids(some)]
             ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
             flat = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32))
             yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(ends), flat)], ["doc_id", "ids"])
@@ -234,7 +238,7 @@ def bpe_digest(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         bpe = model(path)
         for ids, some in _per_slice(batches):
             out = [[], [], []]
-            for raw in bpe.encode(some):
+            for raw in bpe.encode_ids(some):
                 row = np.frombuffer(raw, "<u4").tolist()
                 out[0].append(len(row))
                 out[1].append(hashlib.sha256(",".join(map(bpe.decimals.__getitem__, row)).encode()).hexdigest())

@@ -21,7 +21,7 @@ from postlens.llm.memo import encoder, slices
 from postlens.llm.store import texts
 
 BLOCK_IDS = 1 << 16
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 500_000
 # Ids in a word, and their bits, by selector.
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1, 1])
 WIDTHS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 30, 30, 60])
