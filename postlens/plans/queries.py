@@ -24,7 +24,7 @@ from postlens.operators import comments as C
 from postlens.operators import crosstab as X
 from postlens.operators import filters as P
 from postlens.operators import topics as M
-from postlens.operators.dedup import ingest_summary, new_posts_only, sample_new_posts, seen_after_batch
+from postlens.operators.dedup import estimated_distinct, id_sketches, ingest_summary, new_posts_only, sample_new_posts, seen_after_batch
 from postlens.operators.ranking import head_rows, with_row_index
 from postlens.operators.scoring import BatchScorer, ClassifierScorer, LexiconTableScorer, score_sentiment, score_text
 from postlens.plans import sql as S
@@ -34,7 +34,7 @@ from postlens.schema import POST_COLUMNS
 from postlens.session import work_path
 from postlens.sources import posts as src
 from postlens.sources.pages import CommentRule, default_caption_rules, default_metric_rules, extract_caption, extract_comments, inner_text, with_metrics
-from postlens.streaming.ingest import read_store, run_counters, start_ingest
+from postlens.streaming.ingest import drop_repeats_within, id_buckets, index_store, observed_counters, read_counts, read_store, run_counters, start_ingest, stored_ids, write_batch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -896,6 +896,76 @@ def run_counters_(spark, folder):
     return run_counters(spark, _streamed_store(spark, folder), "first")
 
 
+@query(f"""WITH i AS ({_INGEST_CHECK}) SELECT count(*) AS taken_in_run, count(*) AS total_rows,
+  count(DISTINCT video_id) AS distinct_posts FROM i""")
+def observed_counters_(spark, folder):
+    """The same counters, observed while the batches were written; no post is read."""
+    return observed_counters(spark, _streamed_store(spark, folder), "first")
+
+
+@query(f"""WITH i AS ({_INGEST_CHECK}) SELECT count(DISTINCT video_id) AS distinct_posts, true AS within_bounds FROM i""")
+def estimated_posts(spark, folder):
+    """Distinct ids of the store by the united sketches of its batches, held against the exact count."""
+    store = _streamed_store(spark, folder)
+    exact = ingest_summary(read_store(spark, store))
+    bounds = estimated_distinct(read_counts(spark, store)).first()
+    return exact.select("distinct_posts", F.col("distinct_posts").between(bounds["low"], bounds["high"]).alias("within_bounds"))
+
+
+@query("""WITH d AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)
+SELECT count(*) AS users, true AS all_within_bounds, true AS total_within_bounds FROM d WHERE user_id IS NOT NULL""")
+def estimated_events(spark, folder):
+    """Distinct events by user and over all users, from one sketch for each user."""
+    events = T.table(spark, folder, "events").where("user_id is not null").withColumn("video_id", F.col("event_id").cast("string"))
+    sketches = id_sketches(events, "user_id")
+    one = sketches.select("user_id", F.hll_sketch_estimate("sketch").alias("estimate"))
+    exact = events.groupBy("user_id").agg(F.count_distinct("event_id").alias("n"))
+    bounds = estimated_distinct(sketches).first()
+    near = F.abs(F.col("estimate") - F.col("n")) <= F.greatest(F.lit(2), 0.1 * F.col("n"))
+    total = F.sum("n").between(bounds["low"], bounds["high"])  # an event has one user
+    return one.join(exact, "user_id").agg(F.count(F.lit(1)).alias("users"), F.every(near).alias("all_within_bounds"), total.alias("total_within_bounds"))
+
+
+@query("""WITH p AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS video_id FROM documents),
+s AS (SELECT video_id FROM p WHERE CAST(video_id AS BIGINT) % 3 <> 0)
+SELECT (SELECT count(*) FROM p) AS stored, true AS buckets_grew, true AS split_again, (SELECT count(*) FROM s) AS first_batch""")
+def growing_id_store(spark, folder):
+    """Documents stored in two batches, the second with all of them again; the id table splits its buckets as it grows."""
+    store = work_path(spark, "growing-store")
+    posts = src.to_post_schema(T.table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("video_id"), F.lit("a").alias("caption")))
+    size = posts.count()
+    some = F.col("video_id").cast("bigint") % 3 != 0
+    write_batch(posts.where(some), store, "r", 0, ids_in_bucket=max(1, size // 40))
+    before = id_buckets(spark, store)
+    write_batch(posts, store, "r", 1, ids_in_bucket=max(1, size // 80))
+    after = id_buckets(spark, store)
+    ids = stored_ids(spark, store, range(after))
+    return ids.agg(F.count_distinct("video_id").alias("stored"), F.count_if(F.col("ingest_batch") == 0).alias("first_batch")).select(
+        "stored", F.lit(before > 16).alias("buckets_grew"), F.lit(after > before).alias("split_again"), "first_batch")
+
+
+@query("""WITH b AS (SELECT min(ts) AS t0, max(ts) AS t1 FROM events WHERE user_id IS NOT NULL),
+e AS (SELECT user_id, ts, epoch_us(ts) - epoch_us(t0) AS us, epoch_us(t1) - epoch_us(t0) AS span FROM events, b WHERE user_id IS NOT NULL),
+q AS (SELECT user_id, ts, CASE WHEN us * 4 < span THEN 0 WHEN us * 4 >= span * 3 THEN 1 END AS part FROM e),
+f AS (SELECT user_id, part, min(ts) AS ts FROM q WHERE part IS NOT NULL GROUP BY user_id, part)
+SELECT CAST(user_id AS VARCHAR) AS video_id, ts FROM f WHERE part = 0
+UNION ALL SELECT CAST(user_id AS VARCHAR), ts FROM f WHERE part = 1 AND user_id NOT IN (SELECT user_id FROM f WHERE part = 0)""")
+def first_sight_within(spark, folder):
+    """First sight of each user by event time with bounded state: the first quarter of the time, the last, then rows that come too late."""
+    events = T.table(spark, folder, "events").where("user_id is not null").select(F.col("user_id").cast("string").alias("video_id"), F.col("ts").cast("timestamp").alias("ts"))
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    at, span = F.unix_micros("ts") - F.unix_micros(F.lit(low)), F.unix_micros(F.lit(high)) - F.unix_micros(F.lit(low))
+    part = F.when(at * 4 < span, 0).when(at * 4 >= span * 3, 1).when(at * 4 < span * 2, 2)
+    rows = events.groupBy("video_id", part.alias("part")).agg(F.min("ts").alias("ts")).where("part is not null")
+    arrivals, out = work_path(spark, "arrivals"), work_path(spark, "first-sight")
+    for i in range(3):  # one file for each, in this order
+        rows.where(F.col("part") == i).select("video_id", "ts").coalesce(1).write.mode("append").parquet(arrivals)
+    stream = spark.readStream.schema("video_id string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(arrivals)
+    first = drop_repeats_within(stream, "ts", f"{int((high - low).total_seconds() / 2)} seconds")
+    first.writeStream.format("parquet").option("path", out).option("checkpointLocation", work_path(spark, "first-sight-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("video_id string, ts timestamp").parquet(out).select("video_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
 @query(_INGEST_CHECK)
 def batch_ingest(spark, folder):
     """The same ingest as one batch job."""

@@ -285,3 +285,65 @@ def test_batch_reads_its_id_buckets_only(spark, tmp_path):
     before = stored_ids(spark, store, range(16)).count()
     index_store(spark, store)
     assert stored_ids(spark, store, range(16)).count() == before == 201
+
+
+def _batches(spark, store, limit):
+    from postlens.streaming import ingest as I
+
+    counts = []
+    for n in range(3):
+        I.write_batch(make_posts(spark, [f"id{i}" for i in range(n * 75, n * 75 + 60 + 75 * (n < 2))]), store, "r", n, ids_in_bucket=limit)
+        counts.append(I.id_buckets(spark, store))
+    return counts
+
+
+def test_id_table_grows_by_splitting(spark, tmp_path):
+    from postlens.streaming import ingest as I
+
+    store = str(tmp_path / "store")
+    assert I.id_buckets(spark, store) == 0
+    counts = _batches(spark, store, 3)
+    assert counts == [64, 128, 128]  # 135, 210 and 210 ids
+    assert sorted(r.video_id for r in read_store(spark, store).collect()) == sorted(f"id{i}" for i in range(210))
+    ids = I.stored_ids(spark, store, range(128))
+    assert ids.count() == 210 and {p.name for p in (tmp_path / "store_ids").iterdir() if p.is_dir()} == {"buckets=128"}
+    # A batch opens the files of its own buckets and no others.
+    bucket = spark.createDataFrame([("id7",)], "video_id string").select(I._bucket(128)).first()[0]
+    files = I.stored_ids(spark, store, [bucket]).inputFiles()
+    assert 0 < len(files) < len(ids.inputFiles()) and all(f"/id_bucket={bucket}/" in f for f in files)
+
+
+def test_broken_off_split_leaves_the_old_table(spark, tmp_path):
+    from postlens.streaming import ingest as I
+
+    store = str(tmp_path / "store")
+    _batches(spark, store, 10**6)
+    (tmp_path / "store_ids" / "buckets=64").mkdir()
+    assert I.id_buckets(spark, store) == 16 and I.stored_ids(spark, store, range(16)).count() == 210
+    I.write_batch(make_posts(spark, ["id5", "new"]), store, "r", 9)
+    assert read_store(spark, store).count() == 211
+    assert I.index_store(spark, store, 64) == 64 and I.id_buckets(spark, store) == 64
+    I.write_batch(make_posts(spark, ["id5", "new", "newer"]), store, "r", 10)
+    assert read_store(spark, store).count() == 212
+
+
+def test_observed_counters_and_sketches(spark, tmp_path):
+    from postlens.operators.dedup import estimated_distinct, id_sketches
+    from postlens.streaming import ingest as I
+
+    store = str(tmp_path / "store")
+    assert I.observed_counters(spark, store, "r").first().asDict() == {"taken_in_run": 0, "total_rows": 0, "distinct_posts": 0}
+    assert estimated_distinct(I.read_counts(spark, store)).first().asDict() == {"estimate": 0, "low": 0, "high": 0}
+    _batches(spark, store, 10**6)
+    I.write_batch(make_posts(spark, ["id209", "id210"]), store, "r", 2)  # batch 2 again, with other posts: its folder is replaced
+    I.write_batch(make_posts(spark, ["x1", "x2", "id3"]), store, "other", 0)
+    for run in ("r", "other", "none"):
+        assert I.observed_counters(spark, store, run).collect() == I.run_counters(spark, store, run).collect()
+    files = I.observed_counters(spark, store, "r").inputFiles()
+    assert len(files) == 4 and all("/store_counts/" in f for f in files)  # a short file for each batch, none with posts
+    bounds = estimated_distinct(I.read_counts(spark, store)).first()
+    assert bounds.low <= read_store(spark, store).count() <= bounds.high
+    many = spark.range(200_000).selectExpr("cast(id as string) as video_id", "id % 7 as part", "if(id % 2 = 0, null, 1) as x")
+    bounds = estimated_distinct(id_sketches(many.union(many), "part")).first()
+    assert bounds.low <= 200_000 <= bounds.high and bounds.high - bounds.low < 0.09 * 200_000
+    assert estimated_distinct(id_sketches(many.where("false"), "part")).first().estimate == 0
