@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postlens.llm import memo
 from postlens.llm.store import keep, worker_path
 
 BUCKETS = 1 << 14
@@ -117,6 +118,7 @@ def identify(df: DataFrame, model: TextModel, text_col: str = "text", declared_c
 
     @F.pandas_udf("array<double>")
     def fit(text: pd.Series) -> pd.Series:
+        memo.release()  # worker processes serve one kind of stage after another
         m = shared.value
         return pd.Series([None if t is None else m.likelihood(t) for t in text], dtype=object)
 
