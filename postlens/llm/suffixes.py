@@ -1,9 +1,12 @@
 """Repeated passages by sparse suffix arrays.
 
-Suffixes are kept at minimiser positions: where the hash of four words is the least of some window of 17. Any passage of 50
-words has one among its first 17, so with at least 34 words of it to its right. Suffixes whose first 34 words occur in
-one document only are left out. Each window of 50 words belongs to the first of its least minimisers; the windows of suffixes that
-are shared are then grouped by their hash, so every row of every window that two documents have is found.
+Suffixes are kept at minimiser positions: where the hash of four words is the least of some window of 17. Each window of 50
+words belongs to the first of its least minimisers, which stands among its first 17 words, so a suffix is followed by at least 34
+words of each of its windows. Suffixes whose first 34 words occur in one document only are left out; the others
+are sorted over all tasks by those words, by the words behind them and by the words before them, and compared with their
+neighbours. A suffix that agrees with an earlier document's on all words its windows reach to the left and right is settled
+there. The first of each such run is extended word by word instead: each of its windows meets the windows with as many
+of the same words to the left and right, so a passage that shares an edge with a commoner one is not lost.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +30,7 @@ WINDOW = 17
 REACH = WORDS - WINDOW + 1
 BASE, BASE_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 WORD = re.compile("[^\t-\r ]+")
+SUFFIX = ["key", "check", "after", "before", "low", "high", "id", "of", "at"]
 
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -56,15 +61,17 @@ def _rolling(hashes: np.ndarray, size: int) -> np.ndarray:
     return _mix((sums[size:] - sums[:-size]) * down[:len(sums) - size])
 
 
-def minimisers(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Kept positions with room for 34 words, and the hash of those words."""
-    if len(hashes) < REACH:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    grams = _rolling(hashes, GRAM)
-    windows = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)
-    at = np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
-    at = at[at + REACH <= len(hashes)]
-    return at, _rolling(hashes, REACH)[at].view(np.int64)
+def minimisers(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the kept suffixes, the hash of their first 34 words, and how far left of them their windows start at least and at most."""
+    if len(hashes) < WORDS:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none
+    starts = np.arange(len(hashes) - WORDS + 1)
+    least = np.lib.stride_tricks.sliding_window_view(_rolling(hashes, GRAM), WINDOW)[:len(starts)].argmin(axis=1) + starts
+    first = np.flatnonzero(np.diff(least, prepend=-1))
+    at = least[first]
+    last = np.append(first[1:], len(starts)) - 1
+    return at, _rolling(hashes, REACH)[at].view(np.int64), at - last, at - first
 
 
 def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -78,7 +85,7 @@ def _suffixes(docs: DataFrame) -> DataFrame:
         for batch in batches:
             take, places, keys = [], [], []
             for k, t in enumerate(batch.column("text")):
-                at, key = minimisers(word_hashes(t.as_py()))
+                at, key, _, _ = minimisers(word_hashes(t.as_py()))
                 take.append(np.full(len(at), k))
                 places.append(at)
                 keys.append(key)
@@ -90,33 +97,105 @@ def _suffixes(docs: DataFrame) -> DataFrame:
     return docs.select("id", "of", "text").mapInArrow(run, "key long, id long, of long, at int")
 
 
-def windows_at(hashes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the windows of 50 words whose minimiser is at one of the places ``wanted``."""
-    if len(hashes) < WORDS:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    least = np.lib.stride_tricks.sliding_window_view(_rolling(hashes, GRAM), WINDOW)[:len(hashes) - WORDS + 1].argmin(axis=1)
-    starts = np.flatnonzero(np.isin(least + np.arange(len(least)), wanted))
-    return starts, _rolling(hashes, WORDS)[starts].view(np.int64)
-
-
-def _windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``window, id, of, start`` of each window of 50 words around the wanted suffixes."""
+def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Each wanted suffix with what its windows hold: its first 34 words (two hashes), the words after them, those before it from the nearest."""
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            take, places, keys = [], [], []
+            take, before, after, numbers = [], [], [], []
             for k, (t, w) in enumerate(zip(batch.column("text"), batch.column("wanted"), strict=True)):
-                starts, hashes = windows_at(word_hashes(t.as_py()), w.values.to_numpy())
-                take.append(np.full(len(starts), k))
-                places.append(starts)
-                keys.append(hashes)
+                hashes = word_hashes(t.as_py())
+                at, key, low, high = minimisers(hashes)
+                some = np.isin(at, w.values.to_numpy())
+                at, key, low, high = at[some], key[some], low[some], high[some]
+                check = _rolling(_mix(hashes + np.uint64(1)), REACH)[at].view(np.int64)
+                take.append(np.full(len(at), k))
+                numbers.append((key, check, at, low, high))
+                words = (_mix(hashes) >> np.uint64(32)).astype(">u4")
+                ahead, back, n = words.tobytes(), words[::-1].tobytes(), len(words)
+                before += [back[4 * (n - p):4 * (n - p + h)] for p, h in zip(at.tolist(), high.tolist(), strict=True)]
+                after += [ahead[4 * (p + REACH):4 * (p + WORDS - x)] for p, x in zip(at.tolist(), low.tolist(), strict=True)]
             if take:
                 index = pa.array(np.concatenate(take))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch.column("id").take(index), batch.column("of").take(index),
-                                                  pa.array(np.concatenate(places).astype(np.int32))], ["window", "id", "of", "start"])
+                key, check, at, low, high = (np.concatenate(x) for x in zip(*numbers, strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key), pa.array(check), pa.array(after, pa.binary()), pa.array(before, pa.binary()), pa.array(low.astype(np.int32)),
+                     pa.array(high.astype(np.int32)), batch.column("id").take(index), batch.column("of").take(index), pa.array(at.astype(np.int32))], SUFFIX)
 
     by_doc = wanted.groupBy("id", "of").agg(F.collect_list("at").alias("wanted")).select(F.col("id").alias("in_id"), F.col("of").alias("in_of"), "wanted")
     found = docs.select("id", "of", "text").join(by_doc, same(F.col("id"), F.col("in_id")) & (F.col("of") == F.col("in_of")))
-    return found.select("id", "of", "text", "wanted").mapInArrow(run, "window long, id long, of long, start int")
+    return found.select("id", "of", "text", "wanted").mapInArrow(
+        run, "key long, check long, after binary, before binary, low int, high int, id long, of long, at int")
+
+
+def _changes(rows: pa.RecordBatch, names: list[str]) -> np.ndarray:
+    """Rows that differ from the one before them in one of the columns; the first one does."""
+    out = np.zeros(len(rows), bool)
+    for name in names:
+        c = rows.column(name)
+        out[1:] |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+    out[0] = True
+    return out
+
+
+def neighbours(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Compares sorted suffixes: ``head`` and ``own`` of each row, and the rows ``paired`` and ``open``.
+
+    ``head`` is the first row with the same words around it, ``own`` tells whether that is of the same document; a row that is
+    not ``own`` is settled. ``paired`` are heads that are settled by the row behind them, as all suffixes that start with
+    their 34 words agree on the words around; ``open`` rows have to be extended: other heads, further places of
+    their document, and for each head a row of another document.
+    """
+    at = np.arange(len(rows))
+    starts, runs = _changes(rows, ["key"]), _changes(rows, SUFFIX[:6])
+    head = np.maximum.accumulate(np.where(runs, at, 0))
+    ids, ofs = (rows.column(c).fill_null(0).to_numpy() for c in ("id", "of"))
+    own = (ids == ids[head]) & (ofs == ofs[head])
+    group = np.cumsum(starts) - 1
+    alone = (np.bincount(group, runs) == 1) & (np.bincount(group, own) == 1)
+    alone[[0, -1]] = False  # may go on outside
+    late = np.flatnonzero(~own)
+    second = late[np.unique(head[late], return_index=True)[1]]
+    paired = head[second[alone[group[second]]]]
+    wide = own.copy()
+    wide[second] = True
+    return head, own, paired, np.flatnonzero(wide & ~alone[group])
+
+
+def _settled(contexts: DataFrame) -> DataFrame:
+    """``extra, other`` of suffixes that their neighbours settle; those that have to be extended keep ``key, check, after, before``."""
+    def run(batches: Iterator[pa.RecordBatch]):
+        last = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = batch if last is None else pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+            head, own, paired, wide = neighbours(rows)
+            late = np.flatnonzero(~own)
+            settled = np.concatenate([late, paired])
+            ids = rows.column("id")
+            n, m = len(settled), len(wide)
+            take = pa.array(np.concatenate([settled, wide]))
+            extra = pa.concat_arrays([pa.array(np.arange(n) < len(late)), pa.nulls(m, pa.bool_())])
+            other = pa.concat_arrays([ids.take(pa.array(head[late])), ids.take(pa.array(paired + 1)), pa.nulls(m, pa.int64())])
+            around = [pa.concat_arrays([pa.nulls(n, rows.column(c).type), rows.column(c).take(pa.array(wide))]) for c in SUFFIX[:4]]
+            yield pa.RecordBatch.from_arrays([*around, *(rows.column(c).take(take) for c in SUFFIX[4:]), extra, other], [*SUFFIX, "extra", "other"])
+            last = rows.slice(int(head[-1]), 1)
+
+    ordered = contexts.repartitionByRange(*SUFFIX).sortWithinPartitions(*SUFFIX)
+    return ordered.mapInArrow(run, "key long, check long, after binary, before binary, low int, high int, id long, of long, at int, extra boolean, other long")
+
+
+def _extended(wide: DataFrame) -> DataFrame:
+    """``id, of, start, stop, extra, other`` of the windows around suffixes that another document has too."""
+    left, right = F.expr("substring(before, 1, 4 * o)"), F.expr(f"substring(after, 1, 4 * ({WINDOW - 1} - o))")
+    windows = wide.select("id", "of", "at", "key", "check", "before", "after", F.explode(F.sequence("low", "high")).alias("o")).select(
+        "id", "of", (F.col("at") - F.col("o")).alias("start"),
+        F.xxhash64("key", "check", "o", left, right).alias("w1"), F.xxhash64(right, left, "o", "check", "key").alias("w2"))
+    doc = F.struct("id", "of")
+    held = windows.groupBy("w1", "w2").agg(F.min(doc).alias("least"), F.max(doc).alias("most")).where(~same(F.col("least"), F.col("most")))
+    is_first = same(F.col("id"), F.col("least.id")) & (F.col("of") == F.col("least.of"))
+    return windows.join(held, ["w1", "w2"]).select("id", "of", "start", (F.col("start") + WORDS).alias("stop"), (~is_first).alias("extra"),
+                                                   F.when(is_first, F.col("most.id")).otherwise(F.col("least.id")).alias("other"))
 
 
 def merge_spans(starts: list[int], stops: list[int]) -> list[tuple[int, int]]:
@@ -130,22 +209,23 @@ def merge_spans(starts: list[int], stops: list[int]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out if e - s >= WORDS]
 
 
-def _spans(starts: list[int]) -> list[dict]:
-    return [{"start": s, "stop": e} for s, e in merge_spans(starts, [s + WORDS for s in starts])]
+def _spans(found: list[dict]) -> list[dict]:
+    return [{"start": s, "stop": e} for s, e in merge_spans([x["start"] for x in found], [x["stop"] for x in found])]
 
 
 def _per_document(found: DataFrame) -> DataFrame:
-    """``id, of, repeated, extra`` (spans of words) ``, others`` from ``found(id, of, start, extra, other)``, a row for each shared window."""
+    """``id, of, repeated, extra`` (spans of words) ``, others`` from ``found(id, of, start, stop, extra, other)``."""
     kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            repeated, extra = ([_spans(x) for x in batch.column(c).to_pylist()] for c in ("starts", "late"))
+            repeated, extra = ([_spans(x) for x in batch.column(c).to_pylist()] for c in ("shared", "late"))
             others = [sorted(x) for x in batch.column("others").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("of"), pa.array(repeated, kind), pa.array(extra, kind),
                                               pa.array(others, pa.list_(pa.int64()))], ["id", "of", "repeated", "extra", "others"])
 
-    listed = found.groupBy("id", "of").agg(F.collect_list("start").alias("starts"), F.collect_list(F.when(F.col("extra"), F.col("start"))).alias("late"),
+    place = F.struct("start", "stop")
+    listed = found.groupBy("id", "of").agg(F.collect_list(place).alias("shared"), F.collect_list(F.when(F.col("extra"), place)).alias("late"),
                                            F.collect_set("other").alias("others"))
     span = "array<struct<start: int, stop: int>>"
     return listed.mapInArrow(run, f"id long, of long, repeated {span}, extra {span}, others array<long>")
@@ -154,14 +234,9 @@ def _per_document(found: DataFrame) -> DataFrame:
 def _passages(docs: DataFrame) -> DataFrame:
     suffixes = _suffixes(docs)
     shared = keep(suffixes.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low <> high").select("key"), "shared_suffixes")
-    windows = keep(_windows(docs, suffixes.join(shared, "key", "left_semi")), "windows")
-    doc = F.struct("id", "of")
-    held = windows.groupBy("window").agg(F.min(doc).alias("low"), F.max(doc).alias("high")).where(~same(F.col("low"), F.col("high"))) \
-        .select("window", F.col("low.id").alias("low_id"), F.col("low.of").alias("low_of"), F.col("high.id").alias("high_id"))
-    held = keep(held, "shared_windows")
-    is_first = same(F.col("id"), F.col("low_id")) & (F.col("of") == F.col("low_of"))
-    found = windows.join(held, "window").select("id", "of", "start", (~is_first).alias("extra"), F.when(is_first, F.col("high_id")).otherwise(F.col("low_id")).alias("other"))
-    return keep(_per_document(found), "passages")
+    settled = keep(_settled(_contexts(docs, suffixes.join(shared, "key", "left_semi"))), "settled_suffixes")
+    whole = settled.where("extra is not null").select("id", "of", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + WORDS).alias("stop"), "extra", "other")
+    return keep(_per_document(whole.unionByName(_extended(settled.where("extra is null")))), "passages")
 
 
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,7 +244,7 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Words end at ASCII white space and count from 0; a span stops before ``stop``. ``extra_spans`` are those that an earlier
     document (by id, then hash of the text) has; ``other_ids`` names documents that share a span, not all that do. Passages
-    repeated in one document only do not count. Words are compared by 64-bit hashes of 50 of them. Null and empty
+    repeated in one document only do not count. A window's first 34 words are compared by 128 bits of hashes, each other word by 32. Null and empty
     texts have no passages; rows equal in id and text are one document; a null id sorts first. An empty table gives no rows.
     """
     found = _passages(_rows(df, id_col, text_col))

@@ -6,6 +6,7 @@ import time
 from collections import defaultdict
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 
 from postlens.llm import fingerprints, langid, licenses, lines, suffixes
@@ -171,6 +172,36 @@ def test_passages_over_task_edges(spark, partitions):
     assert got == dict.fromkeys(range(40), 55)
 
 
+@pytest.mark.parametrize("rows", ["1", "3", "64"])
+def test_passages_built_of_few_blocks(spark, rows):
+    """Texts joined from shared blocks, so passages meet, nest and share edges; few suffixes in a batch, and several tasks."""
+    rng = random.Random(23)
+    blocks = [words(rng, rng.choice([6, 17, 33, 36, 45, 52])) for _ in range(14)]
+    texts = [" ".join(w for _ in range(rng.randrange(1, 9)) for w in rng.choice(blocks)) for _ in range(60)]
+    texts += [" ".join(w for _ in range(6) for w in blocks[0] + blocks[3])] + texts[:5]
+    covered, extra = passages(texts)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.doc_id: r for r in suffixes.repeated_passages(frame(spark, texts).repartition(3)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert set(got) == set(covered)
+    for i, r in got.items():
+        assert places(r.spans) == covered[i] and places(r.extra_spans) == extra[i]
+
+
+def test_neighbours_settle_what_agrees():
+    """Of three suffixes that agree on all words around, the later two are settled; where words differ, heads stay open."""
+    rows = [(1, 9, b"aa", b"b", 0, 3, 1, 1, 5), (2, 9, b"aa", b"b", 0, 3, 1, 1, 7), (2, 9, b"aa", b"b", 0, 3, 4, 2, 7), (2, 9, b"aa", b"b", 0, 3, 5, 3, 7),
+            (3, 9, b"aa", b"b", 0, 3, 1, 1, 9), (3, 9, b"aa", b"c", 0, 3, 6, 4, 9), (4, 9, b"aa", b"b", 0, 3, 1, 1, 11)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], suffixes.SUFFIX)
+    head, own, paired, wide = suffixes.neighbours(batch)
+    assert head.tolist() == [0, 1, 1, 1, 4, 5, 6] and own.tolist() == [True, True, False, False, True, True, True]
+    assert paired.tolist() == [1] and wide.tolist() == [0, 4, 5, 6]
+
+
 def test_passages_of_odd_rows(spark):
     rng = random.Random(4)
     text = " ".join(words(rng, 90))
