@@ -1,13 +1,15 @@
 """Near-duplicate vectors by sorted projection passes.
 
-Each pass draws its own random directions. A vector's hash in a pass is the row of signs of its products with them; vectors
-of one label are ordered by label and hash by a range sort over all tasks, and each is compared with a bounded
-window of its neighbours. Verified pairs of all passes are united into components, and each component's direct links
-are then counted block against block, so a group that is larger than the window loses none of them.
+Each pass draws its own random directions. A vector's hash in a pass is the row of signs of the products with them of what
+sets it apart from its label's mean; vectors of one label are ordered by label and hash by a range sort over all tasks, and
+each is compared with a bounded window of its neighbours. The closer a label's vectors lie together and the more there
+are, the more passes it gets. Verified pairs of all passes are united into components, and each component's direct links are
+then counted block against block, so a group that is larger than the window loses none of them.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +26,7 @@ from postlens.llm.store import keep, worker_path
 BITS = 48
 CHUNK = 1024
 ROWS_PER_TASK = 4096
+FEWEST_PASSES = 4
 
 
 def sound_vectors(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
@@ -49,7 +52,46 @@ def _stars(own: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(own[moved]), pa.array(own[label[moved]])], ["a", "b"])
 
 
-def projection_links(vectors: DataFrame, least: float, passes: int, window: int, seed: int = 11) -> DataFrame:
+def passes_needed(n: int, likeness: float, least: float, window: int, lost: float) -> int:
+    """Passes after which a pair at cosine ``least`` has met in a window but for a share ``lost``, by the model below.
+
+    ``n`` vectors have a mean cosine of ``likeness``. Off their mean, a pair at ``least`` has the cosine 1 - (1 - least) / (1 - likeness);
+    it agrees in a bit with the chance 1 - angle / pi, and has to agree in the log2(n / window) bits that leave a window's
+    worth of rows. Below a cosine of 0.5 off the mean most pairs of the label link, and any window finds some.
+    """
+    depth = max(0.0, math.log2(max(1, n) / window))
+    apart = 1 - (1 - least) / max(1e-12, 1 - likeness)
+    meet = (1 - math.acos(min(1.0, max(0.5, apart))) / math.pi) ** depth
+    return FEWEST_PASSES if meet >= 1 else max(FEWEST_PASSES, math.ceil(math.log(lost) / math.log1p(-meet)))
+
+
+def label_centres(vectors: DataFrame, least: float, window: int, lost: float) -> DataFrame:
+    """``label, size, centre, passes``: the mean of each label's vectors at length one, and the passes it needs."""
+    def sums(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            labels, sizes = batch.column("label").dictionary_encode(), batch.column("size").to_numpy(zero_copy_only=False)
+            codes = labels.indices.to_numpy(zero_copy_only=False)
+            for size in np.unique(sizes).tolist():
+                of_size = sizes == size
+                x, code = _matrix(batch.column("v").filter(pa.array(of_size))), codes[of_size]
+                for c in np.unique(code).tolist():
+                    own = x[code == c]
+                    yield pa.RecordBatch.from_arrays([pa.array([labels.dictionary[c].as_py()]), pa.array([size], pa.int32()), pa.array([len(own)], pa.int64()),
+                                                      pa.array([own.sum(axis=0)], pa.list_(pa.float64()))], ["label", "size", "n", "total"])
+
+    @F.pandas_udf("int")
+    def passes(n: pd.Series, likeness: pd.Series) -> pd.Series:
+        return pd.Series([passes_needed(a, b, least, window, lost) for a, b in zip(n, likeness, strict=True)])
+
+    part = vectors.select("label", "size", "v").mapInArrow(sums, "label string, size int, n long, total array<double>")
+    by_place = part.select("label", "size", "n", F.posexplode("total").alias("at", "x")).groupBy("label", "size", "at").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+    means = by_place.groupBy("label", "size").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("at", (F.col("x") / F.col("n")).alias("x")))).alias("means"))
+    centre = F.transform("means", lambda m: m["x"])
+    likeness = F.aggregate("means", F.lit(0.0), lambda t, m: t + m["x"] * m["x"])
+    return means.select("label", "size", centre.alias("centre"), passes("n", likeness).alias("passes"))
+
+
+def projection_links(vectors: DataFrame, least: float, window: int, lost: float, seed: int = 11) -> DataFrame:
     """Links ``a, b`` that join the vectors of verified pairs; a task's pairs are given as stars."""
 
     def hashed(batches: Iterator[pa.RecordBatch]):
@@ -57,31 +99,36 @@ def projection_links(vectors: DataFrame, least: float, passes: int, window: int,
             sizes = batch.column("size").to_numpy(zero_copy_only=False)
             for size in np.unique(sizes).tolist():
                 some = batch.filter(pa.array(sizes == size))
-                x = _matrix(some.column("v"))
-                for k in range(passes):
+                centres = some.column("centre").flatten().to_numpy(zero_copy_only=False).reshape(len(some), size)
+                x, passes = _matrix(some.column("v")) - centres, some.column("passes").to_numpy()
+                some = some.select(["node", "label", "v", "size"])
+                for k in range(passes.max()):
+                    wanted = passes > k
+                    rows = some if wanted.all() else some.filter(pa.array(wanted))
                     directions = np.random.default_rng([seed, k, size]).standard_normal((size, BITS))
-                    signs = np.packbits(x @ directions > 0, axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k, np.int32)), pa.array([s.tobytes() for s in signs], pa.binary()), *some.columns],
-                                                     ["pass", "hash", *some.schema.names])
+                    signs = np.packbits((x if wanted.all() else x[wanted]) @ directions > 0, axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), k, np.int32)), pa.array([s.tobytes() for s in signs], pa.binary()), *rows.columns],
+                                                     ["pass", "hash", *rows.schema.names])
 
     fields = "pass int, hash binary, node long, label string, v array<double>, size int"
-    ordered = vectors.select("node", "label", "v", "size").mapInArrow(hashed, fields) \
+    centres = keep(label_centres(vectors, least, window, lost), "label_centres")
+    ordered = vectors.join(centres, ["label", "size"]).select("node", "label", "v", "size", "centre", "passes").mapInArrow(hashed, fields) \
         .repartitionByRange("pass", "label", "size", "hash", "node").sortWithinPartitions("pass", "label", "size", "hash", "node")
 
     def window_pairs(groups: np.ndarray, x: np.ndarray):
         i, j = [], []
-        for s in range(0, len(x), 2 * CHUNK):
-            e = min(len(x), s + 2 * CHUNK)
+        for s in range(0, len(x), CHUNK):
+            e = min(len(x), s + CHUNK)
             near = x[s:e] @ x[s:min(len(x), e + window)].T
             p, q = np.nonzero(near >= least - 1e-9)
             ok = (q > p) & (q - p <= window)
-            p, q = p[ok] + s, q[ok] + s
-            ok = groups[p] == groups[q]
-            i.append(p[ok])
-            j.append(q[ok])
-        i, j = np.concatenate(i), np.concatenate(j)
-        exact = np.einsum("ij,ij->i", x[i], x[j]) >= least
-        return i[exact], j[exact]
+            p, q = p[ok], q[ok]
+            close = np.flatnonzero(near[p, q] < least + 1e-9)
+            ok = groups[p + s] == groups[q + s]
+            ok[close] &= np.einsum("ij,ij->i", x[p[close] + s], x[q[close] + s]) >= least
+            i.append(p[ok] + s)
+            j.append(q[ok] + s)
+        return np.concatenate(i), np.concatenate(j)
 
     def scan(batches: Iterator[pa.RecordBatch]):
         part, tail, first = TaskContext.get().partitionId(), None, True
@@ -177,20 +224,21 @@ def count_links(grouped: DataFrame, least: float) -> DataFrame:
     return cells.groupBy("small", "deal", "i", "j").applyInPandas(cell, "class string, n long").groupBy("class").agg(F.sum("n").alias("n"))
 
 
-def near_vectors(df: DataFrame, least: float = 0.98, passes: int = 16, window: int = 32, id_col: str = "vec_id",
+def near_vectors(df: DataFrame, least: float = 0.98, window: int = 512, lost: float = 1e-4, id_col: str = "vec_id",
                  vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for each row: near-duplicate vectors of one label by cosine.
 
     Vectors that are null, empty, zero or hold a null or non-finite component, and those whose label or id is null, link
     with nothing: no links, their own id as component, kept. Vectors of different sizes do not link. Ids are integers;
     equal vectors of a label are one class, whose rows are linked to each other; rows that repeat an id count as further
-    vectors and share a component. An empty table gives no rows.
+    vectors and share a component. ``lost`` is the share of pairs at ``least`` that no pass may bring within ``window`` rows, by the
+    model of ``passes_needed``. An empty table gives no rows.
     """
     worker_path(df.sparkSession)
     rows = keep(sound_vectors(df, id_col, vector_col, label_col), "vectors")
     classes = keep(rows.where("class is not null").groupBy("class").agg(
         F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("v").alias("v")), "vector_classes")
-    links = projection_links(classes.withColumn("size", F.size("v")), least, passes, window)
+    links = projection_links(classes.withColumn("size", F.size("v")), least, window, lost)
     copies = rows.where("class is not null").select("vec_id", "class").join(classes.select("class", "node"), "class") \
         .where("vec_id <> node").select(F.col("vec_id").alias("a"), F.col("node").alias("b"))
     tree = keep(components(links.unionByName(copies)), "vector_components")

@@ -222,3 +222,33 @@ def test_near_vectors(spark):
     assert all((got[n + i].n_links, got[n + i].component_id, got[n + i].kept) == (0, n + i, True) for i in range(8))
     assert (got[n + 8].n_links, got[n + 9].component_id) == (1, n + 8)
     assert vectors.near_vectors(docs.where("false")).count() == 0
+
+
+def test_pairs_of_a_dense_label_are_found(spark):
+    """3,000 vectors with a mean cosine of 0.9, 100 of which have one partner at 0.981; windows of 16, so passes have to find them."""
+    rng = np.random.default_rng(8)
+
+    def across(*others):
+        r = rng.standard_normal(32)
+        for o in np.linalg.qr(np.array(others).T)[0].T:
+            r -= (r @ o) * o
+        return r / np.linalg.norm(r)
+
+    middle = across(rng.standard_normal(32))
+    x = [0.9 ** 0.5 * middle + 0.1 ** 0.5 * across(middle) for _ in range(3000)]
+    x += [0.981 * v + (1 - 0.981 ** 2) ** 0.5 * across(middle, v) for v in x[:100]]
+    df = spark.createDataFrame([(i, "a", v.tolist()) for i, v in enumerate(x)], "vec_id long, label string, embedding array<double>").repartition(3)
+    x = np.array(x)
+    linked = x @ x.T >= 0.98
+    np.fill_diagonal(linked, False)
+    assert linked[np.arange(100), np.arange(100) + 3000].all()
+    got = {r.vec_id: r.n_links for r in vectors.near_vectors(df, window=16).collect()}
+    assert [got[i] for i in range(3100)] == linked.sum(axis=1).tolist()
+
+
+def test_passes_grow_with_a_label():
+    def needed(n, likeness):
+        return vectors.passes_needed(n, likeness, 0.98, 512, 1e-4)
+
+    assert needed(100, 0.0) == vectors.FEWEST_PASSES and needed(10 ** 6, 0.0) > needed(10 ** 4, 0.0)
+    assert needed(10 ** 5, 0.9) > 4 * needed(10 ** 5, 0.0) and needed(10 ** 5, 1.0) >= needed(10 ** 5, 0.9)
