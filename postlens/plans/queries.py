@@ -842,6 +842,26 @@ def read_drifted(spark, folder):
     return src.read_drifted(spark, [old, new]).select("video_id", F.md5("caption").alias("caption_md5"), "comments", "saves")
 
 
+@query(f"""WITH {S.POSTS} SELECT CAST(video_id AS VARCHAR) AS video_id, md5(caption) AS caption_md5, comments, comments + 3 AS saves FROM posts""")
+def read_mixed(spark, folder):
+    """As ``read_drifted``, with the files of both headers below one pattern and nothing said about them."""
+    posts = T.posts(spark, folder).select("video_id", "caption", "comments", (F.col("comments") + 3).alias("saves"))
+    root = work_path(spark, "mixed-headers")
+    src.publish(posts.where("video_id % 2 = 0").withColumnRenamed("saves", "shares"), f"{root}/a", "csv")
+    src.publish(posts.where("video_id % 2 <> 0").select("comments", "video_id", "saves", "caption"), f"{root}/b", "csv")
+    return src.read_posts(spark, f"{root}/*", mixed=True).select("video_id", F.md5("caption").alias("caption_md5"), "comments", "saves")
+
+
+@query(_STORE_CHECK)
+def publish_version(spark, folder):
+    """Stored posts published, then all posts as the next version; the pointer's version is read."""
+    root = work_path(spark, "versions")
+    posts, stored = _document_posts(spark, folder), _stored_ids(spark, folder)
+    src.publish_version(posts.join(stored, "video_id", "left_semi"), root)
+    src.publish_version(posts, root)
+    return _store_view(src.read_published(spark, root))
+
+
 @query(_STORE_CHECK)
 def append_posts(spark, folder):
     """Labelled and other posts appended in two batches."""

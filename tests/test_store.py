@@ -141,6 +141,52 @@ def test_drifting_headers_are_refused(spark, tmp_path):
     assert [(r["saves"], r["likes"]) for r in both] == [(30, 0), (0, 40)]
 
 
+def test_mixed_headers_are_found(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    (folder / "a [1].csv").write_text('video_id,caption,shares\n1,"x\nvideo_id,caption,saves",30\n')
+    (folder / "b%20c.csv").write_text("\n\nsaves,video_id,,x,x\n40,2,,,\n", encoding="utf8")
+    (folder / "c.csv").write_text("saves,video_id\r\n41,3\r\n", encoding="utf8")
+    (folder / "d.csv").write_text("\ufeffvideo_id,caption,shares\n4,y,50\n", encoding="utf8")
+    (folder / "header.csv").write_text("likes,video_id\n")
+    (folder / "none.csv").write_text("")
+    headers = [r["header"] for r in src.file_headers(spark, str(folder)).collect()]
+    assert sorted(headers) == ["likes,video_id", "saves,video_id", "saves,video_id,,x,x"] + ["video_id,caption,shares"] * 2
+    posts = src.read_posts(spark, str(folder), mixed=True)
+    assert posts.schema == POST_SCHEMA
+    assert [(r["video_id"], r["caption"], r["saves"]) for r in posts.orderBy("video_id").collect()] == [
+        ("1", "x\nvideo_id,caption,saves", 30), ("2", None, 40), ("3", None, 41), ("4", "y", 50)]
+    with pytest.raises(SchemaError):
+        src.read_mixed(spark, str(folder), most_headers=2)
+    (tmp_path / "blank").mkdir()
+    (tmp_path / "blank" / "e.csv").write_text("\n")
+    with pytest.raises(EmptySourceError):
+        src.read_posts(spark, str(tmp_path / "blank"), mixed=True)
+    with pytest.raises(MissingSourceError):
+        src.read_posts(spark, str(tmp_path / "nowhere"), mixed=True)
+
+
+def test_a_failed_publish_leaves_the_version_before(spark, tmp_path):
+    root = str(tmp_path / "table")
+    with pytest.raises(MissingSourceError):
+        src.read_published(spark, root)
+
+    def ids():
+        return sorted(r["video_id"] for r in src.read_published(spark, root).collect())
+
+    first = src.publish_version(make_posts(spark, ["a", "b"]), root)
+    reader = src.read_published(spark, root)
+    broken = make_posts(spark, ["c", "d"]).withColumn("caption", F.when(F.col("video_id") == "d", F.raise_error(F.lit("lost"))).otherwise(F.col("caption")))
+    with pytest.raises(Exception, match="lost"):
+        src.publish_version(broken, root)
+    assert ids() == ["a", "b"] and src.published_version(spark, root) == first
+    src.publish_version(make_posts(spark, ["e"]), root)
+    assert ids() == ["e"] and reader.count() == 2  # the version before is still there
+    last = src.publish_version(make_posts(spark, ["f"]), root + "/")
+    assert ids() == ["f"] and src.published_version(spark, root) == last
+    assert len(glob.glob(f"{root}/v-*")) == 2 and first not in glob.glob(f"{root}/v-*")
+
+
 def test_positional_fallback(spark):
     pages = spark.createDataFrame([
         ("<strong>1</strong><strong>2K</strong><strong>3</strong>", ""),
