@@ -30,8 +30,12 @@ def line_dedup(spark, docs, sf_dir):
 
 
 def near_dedup(spark, docs, sf_dir):
-    """Of documents with a five-word similarity of 0.8 or more, the one with the smallest id stays; a document without an id stays."""
-    copies = keep(simhash.near_copies(docs, similarity=0.8, shingle=5).select("doc_id"), "near_copies")
+    """Of documents linked by fingerprints of three-word shingles within 3 of 64 bits, the one with the smallest id stays.
+
+    Documents without words share the zero fingerprint and are one group; a document without an id stays.
+    """
+    near = simhash.simhash_components(docs, shingle=3, bits=64, differences=3)
+    copies = keep(near.where("doc_id <> component_id").select("doc_id").distinct(), "near_copies")
     return docs.join(copies, "doc_id", "left_anti")
 
 
