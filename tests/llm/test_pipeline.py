@@ -2,12 +2,29 @@
 
 import random
 
+import xxhash
+
 import corpus_pipeline
 from postlens.llm.store import keep
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def fingerprint(words):
+    """Plain restatement: bits set in over half of the hashes of the three-word shingles."""
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[i:i + 3]), 42) for i in range(len(words) - 2)]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def near_copy(words):
+    """The words with one changed, so that the fingerprint differs in 1 to 3 bits."""
+    for i in range(3, len(words)):
+        changed = [*words[:i], "changed", *words[i + 1:]]
+        if 1 <= (fingerprint(words) ^ fingerprint(changed)).bit_count() <= 3:
+            return changed
+    raise AssertionError("no such place")
+
+
 def planted():
     rng = random.Random(12)
     letters = {"en": "abcdefghij", "fr": "lmnopqrstu"}
@@ -19,8 +36,7 @@ def planted():
         return "\n".join(sentence(lang, 40) for _ in range(6))
 
     clean = [(lang, document(lang)) for lang in ("en", "fr") * 30]
-    near = clean[0][1].split()
-    near[100], near[101] = "changed", "words"
+    near = near_copy(clean[0][1].split())
     shared = sentence("en", 70)
     extra = {
         "no_letters": ("en", "12 -- 34"), "null": ("fr", None), "empty": ("en", ""),
