@@ -7,11 +7,13 @@ are shuffled.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
-from pyspark.ml.clustering import LDA, LDAModel
+from pyspark.ml.clustering import LDA, LDAModel, LocalLDAModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -228,6 +230,58 @@ def fit_topics(corpus: Corpus, k: int = 5, steps: int = 40, sampling_rate: float
         training.unpersist()
 
 
+def corpus_mark(corpus: Corpus, **settings) -> str:
+    """Name of what a model is trained on: all word lists, whatever their order, the vocabulary, the rules and the settings.
+
+    One pass with two sums of 64-bit hashes; changed, added, lost or repeated documents give another name. Key columns
+    do not count, as training does not see them.
+    """
+    sums = [F.sum(F.xxhash64(F.lit(seed), "words").cast("decimal(38,0)")) for seed in (1, 2)]
+    content = [str(x) for x in corpus.words.agg(F.count(F.lit(1)), *sums).head()]
+    told = json.dumps([content, asdict(corpus.vocab), asdict(corpus.rules), settings], sort_keys=True)
+    return hashlib.sha256(told.encode()).hexdigest()
+
+
+def stored_topics(corpus: Corpus, root: str, k: int = 5, steps: int = 40, sampling_rate: float = 0.5,
+                  seed: int = 42) -> TopicModel | None:
+    """The model of :func:`fit_topics`, trained only where ``root`` holds none for this corpus and these settings.
+
+    A model lies in a folder named by its ``corpus_mark``, so changed documents train anew and old models stay. The
+    vocabulary is written after the model, and a folder without it counts as empty: a job that dies while it trains or writes
+    leaves nothing that is read. None, as there, for fewer documents than topics or no terms.
+    """
+    if corpus.vocab.documents < k or not corpus.vocab.terms:
+        return None
+    spark = corpus.words.sparkSession
+    settings = {"k": k, "steps": steps, "sampling_rate": sampling_rate, "seed": seed}
+    folder = f"{root.rstrip('/')}/{corpus_mark(corpus, **settings)}"
+    whole = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/vocabulary/_SUCCESS")
+    if whole.getFileSystem(spark._jsc.hadoopConfiguration()).exists(whole):
+        return TopicModel(LocalLDAModel.load(f"{folder}/model"), corpus.vocab, corpus.counts(), k)
+    fitted = fit_topics(corpus, **settings)
+    fitted.model.write().overwrite().save(f"{folder}/model")
+    terms = list(zip(range(len(corpus.vocab.terms)), corpus.vocab.terms, corpus.vocab.doc_counts, strict=True))
+    spark.createDataFrame(terms, "place int, term string, documents long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/vocabulary")
+    return fitted
+
+
+def topic_audit(documents: DataFrame, k: int) -> DataFrame:
+    """Adds ``topics``, ``proper`` and ``dominant_is_largest`` to documents with a mixture.
+
+    ``topics``: parts of the mixture. ``proper``: there are ``k``, none negative, and they add up to 1 within 1e-9.
+    ``dominant_is_largest``: no part is larger than that of ``dominant_topic``, and none before it as large.
+    """
+    parts, at = F.col("topic_probs"), F.col("dominant_topic")
+    total = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
+    top = F.get(parts, at)
+    before = F.forall(F.slice(parts, 1, at), lambda x: x < top)
+    return documents.withColumns({
+        "topics": F.size(parts),
+        "proper": (F.size(parts) == k) & (F.array_min(parts) >= 0) & (F.abs(total - 1) < 1e-9),
+        "dominant_is_largest": F.coalesce((top == F.array_max(parts)) & before, F.lit(False)),
+    })
+
+
 def topic_words(fitted: TopicModel, n: int = 10) -> DataFrame:
     """Top ``n`` terms of each topic by weight; the topic matrix is k by ``max_features``."""
     spark = fitted.counts.sparkSession

@@ -31,7 +31,7 @@ from postlens.plans import sql as S
 from postlens.plans import testbed as T
 from postlens.plans.analysis import full_analysis
 from postlens.schema import POST_COLUMNS
-from postlens.session import work_path
+from postlens.session import session_path, work_path
 from postlens.sources import posts as src
 from postlens.sources.pages import CommentRule, default_caption_rules, default_metric_rules, extract_caption, extract_comments, inner_text, with_metrics
 from postlens.streaming.ingest import drop_repeats_within, id_buckets, index_store, observed_counters, read_counts, read_store, run_counters, start_ingest, stored_ids, write_batch
@@ -666,7 +666,8 @@ TOPICS = 5
 
 
 def fitted_topics(spark: SparkSession, folder: str) -> M.TopicModel | None:
-    return M.fit_topics(_corpus(spark, folder), TOPICS)
+    """All topic queries of a session share the model of one corpus."""
+    return M.stored_topics(_corpus(spark, folder), session_path(spark, "topic-models"), TOPICS)
 
 
 def _document_topics(spark: SparkSession, folder: str) -> DataFrame:
@@ -679,6 +680,29 @@ def lda_topics(spark, folder):
     return _document_topics(spark, folder)
 
 
+@query(f"WITH {S.TERMS} SELECT doc_id, {TOPICS} AS topics, true AS proper, true AS dominant_is_largest FROM words")
+def topic_mixture_audit(spark, folder):
+    """One row per non-blank document, whose mixture adds up to 1 and whose dominant topic is the largest part."""
+    audit = M.topic_audit(_document_topics(spark, folder), TOPICS)
+    return audit.select("doc_id", "topics", "proper", "dominant_is_largest")
+
+
+@query(f"""WITH {S.TERMS}, held AS (SELECT least(10, count(*)) AS n FROM (SELECT term FROM freq, n_docs
+  WHERE df >= 2 AND df <= 0.8 * n ORDER BY freq.tf DESC, term LIMIT 100))
+SELECT CAST(t AS INTEGER) AS topic_id, n AS words, n AS of_vocabulary, true AS falling FROM held, range({TOPICS}) r(t)""")
+def topic_words_audit(spark, folder):
+    """Each topic names ten different terms of the vocabulary, which the check query finds anew, by falling weight."""
+    fitted = fitted_topics(spark, folder)
+    words = M.topic_words(fitted)
+    known = M.top_terms(M.tfidf_terms(_corpus(spark, folder)), len(fitted.vocab.terms)).select("term", F.lit(1).alias("known"))
+    heaviest = F.transform(F.sort_array(F.collect_list(F.struct("rank", "weight"))), lambda x: x["weight"])
+    return words.join(known, "term", "left").groupBy("topic_id").agg(
+        F.countDistinct("term").alias("words"), F.count("known").alias("of_vocabulary"),
+        heaviest.alias("weights")).select(
+        "topic_id", "words", "of_vocabulary",
+        (F.col("weights") == F.reverse(F.array_sort("weights"))).alias("falling"))
+
+
 @query()
 def topic_words(spark, folder):
     return M.topic_words(fitted_topics(spark, folder))

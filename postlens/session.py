@@ -81,6 +81,11 @@ def work_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def session_path(spark: SparkSession, name: str) -> str:
+    """The same path for each call of one session, below the shared folder; it stays until ``discard_work``."""
+    return f"{_session_folder(spark)}/{name}"
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -127,3 +127,46 @@ def test_rank_terms(spark):
     weights = spark.createDataFrame([(0, "b", 1.0), (0, "a", 1.0), (0, "c", 2.0), (1, "a", 0.5)], "topic_id int, term string, weight double")
     rows = M.rank_terms(weights, 2).orderBy("topic_id", "rank").collect()
     assert [tuple(r) for r in rows] == [(0, 0, "c", 2.0), (0, 1, "a", 1.0), (1, 0, "a", 0.5)]
+
+
+def test_stored_model_is_trained_once(spark, tmp_path, monkeypatch):
+    rows = corpus_rows(n=30)
+    trained = []
+    fit = M.fit_topics
+    monkeypatch.setattr(M, "fit_topics", lambda *a, **k: trained.append(1) or fit(*a, **k))
+
+    def run(rows, **settings):
+        docs = spark.createDataFrame(rows, "id int, text string")
+        fitted = M.stored_topics(M.build_corpus(docs, "text", 10, NO_STOPS), str(tmp_path / "models"), k=2, steps=3, **settings)
+        return {r["id"]: r["topic_probs"] for r in M.document_topics(fitted).collect()}, M.topic_words(fitted).collect()
+
+    first = run(rows)
+    assert run(list(reversed(rows))) == first and len(trained) == 1
+    # A document more, a document twice, other words and other settings: each trains anew.
+    run([*rows, (100, "alpha beta")])
+    run([*rows, rows[0]])
+    run([(i, "alpha gamma" if i == 3 else t) for i, t in rows])
+    run(rows, seed=7)
+    assert len(trained) == 5
+    assert run(rows) == first and len(trained) == 5
+    none = M.build_corpus(spark.createDataFrame([], "id int, text string"), "text", 10, NO_STOPS)
+    assert M.stored_topics(none, str(tmp_path / "models"), k=2) is None
+
+
+def test_a_half_written_model_is_not_read(spark, tmp_path):
+    docs = spark.createDataFrame(corpus_rows(n=30), "id int, text string")
+    corpus = M.build_corpus(docs, "text", 10, NO_STOPS)
+    settings = {"k": 2, "steps": 3, "sampling_rate": 0.5, "seed": 42}
+    half = tmp_path / M.corpus_mark(corpus, **settings) / "model"
+    half.mkdir(parents=True)
+    (half / "part").write_text("broken")
+    assert M.stored_topics(corpus, str(tmp_path), **settings) is not None
+    assert not (half / "part").exists() and M.stored_topics(corpus, str(tmp_path), **settings) is not None
+
+
+def test_topic_audit_finds_faults(spark):
+    rows = [(1, [0.5, 0.5], 0), (2, [0.5, 0.5], 1), (3, [0.2, 0.8], 0), (4, [0.2, 0.7], 1), (5, [1.2, -0.2], 0), (6, [1.0], 0), (7, None, None)]
+    docs = spark.createDataFrame(rows, "id int, topic_probs array<double>, dominant_topic int")
+    got = {r["id"]: (r["proper"], r["dominant_is_largest"]) for r in M.topic_audit(docs, 2).collect()}
+    assert {i for i, (proper, _) in got.items() if proper} == {1, 2, 3}
+    assert {i for i, (_, largest) in got.items() if largest} == {1, 4, 5, 6}
