@@ -155,26 +155,49 @@ class BatchScorer(ColumnScorer):
     by label. Only the text column is sent to Python. Texts are whole, or cut at
     ``max_chars`` where the model cannot take more. A loaded model stays with its
     worker process: all columns and tasks that use one scorer there share it.
+
+    ``token_ends(model, text)`` gives the place behind each token of a text, in ascending
+    order, as the model's own tokeniser finds them. With ``max_tokens`` a text ends behind its
+    token of that number, as for a network with a token limit; what comes after is not seen.
+    Texts of an Arrow batch are handed over by falling length, in tokens if they are known, so that
+    those of one call need little padding; each result goes back to its own row.
     """
 
     def __init__(self, load: Callable[[], Any],
                  predict: Callable[[Any, list[str]], list[dict[str, float]]],
                  labels: Sequence[str], batch_size: int = MODEL_BATCH,
-                 max_chars: int | None = None):
+                 max_chars: int | None = None,
+                 token_ends: Callable[[Any, str], Sequence[int]] | None = None,
+                 max_tokens: int | None = None):
+        if max_tokens is not None and (token_ends is None or max_tokens < 1):
+            raise ValueError("max_tokens needs token_ends and must be 1 or more")
         self.labels = tuple(labels)
         self._name = uuid.uuid4().hex
         self._load, self._predict = load, predict
         self._batch, self._chars = batch_size, max_chars
+        self._ends, self._tokens = token_ends, max_tokens
 
     def _best(self) -> Callable[[Any, list[str]], list[tuple[str, float]]]:
         predict, size, chars = self._predict, self._batch, self._chars
+        token_ends, most = self._ends, self._tokens
+
+        def seen(model: Any, text: str) -> tuple[int, str]:
+            """Length, and the part of the text that the model sees."""
+            text = text[:chars]
+            if token_ends is None:
+                return len(text), text
+            ends = token_ends(model, text)
+            if most is None or len(ends) <= most:
+                return len(ends), text
+            return most, text[:ends[most - 1]]
 
         def best(model: Any, texts: list[str]) -> list[tuple[str, float]]:
             out = [(UNKNOWN, 0.0)] * len(texts)
-            live = [i for i, t in enumerate(texts) if t and t.strip()]
+            live = [(i, *seen(model, t)) for i, t in enumerate(texts) if t and t.strip()]
+            live.sort(key=lambda x: -x[1])
             for start in range(0, len(live), size):
                 part = live[start:start + size]
-                for i, scores in zip(part, predict(model, [texts[i][:chars] for i in part])):
+                for (i, _, _), scores in zip(part, predict(model, [t for _, _, t in part]), strict=True):
                     label = max(scores, key=scores.__getitem__)
                     out[i] = (label, float(scores[label]))
             return out

@@ -6,6 +6,7 @@ as the Spark side does, and name the same columns.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -577,6 +578,30 @@ def score_sentiment_batch(spark, folder):
     return rounded(score_sentiment(_captions(spark, folder), scorer).drop("caption"))
 
 
+_SEEN_TOKENS = 64
+
+
+@query(f"""WITH seen AS (SELECT doc_id, coalesce(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '') = '' AS blank,
+  least(len(regexp_extract_all(text, '[^ \\t\\n\\r]+')), {_SEEN_TOKENS}) AS n FROM documents)
+SELECT doc_id AS video_id, CASE WHEN blank THEN 'Unknown' WHEN n = {_SEEN_TOKENS} THEN 'full' ELSE 'short' END AS sentiment_label,
+  CASE WHEN blank THEN CAST(0 AS DOUBLE) ELSE round_even(0.51 + n / 200.0, 6) END AS sentiment_confidence FROM seen""")
+def score_sentiment_token_limit(spark, folder):
+    """A stand-in for a network with a limit of 64 tokens: label and confidence tell how many it saw."""
+    def load():
+        return re.compile(r"[^ \t\n\r]+")
+
+    def ends(model, text):
+        return [m.end() for m in model.finditer(text)]
+
+    def predict(model, texts):
+        counts = [len(model.findall(t)) for t in texts]
+        sure = [0.51 + n / 200.0 for n in counts]
+        return [{"full": c, "short": 1 - c} if n == _SEEN_TOKENS else {"short": c, "full": 1 - c} for n, c in zip(counts, sure)]
+
+    scorer = BatchScorer(load, predict, ("short", "full"), token_ends=ends, max_tokens=_SEEN_TOKENS)
+    return rounded(score_sentiment(_captions(spark, folder), scorer).drop("caption"))
+
+
 @query(f"""WITH {S.EMOTIONS_OF_COMMENTS}, {S.SUMMARY_OF_COMMENTS}
 SELECT d.doc_id AS video_id, coalesce(dominant_emotion, 'Unknown') AS dominant_emotion,
   round_even(coalesce(avg_emotion_confidence, 0.0), 6) AS avg_emotion_confidence,

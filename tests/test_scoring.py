@@ -1,6 +1,7 @@
 """Scorers and comment emotions."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -204,3 +205,26 @@ def test_full_analysis_is_row_local(spark):
         table.collect()
     bare = full_analysis(posts, T.sentiment_scorer(), T.emotion_scorer(), False, False)
     assert "caption_emotion" not in bare.columns and "dominant_emotion" not in bare.columns
+
+
+def test_token_limit_and_batches_by_length(spark):
+    """Each call gets texts of like length, cut behind the last token allowed; results stay with their rows."""
+    def ends(model, text):
+        return [m.end() for m in re.finditer(r"\S+", text)]
+
+    def predict(model, texts):
+        counts = [len(t.split()) for t in texts]
+        assert len(texts) <= 4 and max(counts) <= 5 and counts == sorted(counts, reverse=True)
+        return [{"a": 1.0 + n, "b": float(t.endswith("w4"))} for n, t in zip(counts, texts)]
+
+    texts = [" ".join(f"w{j}" for j in range(i % 9)) for i in range(60)] + [None, "   ", "one  \n two"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, caption string").coalesce(1)
+    scorer = BatchScorer(lambda: 0, predict, ("a", "b"), batch_size=4, token_ends=ends, max_tokens=5)
+    got = {r["i"]: r["sentiment_confidence"] for r in score_sentiment(docs, scorer).collect()}
+    assert got == {i: 1.0 + min(5, len(t.split())) if t and t.strip() else 0.0 for i, t in enumerate(texts)}
+    whole = BatchScorer(lambda: 0, lambda m, ts: [{"a": float(len(t.split()))} for t in ts], ("a",), token_ends=ends)
+    got = {r["i"]: r["sentiment_confidence"] for r in score_sentiment(docs, whole).collect()}
+    assert got[8] == 8.0 and got[62] == 2.0
+    for wrong in ({"max_tokens": 3}, {"token_ends": ends, "max_tokens": 0}):
+        with pytest.raises(ValueError):
+            BatchScorer(lambda: 0, predict, ("a", "b"), **wrong)
