@@ -157,7 +157,7 @@ def test_near_copies(spark):
 
 
 def test_candidates_at_the_similarity():
-    """Of pairs at 0.8, about 0.99 are candidates of the pipeline's near-dedup."""
+    """Of pairs at 0.8, about 0.99 are candidates of near_copies."""
     own = {n: p.default for n, p in inspect.signature(simhash.near_copies).parameters.items()}
     rng = np.random.default_rng(14)
     hashes = rng.integers(0, 2 ** 64, (1500, 333), dtype=np.uint64)
