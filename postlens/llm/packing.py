@@ -14,6 +14,7 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from postlens.llm.memo import encoder, slices
 from postlens.llm.store import keep, texts
 
-SLICE_CHARS = 500_000
+SLICE_BYTES = 4_000_000
 #: Pieces of each of two generations; fewer than elsewhere, as a pipeline has other stages in the same worker processes.
 REMEMBERED = 350_000
 
@@ -85,9 +86,9 @@ def cut_pieces(df: DataFrame, tokenizer_path: str, end_id: int, size: int, id_co
     def run(batches: Iterator[pa.RecordBatch]):
         enc, end = encoder(tokenizer_path, REMEMBERED), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            every = batch.column(1).to_pylist()
-            for i, j in slices([len(t) for t in every], SLICE_CHARS):
-                rows = [b + end for b in enc.encode(every[i:j])]
+            every = batch.column(1)
+            for i, j in slices(pc.binary_length(every).to_pylist(), SLICE_BYTES):
+                rows = [b + end for b in enc.encode(every.slice(i, j - i))]
                 take, start, length, crc, total = [], [], [], [], []
                 for k, row in enumerate(rows):
                     n = len(row) // 4

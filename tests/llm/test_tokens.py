@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -42,6 +43,20 @@ def test_remembered_pieces_are_exact(path):
         assert [np.frombuffer(b, "<u4").tolist() for b in enc.encode(TEXTS)] == want
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_a_slice_looks_up_its_distinct_pieces_once(path):
+    enc = memo.PieceEncoder(path)
+    asked = []
+    enc._remember = lambda pieces, f=enc._remember: asked.extend(pieces) or f(pieces)
+    texts = ["one more word, one more line", "", "one more\nword", "and it's (one)."] * 50 + ["wide  gap, one", "\u3000é.b 3.5,a"]
+    want = [e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    whole = pa.array(["left out", *texts])
+    for given in (texts, whole.slice(1), whole.cast(pa.large_string()).slice(1)):
+        assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(given)] == want
+    assert len(set(asked)) <= 25 and len(asked) < 50, asked
+    assert enc.encode([]) == [] and enc.encode(["", ""]) == [b"", b""]
+
+
 def test_remembered_pieces_move_to_a_new_generation(monkeypatch):
     monkeypatch.setattr(memo, "REMEMBERED", 5)
     enc, (want, _) = memo.PieceEncoder(BYTES), expected(BYTES, TEXTS)
