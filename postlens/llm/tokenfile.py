@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from postlens.llm.memo import encoder, slices
 from postlens.llm.store import texts
 
 BLOCK_IDS = 1 << 16
-SLICE_CHARS = 500_000
+SLICE_BYTES = 4_000_000
 # Ids in a word, and their bits, by selector.
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1, 1])
 WIDTHS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 30, 30, 60])
@@ -94,9 +95,9 @@ def write_token_file(df: DataFrame, path: str, tokenizer_path: str, end_id: int,
         enc, end = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
         part, block, first = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            keys, every = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, j in slices([len(t) for t in every], SLICE_CHARS):
-                rows = [b + end for b in enc.encode(every[i:j])]
+            keys, every = batch.column(0).to_pylist(), batch.column(1)
+            for i, j in slices(pc.binary_length(every).to_pylist(), SLICE_BYTES):
+                rows = [b + end for b in enc.encode(every.slice(i, j - i))]
                 for a, b in slices([len(r) // 4 for r in rows], BLOCK_IDS):
                     counts = np.array([len(r) // 4 for r in rows[a:b]], np.int64)
                     ends = np.cumsum(counts)
