@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from postlens.llm.memo import encoder, slices
 from postlens.llm.store import keep, texts
 
-SLICE_BYTES = 4_000_000
+#: Smaller than elsewhere, for the same reason as below.
+SLICE_BYTES = 1_000_000
 #: Pieces of each of two generations; fewer than elsewhere, as a pipeline has other stages in the same worker processes.
 REMEMBERED = 350_000
 
