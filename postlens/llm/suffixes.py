@@ -22,12 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlens.llm.store import keep, same, worker_path
+from postlens.llm.store import forget, keep, same, worker_path
 
 WORDS = 50
 GRAM = 4
 WINDOW = 17
 REACH = WORDS - WINDOW + 1
+SLOTS = 1 << 25
 BASE, BASE_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 WORD = re.compile("[^\t-\r ]+")
 SUFFIX = ["key", "check", "after", "before", "low", "high", "id", "of", "at"]
@@ -80,6 +81,18 @@ def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                      F.xxhash64(F.col(id_col), F.col(text_col)).alias("of"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def _flagged(df: DataFrame, name: str, held: DataFrame) -> DataFrame:
+    """``df`` with ``maybe``: where it is false, no row of ``held`` has the same hash ``name``; where it is true, one may have it.
+
+    A bit for each of 2^25 slots tells it, 64 bits in a row, so at most 524,288 rows are broadcast, however many ``held`` has.
+    """
+    slot = F.col(name).bitwiseAND(SLOTS - 1)
+    bits = held.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("slots")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits"))
+    found = df.join(F.broadcast(bits), F.shiftright(slot, 6) == F.col("slots"), "left")
+    return found.withColumn("maybe", F.coalesce(F.bit_get("bits", slot.bitwiseAND(63).cast("int")) == 1, F.lit(False))).drop("slots", "bits")
+
+
 def _suffixes(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -98,7 +111,7 @@ def _suffixes(docs: DataFrame) -> DataFrame:
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Each wanted suffix with what its windows hold: its first 34 words (two hashes), the words after them, those before it from the nearest."""
+    """Each suffix of ``wanted(id, of, wanted)`` with what its windows hold: its first 34 words (two hashes), the words after them, those before it from the nearest."""
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             take, before, after, numbers = [], [], [], []
@@ -121,8 +134,9 @@ def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     [pa.array(key), pa.array(check), pa.array(after, pa.binary()), pa.array(before, pa.binary()), pa.array(low.astype(np.int32)),
                      pa.array(high.astype(np.int32)), batch.column("id").take(index), batch.column("of").take(index), pa.array(at.astype(np.int32))], SUFFIX)
 
-    by_doc = wanted.groupBy("id", "of").agg(F.collect_list("at").alias("wanted")).select(F.col("id").alias("in_id"), F.col("of").alias("in_of"), "wanted")
-    found = docs.select("id", "of", "text").join(by_doc, same(F.col("id"), F.col("in_id")) & (F.col("of") == F.col("in_of")))
+    by_doc = wanted.select(F.col("id").alias("in_id"), F.col("of").alias("in_of"), "wanted")
+    some = _flagged(docs.select("id", "of", "text"), "of", wanted).where("maybe")
+    found = some.join(by_doc, same(F.col("id"), F.col("in_id")) & (F.col("of") == F.col("in_of")))
     return found.select("id", "of", "text", "wanted").mapInArrow(
         run, "key long, check long, after binary, before binary, low int, high int, id long, of long, at int")
 
@@ -234,9 +248,16 @@ def _per_document(found: DataFrame) -> DataFrame:
 def _passages(docs: DataFrame) -> DataFrame:
     suffixes = _suffixes(docs)
     shared = keep(suffixes.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low <> high").select("key"), "shared_suffixes")
-    settled = keep(_settled(_contexts(docs, suffixes.join(shared, "key", "left_semi"))), "settled_suffixes")
+    # What no other document can have stays where it is; the joins are exact.
+    some = _flagged(suffixes, "key", shared).where("maybe").join(shared, "key", "left_semi")
+    wanted = keep(some.groupBy("id", "of").agg(F.collect_list("at").alias("wanted")), "wanted_suffixes")
+    forget(shared)
+    settled = keep(_settled(_contexts(docs, wanted)), "settled_suffixes")
+    forget(wanted)
     whole = settled.where("extra is not null").select("id", "of", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + WORDS).alias("stop"), "extra", "other")
-    return keep(_per_document(whole.unionByName(_extended(settled.where("extra is null")))), "passages")
+    found = keep(_per_document(whole.unionByName(_extended(settled.where("extra is null")))), "passages")
+    forget(settled)
+    return found
 
 
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -269,12 +290,16 @@ def dedup_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     See ``repeated_passages``. All rows stay; one that loses all its words has an empty text. A null text stays null.
     """
     docs = _rows(df, id_col, text_col)
-    found = _passages(docs).where(F.size("extra") > 0).select(F.col("id").alias("in_id"), F.col("of").alias("in_of"), "extra")
-    joined = docs.join(found, same(F.col("id"), F.col("in_id")) & (F.col("of") == F.col("in_of")), "left")
+    found = _passages(docs).where(F.size("extra") > 0).select("id", "of", "extra")
+    flagged = _flagged(docs.select("row", "id", "of"), "of", found)
+    spans = found.select(F.col("id").alias("in_id"), F.col("of").alias("in_of"), "extra")
+    joined = flagged.where("maybe").join(spans, same(F.col("id"), F.col("in_id")) & (F.col("of") == F.col("in_of")), "left")
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if s is None else cut_passages(t, s) for t, s in zip(text, spans, strict=True)], dtype=object)
 
-    text = F.when(F.col(f"row.`{text_col}`").isNotNull(), cut("text", "extra"))
-    return joined.select(F.col("row").withField(f"`{text_col}`", text).alias("row"))
+    old = F.col(f"row.`{text_col}`")
+    text = F.when(old.isNotNull(), cut(F.coalesce(old, F.lit("")), "extra"))
+    changed = joined.select(F.col("row").withField(f"`{text_col}`", text).alias("row"))
+    return flagged.where(~F.col("maybe")).select("row").unionByName(changed)

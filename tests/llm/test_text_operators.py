@@ -238,6 +238,49 @@ def test_passages_with_a_common_end(spark):
     assert spans(got[61].spans) == spans(got[61].extra_spans) == [(9, 64)] and got[61].other_ids == [60]
 
 
+def exchanged(node):
+    """Rows written to the shuffles of a plan that has run."""
+    kind = node.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return exchanged(node.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return exchanged(node.plan())
+    own = node.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0
+    below = node.children()
+    return own + sum(exchanged(below.apply(i)) for i in range(below.size()))
+
+
+def test_texts_without_passages_are_not_shuffled(spark):
+    """Of 400 documents two share a passage; the others are put out where they are read."""
+    rng = random.Random(31)
+    shared = words(rng, 60)
+    texts = [" ".join(words(rng, 80)) for _ in range(397)] + [None] + [" ".join(words(rng, 10) + shared) for _ in range(2)]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = suffixes.dedup_passages(frame(spark, texts).repartition(4).localCheckpoint())
+        got = {r.row.doc_id: r.row for r in out.collect()}
+        assert exchanged(out._jdf.queryExecution().executedPlan()) < 40
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert [got[i].text for i in range(399)] == texts[:399] and got[399].text.split() == texts[399].split()[:10]
+    assert {tuple(r)[2:] for r in got.values()} == {FILL}
+
+
+def test_flags_lose_nothing(spark):
+    """Hashes that are held are flagged, negative ones and those that share a slot or a row of bits too; few others are."""
+    rng = random.Random(32)
+    held = [rng.randrange(-2 ** 63, 2 ** 63) for _ in range(500)]
+    held += [-1, 0, 63, 64, 2 ** 63 - 1, -2 ** 63, held[0], held[0] ^ 1 << 40]
+    other = [rng.randrange(-2 ** 63, 2 ** 63) for _ in range(2000)]
+    rows = spark.createDataFrame([(h, i) for i, h in enumerate(held + other)], "key long, i int")
+    flagged = suffixes._flagged(rows, "key", spark.createDataFrame([(h,) for h in held], "key long"))
+    assert flagged.columns == ["key", "i", "maybe"]
+    got = [r.maybe for r in flagged.orderBy("i").collect()]
+    assert len(got) == len(rows.collect()) and all(got[:len(held)]) and sum(got[len(held):]) < 10
+    assert suffixes._flagged(rows, "key", rows.select("key").where("false")).where("maybe").count() == 0
+
+
 def test_cut_passages():
     text = "a  b\nc d\n e"
     assert suffixes.cut_passages(text, [{"start": 1, "stop": 3}]) == "a  d\n e"
