@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postlens.llm.memo import slices
 from postlens.llm.store import forget, keep, same, worker_path
 
 WORDS = 50
@@ -29,6 +30,7 @@ GRAM = 4
 WINDOW = 17
 REACH = WORDS - WINDOW + 1
 SLOTS = 1 << 25
+SLICE_BYTES = 4_000_000
 BASE, BASE_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 WORD = re.compile("[^\t-\r ]+")
 SUFFIX = ["key", "check", "after", "before", "low", "high", "id", "of", "at"]
@@ -93,9 +95,16 @@ def _flagged(df: DataFrame, name: str, held: DataFrame) -> DataFrame:
     return found.withColumn("maybe", F.coalesce(F.bit_get("bits", slot.bitwiseAND(63).cast("int")) == 1, F.lit(False))).drop("slots", "bits")
 
 
+def _parts(batches: Iterator[pa.RecordBatch]):
+    """The rows of some MB of ``text`` at a time, so that a worker's memory does not follow the length of texts."""
+    for batch in batches:
+        for i, j in slices(pc.binary_length(batch.column("text")).to_pylist(), SLICE_BYTES):
+            yield batch.slice(i, j - i)
+
+
 def _suffixes(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
+        for batch in _parts(batches):
             take, places, keys = [], [], []
             for k, t in enumerate(batch.column("text")):
                 at, key, _, _ = minimisers(word_hashes(t.as_py()))
@@ -113,7 +122,7 @@ def _suffixes(docs: DataFrame) -> DataFrame:
 def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Each suffix of ``wanted(id, of, wanted)`` with what its windows hold: its first 34 words (two hashes), the words after them, those before it from the nearest."""
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
+        for batch in _parts(batches):
             take, before, after, numbers = [], [], [], []
             for k, (t, w) in enumerate(zip(batch.column("text"), batch.column("wanted"), strict=True)):
                 hashes = word_hashes(t.as_py())
