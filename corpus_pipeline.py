@@ -6,17 +6,34 @@ text that they return.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import functions as F
 
 from postlens.llm import langid, lines, packing, simhash, suffixes
 from postlens.llm.queries import _vocabulary
 from postlens.llm.store import keep
 
+#: Of whole texts that go to a Python worker at once. Spark's 10,000 rows, or 64 MB, stand outside the heap of an executor
+#: several times for each of its tasks, and once more in the worker.
+BATCH_BYTES = 4 << 20
+
+
+def _in_small_batches(stage):
+    """``stage``, with Arrow batches of ``BATCH_BYTES`` in its session from then on, as it returns a frame that has not run yet."""
+    @wraps(stage)
+    def run(spark, docs, sf_dir):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
 
 def _measured(rows):
     return rows.select("row.*").withColumn("n_chars", F.length("text").cast("long"))
 
 
+@_in_small_batches
 def language_id(spark, docs, sf_dir):
     """Documents whose language is not known go."""
     model = langid.fit_text_model(docs)
@@ -29,6 +46,7 @@ def line_dedup(spark, docs, sf_dir):
     return _measured(lines.dedup_lines(docs))
 
 
+@_in_small_batches
 def near_dedup(spark, docs, sf_dir):
     """Of documents linked by fingerprints of three-word shingles within 3 of 64 bits, the one with the smallest id stays.
 
@@ -39,11 +57,13 @@ def near_dedup(spark, docs, sf_dir):
     return docs.join(copies, "doc_id", "left_anti")
 
 
+@_in_small_batches
 def passage_dedup(spark, docs, sf_dir):
     """Passages of 50 words or more that an earlier document has go, all documents stay."""
     return _measured(suffixes.dedup_passages(docs))
 
 
+@_in_small_batches
 def pack(spark, docs, sf_dir):
     """Token sequences of at most 2048 ids."""
     return packing.pack_documents(docs, _vocabulary("word_bpe_49k.json"), end_id=1, size=2048)

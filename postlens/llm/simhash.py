@@ -321,8 +321,9 @@ def fingerprint_links(fps: DataFrame, masks: list[list[int]], differences: int)
                 near = pa.array(_apart(la, ha, lb, hb) <= differences)
                 yield batch.select(["partx", "blockx", "party", "blocky"]).filter(near)
 
-    meet = left.join(right, (F.col("keyx") == F.col("keyy")) & (F.col("partx") < F.col("party"))).mapInArrow(
-        bounded, "partx int, blockx int, party int, blocky int")
+    # Written, as a task that runs both functions has two worker processes, which then stay and fill up for later stages.
+    meet = keep(left.join(right, (F.col("keyx") == F.col("keyy")) & (F.col("partx") < F.col("party"))).mapInArrow(
+        bounded, "partx int, blockx int, party int, blocky int"), "meeting_blocks")
     payload = found.where("key is not null").select("part", "block", "nodes", "fps")
     full = meet.join(payload.select(F.col("part").alias("partx"), F.col("block").alias("blockx"), F.col("nodes").alias("nx"), F.col("fps").alias("fx")), ["partx", "blockx"]) \
         .join(payload.select(F.col("part").alias("party"), F.col("block").alias("blocky"), F.col("nodes").alias("ny"), F.col("fps").alias("fy")), ["party", "blocky"])

@@ -91,6 +91,13 @@ def test_links_over_task_edges(spark, partitions):
     assert got == {i: int(v) for i, v in enumerate(label) if v != i}
 
 
+def test_tasks_that_compare_members_have_one_python_worker(spark):
+    """Blocks that meet over task edges are written before their members are compared: two functions in a task take two workers."""
+    fps = spark.createDataFrame([(i, bytearray(np.uint64(1 << i).tobytes())) for i in range(40)], "node long, fp binary")
+    links = simhash.fingerprint_links(fps, simhash.exact_masks(64, 3), 3)
+    assert links._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_simhash_of_texts(spark):
     rng = np.random.default_rng(8)
     base = [f"w{i}" for i in rng.integers(0, 900, 120)]

@@ -2,6 +2,8 @@
 
 import random
 
+import pyarrow as pa
+import pytest
 import xxhash
 
 import corpus_pipeline
@@ -94,3 +96,27 @@ def test_run_reads_documents(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and out.count() > 60
+
+
+@pytest.mark.parametrize("stage, module, operator", [
+    ("language_id", "langid", "fit_text_model"), ("near_dedup", "simhash", "simhash_components"),
+    ("passage_dedup", "suffixes", "dedup_passages"), ("packing", "packing", "pack_documents")])
+def test_workers_get_a_few_megabytes_at_once(spark, monkeypatch, stage, module, operator):
+    """Of 24 MB of texts in one partition, which were one batch before."""
+    class Seen(Exception):
+        pass
+
+    def batches(df, *args, **kwargs):
+        def sizes(parts):
+            for b in parts:
+                yield pa.RecordBatch.from_pydict({"size": [b.nbytes]})
+
+        raise Seen([r["size"] for r in df.select("text").mapInArrow(sizes, "size long").collect()])
+
+    monkeypatch.setattr(getattr(corpus_pipeline, module), operator, batches)
+    session = spark.newSession()
+    docs = session.range(0, 240, 1, 1).selectExpr("id AS doc_id", "repeat('some words ', 9000) AS text", "'en' AS lang", "'a' AS source", "0L AS n_chars")
+    with pytest.raises(Seen) as seen:
+        dict(corpus_pipeline.STAGES)[stage](session, docs, "")
+    sizes = seen.value.args[0]
+    assert sum(sizes) > 23e6 and max(sizes) < 4.5e6, sizes
